@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import host_quality, licenses, order_minhash, url_filter
+from penprint.llm import host_quality, licenses, order_minhash, simhash, suffix_dedup, url_filter
 from penprint.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or host verdict of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, and the classes that links at four or fewer differing bits make."""
+    marked = written(simhash.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4), "simhash")
+    return simhash.classes(marked, radius=4).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 400 bytes that start more than once leave of every text."""
+    cut = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", *suffix_dedup.digests(cut))
