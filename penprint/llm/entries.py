@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import host_quality, licenses, order_minhash, simhash, suffix_dedup, url_filter
+from penprint.llm import host_quality, licenses, order_minhash, ppm, simhash, suffix_dedup, url_filter
 from penprint.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What strings of 400 bytes that start more than once leave of every text."""
     cut = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", *suffix_dedup.digests(cut))
+
+
+@query
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM log-probabilities of every text, learnt from those that are not held out."""
+    return ppm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
