@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm import host_quality, licenses, order_minhash, ppm, simhash, suffix_dedup, url_filter
-from penprint.llm.common import table, written
+from penprint.llm import byte_bpe, curve_pack, host_quality, licenses, order_minhash, ppm, simhash, suffix_dedup, url_filter, warc
+from penprint.llm.common import scratch_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,27 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM log-probabilities of every text, learnt from those that are not held out."""
     return ppm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_curve_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of 4096 ids, packed along the Hilbert curve."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = curve_pack.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", curve_pack.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the rank file, and the bytes that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from the archives that the pages were written to."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
