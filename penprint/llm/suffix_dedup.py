@@ -228,8 +228,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(ends) - 1]]
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(.., body, ranges) -> (.., spans, kept bytes)."""
+def _cut_batches(batches: Iterator[pa.RecordBatch], decode: bool = False) -> Iterator[pa.RecordBatch]:
+    """(.., body, ranges) -> (.., spans, kept bytes or text)."""
     for b in batches:
         *others, bodies, ranges = b.columns
         names = b.schema.names[:-2]
@@ -238,17 +238,19 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = body.as_py()
             if r.as_py() is None:
                 spans.append([])
-                kept.append(text)
+                kept.append(text.decode() if decode else text)
                 continue
             s, e = merged(*(np.asarray(x) for x in r.values.flatten()))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
-            kept.append(b"".join(text[int(x) : int(y)] for x, y in zip(np.r_[0, e], np.r_[s, len(text)], strict=True)))
+            parts = [text[int(x) : int(y)] for x, y in zip(np.r_[0, e], np.r_[s, len(text)], strict=True)]
+            kept.append("".join(p.decode(errors="ignore") for p in parts) if decode else b"".join(parts))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*others, pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*others, pa.array(spans, kind), pa.array(kept, pa.string() if decode else pa.binary())], [*names, "spans", "kept"])
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs without the text, with spans (removed byte ranges) and kept (the remaining bytes, binary).
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, decode: bool = False) -> DataFrame:
+    """docs without the text, with spans (removed byte ranges) and kept (the remaining bytes, binary; decoded, a
+    string without the characters that a range's edge falls into).
 
     docs is read three times: to find segments, to cut out those that differ, and to remove what repeats.
     """
@@ -258,8 +260,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     ranges = written(found.groupBy(F.col("key").alias("_of")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")), "ranges")
     others = [c for c in docs.columns if c != text]
     joined = keyed.join(ranges, F.col("_key") == F.col("_of"), "left").select(*others, whole.cast("binary").alias("_body"), "_ranges")
-    schema = docs.select(*others).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    return joined.mapInArrow(_cut_batches, schema)
+    schema = docs.select(*others).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string" if decode else "binary")
+    return joined.mapInArrow(lambda batches: _cut_batches(batches, decode), schema)
 
 
 def digests(cut: DataFrame) -> list[Column]:
