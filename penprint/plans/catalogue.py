@@ -1,10 +1,518 @@
-"""Queries over the driver tables, each with the SQL that states the same result."""
+"""Queries over the driver tables, each with the SQL that states the same result.
+
+Natural queries run on the tables' own text. The driver's text has next to no greetings, requests or sign-offs,
+so others run on ``decorated`` documents: the same texts with phrases put around them, chosen by doc_id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from penprint.functions import patterns, text
+from penprint.operators import dedupe, diff, drafts, edits, lexicon, metrics, registers
+from penprint.plans import analyze
+from penprint.sources import mail
+from penprint.storage import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- The decorated view, in both languages.
+
+OPENERS = ["Hi Dana,", "Hey Sam,", "Priya -", "Priya,", "Team update.", "Hello Lee,"]
+ASKS = ["Can you confirm by Friday?", "Need the deck by noon.", "Nothing else here.", "Please let me know.", "We shipped it."]
+HEDGES = ["I think it is fine; maybe.", "They do not agree (yet)!", "It's just a bit late...", "We can't wait -- sorry to push."]
+BULLETS = ["- one\n- two", "* single", "No list."]
+CLOSERS = ["Best,\nDana Reyes", "Thanks", "- D", "Cheers,\nSam", "see https://ex.com/a for $4,200.00"]
+FOOTERS = ["", "-- \nDana | Northwind", "Sent from my phone", "Dana Reyes\ncall 415-555-0100 now", "On Mon, Sam wrote:\n> old text"]
+_PARTS = [OPENERS, ASKS, HEDGES, BULLETS, CLOSERS]
+
+
+def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, subject, body, raw (body with a footer) of every document."""
+    pick = lambda items, c: F.element_at(F.array(*[F.lit(x) for x in items]), (c % len(items) + 1).cast("int"))
+    i = F.col("doc_id")
+    opener, ask, hedge, bullet, closer = (pick(p, i) for p in _PARTS)
+    body = F.concat(opener, F.lit("\n\n"), ask, F.lit(" "), hedge, F.lit(" "), F.col("text"), F.lit("\n\n"), bullet, F.lit("\n\n"), closer)
+    docs = table(spark, sf_dir, "documents")
+    subject = F.concat(pick(["re: ", "", "Invoices "], i), F.substring("text", 1, 20), pick(["?", "", "!"], F.floor(i / 3)))
+    return docs.select("doc_id", "lang", "source", subject.alias("subject"), body.alias("body"), F.concat(body, F.lit("\n"), pick(FOOTERS, i)).alias("raw"))
+
+
+def _sql_pick(items: list[str], c: str) -> str:
+    quoted = ", ".join("'" + x.replace("'", "''").replace("\n", "'||chr(10)||'") + "'" for x in items)
+    return f"list_extract([{quoted}], ({c} % {len(items)} + 1)::int)"
+
+
+_BODY = " || chr(10)||chr(10) || ".join([_sql_pick(OPENERS, "doc_id"), " || ' ' || ".join([_sql_pick(ASKS, "doc_id"), _sql_pick(HEDGES, "doc_id"), "text"]), _sql_pick(BULLETS, "doc_id"), _sql_pick(CLOSERS, "doc_id")])
+_SUBJECT = f"{_sql_pick(['re: ', '', 'Invoices '], 'doc_id')} || substr(text, 1, 20) || {_sql_pick(['?', '', '!'], '(doc_id // 3)')}"
+DECORATED = f"decorated AS (SELECT doc_id, lang, source, {_SUBJECT} AS subject, {_BODY} AS body, {_BODY} || chr(10) || {_sql_pick(FOOTERS, 'doc_id')} AS raw FROM documents)"
+
+
+# ---- SQL forms of the text functions.
+
+_ABBREVIATIONS = "|".join(x.replace(".", r"\.") for x in patterns.ABBREVIATIONS)
+
+
+def _sql_strip(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
+
+
+def _sql_sentences(x: str) -> str:
+    masked = x
+    for _ in range(2):  # neighbours overlap
+        masked = rf"regexp_replace({masked}, '\b({_ABBREVIATIONS})(\s+)([A-Z0-9])', '\1'||chr(2)||'\2\3', 'g')"
+    cut = rf"regexp_replace({_sql_strip(masked)}, '([.!?])\s+([A-Z0-9])', '\1'||chr(1)||'\2', 'g')"
+    # A one-letter sentence ends where the next match would begin.
+    cut = rf"regexp_replace({cut}, '([.!?])\s+([A-Z0-9])', '\1'||chr(1)||'\2', 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: replace({_sql_strip('s')}, chr(2), '')), lambda s: s <> '')"
+
+
+def _sql_paragraphs(x: str) -> str:
+    return rf"list_filter(list_transform(string_split_regex({_sql_strip(x)}, '\n\s*\n'), lambda p: {_sql_strip('p')}), lambda p: p <> '')"
+
+
+def _sql_count(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+_WORDS = lambda x: _sql_count(x, "[A-Za-z']+")
+
+
+def _sql_shingles(x: str) -> str:
+    w = f"regexp_extract_all(lower({x}), '[a-z'']+')"
+    return f"CASE WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string(({w})[i:i+4], ' '))) END"
+
+
+def _sql_quartiles(source: str, by: str) -> str:
+    """by, median, low, high over rows (by, v) of ``source``."""
+
+    def q(i: int) -> str:
+        j = f"greatest(1, least(n - 1, ({i} * (n + 1)) // 4))"
+        return f"(x[{j}] * (4 - ({i} * (n + 1) - 4 * {j})) + x[{j} + 1] * ({i} * (n + 1) - 4 * {j})) / 4"
+
+    return f"""SELECT {by}, (x[(n + 1) // 2] + x[n // 2 + 1]) / 2 AS median, CASE WHEN n < 4 THEN x[1] ELSE {q(1)} END AS low,
+        CASE WHEN n < 4 THEN x[n] ELSE {q(3)} END AS high FROM (SELECT {by}, list_sort(list(v::double)) AS x, count(*) AS n FROM {source} GROUP BY {by})"""
+
+
+# ---- Shape, rates and shares.
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source", F.col("text").alias("body"))
+
+
+@query(
+    f"""WITH p AS (SELECT lang, text, list_transform({_sql_paragraphs("text")}, lambda p: {_sql_sentences("p")}) AS ps FROM documents),
+    s AS (SELECT lang, unnest(ps) AS ss FROM p),
+    v AS (SELECT lang, 'words_per_email' AS metric, {_WORDS("text")} AS v FROM p UNION ALL SELECT lang, 'paragraphs_per_email', len(ps) FROM p
+      UNION ALL SELECT lang, 'sentences_per_paragraph', len(ss) FROM s UNION ALL SELECT lang, 'words_per_sentence', {_WORDS("x")} FROM (SELECT lang, unnest(ss) AS x FROM s))
+    {_sql_quartiles("v", "lang, metric")}"""
+)
+def word_shape_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.shape(_documents(spark, sf_dir), ["lang"])
+
+
+_PUNCT_SQL = {"em_dash": "[—–]|--", "ellipsis": r"\.\.\.|…", "exclamation": "!", "semicolon": ";", "parenthesis": r"\(", "emoji": "[🌀-🫿☀-➿]"}
+_EXPANDED_SQL = "(?i)\\b(" + "|".join(patterns.EXPANDED) + ")\\b"
+_CONTRACTED_SQL = "(?i)\\b\\w+'(" + "|".join(patterns.CONTRACTED_ENDINGS) + ")\\b"
+
+
+def _sql_pooled(source: str, by: str, body: str) -> str:
+    rates = ", ".join(f"coalesce(sum({_sql_count(body, p)}) * 100 / nullif(sum({_WORDS(body)}), 0), 0.0)::double AS {k}" for k, p in _PUNCT_SQL.items())
+    c, e = (f"sum({_sql_count(body, p)})" for p in (_CONTRACTED_SQL, _EXPANDED_SQL))
+    return f"SELECT {by}, coalesce({c} / nullif({c} + {e}, 0), 0.0)::double AS contraction_rate, {rates} FROM {source} GROUP BY {by}"
+
+
+@query(_sql_pooled("documents", "lang", "text"))
+def punct_rates_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pooled(_documents(spark, sf_dir), ["lang"])
+
+
+@query(f"WITH {DECORATED} " + _sql_pooled("decorated", "source", "body"))
+def pooled_rates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pooled(decorated(spark, sf_dir), ["source"])
+
+
+_HEDGE_SQL = "(?i)\\b(" + "|".join(patterns.HEDGE_PHRASES) + ")\\b"
+_IMPERATIVE_SQL = "(?i)^(" + "|".join(patterns.IMPERATIVES) + ")([^-\\w]|$)"
+_ASK_SQL = "(?i)(\\?|\\b(" + "|".join(patterns.ASK_PHRASES) + "|by (" + "|".join(patterns.ASK_DEADLINES) + "))\\b)"
+
+
+@query(
+    rf"""WITH {DECORATED}, s AS (SELECT lang, body, {_sql_sentences("body")} AS ss FROM decorated),
+    c AS (SELECT lang, len(ss) AS n, len(list_filter(ss, lambda x: regexp_matches(x, '{_IMPERATIVE_SQL}'))) AS i, len(list_filter(ss, lambda x: x LIKE '%?')) AS q,
+      len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\s*[-*•]\s+'))) AS b, {_sql_count("body", _HEDGE_SQL)} AS h, {_WORDS("body")} AS w FROM s)
+    SELECT lang, sum(h) / sum(w) * 100 AS hedges_per_100w, sum(i) / sum(n) AS imperative_rate, sum(q) / sum(n) AS question_rate, sum(b) / sum(n) AS bullet_rate FROM c GROUP BY lang"""
+)
+def stance_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.stance(decorated(spark, sf_dir), ["lang"])
+
+
+@query(
+    f"""WITH {DECORATED}, s AS (SELECT doc_id, flatten(list_transform({_sql_paragraphs("body")}, lambda p: {_sql_sentences("p")})) AS ss FROM decorated),
+    a AS (SELECT doc_id, ss, list_position(list_transform(ss, lambda x: regexp_matches(x, '{_ASK_SQL}') OR regexp_matches(x, '{_IMPERATIVE_SQL}')), true) AS p FROM s)
+    SELECT doc_id, round((nullif(p, 0) - 1) / len(ss), 3) AS ask_placement FROM a"""
+)
+def ask_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", text.ask_placement(F.col("body")).alias("ask_placement"))
+
+
+@query(
+    f"""WITH {DECORATED}, s AS (SELECT lang, doc_id, flatten(list_transform({_sql_paragraphs("body")}, lambda p: {_sql_sentences("p")})) AS ss FROM decorated),
+    a AS (SELECT lang, ss, list_position(list_transform(ss, lambda x: regexp_matches(x, '{_ASK_SQL}') OR regexp_matches(x, '{_IMPERATIVE_SQL}')), true) AS p FROM s)
+    SELECT lang, median(round((nullif(p, 0) - 1) / len(ss), 3)) AS ask_placement_median FROM a GROUP BY lang"""
+)
+def ask_median_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ask_median(decorated(spark, sf_dir), ["lang"])
+
+
+_FIRST = _sql_strip(f"string_split({_sql_strip('body')}, chr(10))[1]")
+_OPENER_SQL = rf"""CASE WHEN regexp_matches(f, '(?i)^hi\s+[A-Z][\w''-]*') THEN 'hi_name' WHEN regexp_matches(f, '(?i)^(hey|hello)\s+[A-Z][\w''-]*') THEN 'hey_name'
+    WHEN regexp_matches(f, '^[A-Z][\w''-]*\s*[—–-](\s*$|\s+\S)') THEN 'name_dash' WHEN regexp_matches(f, '^[A-Z][\w''-]*,\s*$') THEN 'bare_name' ELSE 'none' END"""
+_LINES = f"list_filter(list_transform(string_split(body, chr(10)), lambda x: {_sql_strip('x')}), lambda x: x <> '')"
+_SIGNOFFS = "[" + ", ".join(f"'{s}'" for s in patterns.SIGNOFFS) + "]"
+_CLOSERS_SQL = rf"""SELECT doc_id, source, coalesce(list_last(list_filter(list_transform(l[-2:], lambda x: lower(trim(regexp_replace(x, ',+$', '')))), lambda x: list_contains({_SIGNOFFS}, x))), 'none') AS closer,
+    list_filter(string_split_regex(regexp_replace(trim(regexp_replace(l[-1], '^[—–-]+', '')), ',+$', ''), '\s+'), lambda x: x <> '') AS names, {_OPENER_SQL} AS opener
+    FROM (SELECT doc_id, source, {_LINES} AS l, {_FIRST} AS f FROM decorated)"""
+_NAME_FORM_SQL = """CASE WHEN len(names) NOT BETWEEN 1 AND 3 OR len(list_filter(names, lambda x: NOT (upper(x[1]) = x[1] AND lower(x[1]) <> x[1]))) > 0 THEN 'none'
+    WHEN len(names) > 1 THEN 'full_name' WHEN length(names[1]) <= 2 THEN 'initial' ELSE 'first_name' END"""
+
+
+@query(
+    f"""WITH {DECORATED}, c AS ({_CLOSERS_SQL}), v AS (SELECT source, 'opener' AS kind, opener AS value FROM c UNION ALL SELECT source, 'closer', closer FROM c UNION ALL SELECT source, 'name_form', {_NAME_FORM_SQL} FROM c)
+    SELECT source, kind, value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY source, kind) AS share FROM v GROUP BY source, kind, value"""
+)
+def opener_closer_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.col("body")
+    kinds = {"opener": text.opener(body), "closer": text.signoff(body), "name_form": text.name_form(body)}
+    each = decorated(spark, sf_dir).select("source", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("k")).select("source", "k.*")
+    return metrics.shares(each, ["source", "kind"], F.col("value"))
+
+
+@query(
+    f"""WITH {DECORATED} SELECT lang, median({_sql_count("subject", r"[^ \t\n\r]+")})::double AS median_words, avg((subject = lower(subject))::int) AS lowercase_rate,
+    avg((regexp_replace(subject, '\\s+$', '') LIKE '%?')::int) AS question_rate FROM decorated WHERE subject <> '' GROUP BY lang"""
+)
+def subject_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.subjects(decorated(spark, sf_dir), ["lang"])
+
+
+@query("SELECT lang, coalesce(sum(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))) / nullif(sum(length(text)), 0), 0) < 0.15 AS english_metrics_valid FROM documents GROUP BY lang")
+def english_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.english_valid(_documents(spark, sf_dir), ["lang"])
+
+
+# ---- Shingles and deduplication.
+
+
+@query(f"SELECT doc_id, len({_sql_shingles('text')})::int AS shingles FROM documents")
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
+
+
+_SETS = f"""sets AS (SELECT doc_id, s, len(s) AS n FROM (SELECT doc_id, {_sql_shingles("text")} AS s FROM documents)),
+    firsts AS (SELECT min(doc_id) AS doc_id, s, n FROM (SELECT doc_id, list_sort(s) AS s, n FROM sets) GROUP BY s, n),
+    each AS (SELECT doc_id, n, unnest(s) AS x FROM firsts),
+    pairs AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SETS} SELECT "left", "right", similarity FROM pairs WHERE similarity >= 0.7""")
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs between representatives of equal shingle sets."""
+    sets = dedupe.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    firsts = written(sets.groupBy("set_hash").agg(F.min("key").alias("key"), F.min_by("shingles", "key").alias("shingles")).select("key", "shingles"), "firsts")
+    return dedupe.similar_pairs(firsts)
+
+
+# The rounds are written out: by the fourth, every chain of these tables is decided.
+def _sql_rounds(n: int) -> str:
+    out = f'e0 AS (SELECT "left" AS l, "right" AS r FROM pairs WHERE similarity >= 0.7), gone0 AS (SELECT 0::bigint AS id WHERE false)'
+    for i in range(n):
+        out += f""", goes{i} AS (SELECT DISTINCT r AS id FROM e{i} WHERE l NOT IN (SELECT r FROM e{i})),
+        gone{i + 1} AS (SELECT id FROM gone{i} UNION SELECT id FROM goes{i}),
+        e{i + 1} AS (SELECT l, r FROM e{i} WHERE l NOT IN (SELECT id FROM gone{i + 1}) AND r NOT IN (SELECT id FROM gone{i + 1}))"""
+    return out
+
+
+@query(f"WITH {_SETS}, {_sql_rounds(6)} SELECT doc_id AS key FROM firsts WHERE doc_id NOT IN (SELECT id FROM gone6)")
+def dedupe_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.kept_keys(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    """SELECT count(*) AS raw, count(*) FILTER (WHERE n < 15) AS terse, count(*) FILTER (WHERE n >= 15) AS kept, count(*) FILTER (WHERE n = 0) AS empty
+    FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM conversations)"""
+)
+def terse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "conversations").select(text.n_blank_words(F.col("text")).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("n") < patterns.TERSE_WORDS).alias("terse"), F.count_if(F.col("n") >= patterns.TERSE_WORDS).alias("kept"), F.count_if(F.col("n") == 0).alias("empty"))
+
+
+# ---- Registers: a customer is a domain, an order a message.
+
+_DOMAIN = "CASE WHEN o_custkey % 7 = 0 THEN 'own.com' WHEN o_custkey % 7 = 1 THEN 'gmail.com' ELSE 'c' || o_custkey || '.com' END"
+
+
+def _order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_custkey")
+    domain = F.when(key % 7 == 0, "own.com").when(key % 7 == 1, "gmail.com").otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit(".com")))
+    subject = F.when(F.col("o_orderkey") % 11 == 0, "Invoices due").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ord"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.array(domain).alias("to_domains"), (F.col("o_orderkey") % 5 == 0).alias("is_reply"), subject.alias("subject")
+    )
+
+
+_REGISTERS = f"""m AS (SELECT o_orderkey AS ord, strftime(o_orderdate, '%Y-%m-%d') AS date, {_DOMAIN} AS d, o_orderkey % 5 = 0 AS is_reply, CASE WHEN o_orderkey % 11 = 0 THEN 'Invoices due' ELSE o_orderpriority END AS subject FROM orders),
+    f AS (SELECT *, NOT (d NOT IN ('own.com', 'gmail.com') AND row_number() OVER (PARTITION BY d ORDER BY date, ord) > 1) AND NOT is_reply AS first_contact FROM m),
+    r AS (SELECT ord, first_contact, CASE WHEN d = 'own.com' THEN 'internal' WHEN d = 'gmail.com' THEN 'personal' WHEN contains(lower(subject), 'invoices') THEN 'vendor' WHEN first_contact THEN 'cold_outreach' ELSE 'client' END AS register FROM f)"""
+
+
+@query(f"WITH {_REGISTERS} SELECT ord, first_contact, register FROM r")
+def first_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.assigned(_order_messages(spark, sf_dir), "own.com").select("ord", "first_contact", "register")
+
+
+@query(f"WITH {_REGISTERS} SELECT register, count(*) AS messages, count(*) < 8 AS suppressed FROM r GROUP BY register")
+def register_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.counted(registers.assigned(_order_messages(spark, sf_dir), "own.com"))
+
+
+@query(
+    f"""WITH {DECORATED}, m AS (SELECT *, {_sql_count("body", r"[^ \t\n\r\x0b\x0c]+")} AS wc FROM decorated), g AS (SELECT lang AS l, median(wc) AS med FROM m GROUP BY lang),
+    s AS (SELECT lang, doc_id, wc, CASE WHEN regexp_matches(body, '{_ASK_SQL}') THEN 1.0 ELSE 0.0 END::double + CASE WHEN len({_sql_paragraphs("body")}) > 1 THEN 0.3 ELSE 0.0 END::double - abs(wc - med) / CASE WHEN med = 0 THEN 1 ELSE med END AS score FROM m JOIN g ON lang = l)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::int AS rank, doc_id, wc::int AS word_count FROM s QUALIFY rank <= 4"""
+)
+def exemplars_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decorated(spark, sf_dir).withColumn("word_count", text.n_blank_words(F.col("body")))
+    return registers.exemplars(rows, "lang", "doc_id").select("lang", "rank", "doc_id", "word_count")
+
+
+# ---- Lexicon.
+
+_GRAMS = """w AS (SELECT source, doc_id, lang, list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x)) AS w FROM documents),
+    g AS (SELECT lang, source, 1 AS n, unnest(w) AS phrase FROM w UNION ALL SELECT lang, source, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1)"""
+
+
+@query(
+    f"""WITH {_GRAMS}, base AS (SELECT n AS bn, phrase AS bp, count(*) / sum(count(*)) OVER (PARTITION BY n) AS freq FROM g GROUP BY n, phrase),
+    c AS (SELECT lang, n, phrase, count(*) AS count, sum(count(*)) OVER (PARTITION BY lang, n) AS total FROM g GROUP BY lang, n, phrase)
+    SELECT lang, n, phrase, count, ln(count / total / coalesce(freq, 1e-7)) AS log_odds FROM c LEFT JOIN base ON n = bn AND phrase = bp WHERE count >= 3"""
+)
+def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-odds of every phrase of a language against all documents."""
+    docs = _documents(spark, sf_dir)
+    base = lexicon.baseline_of(docs)
+    return lexicon.lexicon(docs, base, ["lang"], top=2**31 - 1).select("lang", "n", "phrase", "count", "log_odds")
+
+
+@query()
+def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top phrases of each source: ties of rounded scores go by first occurrence."""
+    docs = _documents(spark, sf_dir)
+    return lexicon.lexicon(docs, lexicon.baseline_of(docs), ["source"])
+
+
+@query(f"WITH {_GRAMS} SELECT n, phrase, count(*) / sum(count(*)) OVER (PARTITION BY n) AS freq FROM g GROUP BY n, phrase")
+def baseline_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.baseline_of(_documents(spark, sf_dir))
+
+
+# ---- Redaction and cleaning.
+
+@query(
+    rf"""WITH {DECORATED}, a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(body, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g'), 'https?://\S+|\bwww\.\S+', '[URL]', 'g'), '\$\s?\d[\d,]*(\.\d\d)?\b', '[$AMOUNT]', 'g') AS b FROM decorated)
+    SELECT doc_id, len(regexp_extract_all(b, '\[EMAIL\]')) AS emails, len(regexp_extract_all(b, '\[URL\]')) AS urls, len(regexp_extract_all(b, '\[\$AMOUNT\]')) AS amounts,
+      CASE WHEN doc_id % 6 IN (1, 5) THEN 1 ELSE 0 END AS greeted, CASE WHEN doc_id % 6 = 3 THEN 1 ELSE 0 END AS bare, CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS signed FROM a"""
+)
+def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders put in for addresses, links and amounts, and for names in greetings and sign-offs (Dana stays)."""
+    out = decorated(spark, sf_dir).withColumn("b", text.redacted(F.col("body"), ["Dana"]))
+    n = lambda p: F.regexp_count("b", F.lit(p))
+    return out.select(
+        "doc_id",
+        n("\\[EMAIL\\]").cast("bigint").alias("emails"),
+        n("\\[URL\\]").cast("bigint").alias("urls"),
+        n("\\[\\$AMOUNT\\]").cast("bigint").alias("amounts"),
+        n("(?m)\\A(?:Hi|Hey|Hello|Dear) \\[FIRST\\]").alias("greeted"),
+        n("\\A\\[FIRST\\],").alias("bare"),
+        n("Cheers,\\n\\[FIRST\\]\\z").alias("signed"),
+    )
+
+
+@query(
+    f"""WITH {DECORATED}, q AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN regexp_replace(raw, '(?s)\\nOn Mon, Sam wrote:.*', '') ELSE raw END AS b FROM decorated)
+    SELECT doc_id, md5(regexp_replace(b, '\\s+$', '')) AS digest FROM q"""
+)
+def quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", F.md5(text.without_quotes(F.col("raw")).cast("binary")).alias("digest"))
+
+
+@query()
+def signature_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", text.without_signature(F.col("raw")).alias("body"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", mail.html_text("html").alias("body"))
+
+
+# ---- Drafts: a user's turn is a draft, an assistant's turn of the same conversation is what was sent.
+
+_TURNS = """d AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, lower(substr(text, 1, 12)) AS subject, text AS body FROM conversations WHERE role = 'user'),
+    s AS (SELECT conv_id * 1000 + turn AS ord, conv_id, turn, lower(substr(text, 1, 12)) AS subject, text AS body FROM conversations WHERE role <> 'user')"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, sf_dir, "conversations")
+    stamp = F.date_format(F.timestamp_seconds(F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss")
+    to = F.array(F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("@x.com")))
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), stamp.alias("stamp"), to.alias("recipients"), F.substring("text", 1, 12).alias("subject"), F.col("text").alias("body"), "role")
+    return rows.filter("role = 'user'").withColumnRenamed("stamp", "created"), rows.filter("role <> 'user'").withColumnsRenamed({"id": "ord", "stamp": "date"})
+
+
+@query(
+    f"""WITH {_TURNS}, c AS (SELECT d.id, s.ord, trim(d.subject) = trim(s.subject) AS exact, d.body AS a, s.body AS b FROM d JOIN s ON d.conv_id = s.conv_id AND s.turn >= d.turn),
+    j AS (SELECT id, ord, exact, trim(a) <> '' AND trim(b) <> '' AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.5 AS alike FROM (SELECT *, {_sql_shingles("a")} AS x, {_sql_shingles("b")} AS y FROM c)),
+    n AS (SELECT id, count(*) AS k FROM j WHERE exact OR alike GROUP BY id)
+    SELECT d.id, CASE WHEN k IS NULL THEN 'none' WHEN k = 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(k, 0)::int AS candidates FROM d LEFT JOIN n ON d.id = n.id"""
+)
+def draft_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s = _turns(spark, sf_dir)
+    return drafts.matches(d, s).select("id", "status", F.size("candidates").alias("candidates"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created"))
+    now = events.agg(F.max("created")).first()[0]
+    return drafts.unexpired(events, now, days=3).select("event_id")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, lower(substr(text, 1, 12)) AS subject FROM conversations WHERE role = 'user' AND turn % 2 = 0")
+def pending_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _ = _turns(spark, sf_dir)
+    status = F.when((F.col("id") % 1000) % 2 == 0, "pending").otherwise("matched")
+    return drafts.pending(d.withColumn("status", status).withColumn("register", F.lit("client"))).select("id", F.lower("subject").alias("subject"))
+
+
+# ---- Edits: an event is an observation of its user's draft.
+
+_SIDES = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'reduce' WHEN value < 50 THEN 'reduce' ELSE 'increase' END"
+
+
+@query(
+    f"""WITH o AS (SELECT event_id AS ord, user_id::varchar AS draft, CASE event_type WHEN 'click' THEN 'length' WHEN 'purchase' THEN 'hedging' WHEN 'signup' THEN 'opener' WHEN 'error' THEN 'signoff' ELSE event_type END AS dimension, {_SIDES} AS direction FROM events),
+    p AS (SELECT dimension, direction, count(DISTINCT draft) AS count FROM o WHERE dimension IN ('length', 'hedging', 'opener', 'signoff') GROUP BY 1, 2)
+    SELECT dimension, direction, count FROM p WHERE count >= 2 AND dimension IN (SELECT dimension FROM p GROUP BY dimension HAVING count(*) = 1)"""
+)
+def promotable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for pair in (("click", "length"), ("purchase", "hedging"), ("signup", "opener"), ("error", "signoff")) for x in pair])
+    kind = F.col("event_type")
+    side = F.when(kind.isin("purchase", "signup") | (F.col("value") < 50), "reduce").otherwise("increase")
+    observed = F.array(F.struct(F.coalesce(F.try_element_at(kinds, kind), kind).alias("dimension"), side.alias("direction"), F.lit("x").alias("evidence")))
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("draft_id"), observed.alias("observations"))
+    return edits.promotable(log).select("dimension", "direction", "count")
+
+
+@query("SELECT event_id AS ord, user_id::varchar AS draft_id FROM events WHERE event_type IN ('purchase', 'signup')")
+def recorded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the edit log that validation lets through: those of a known dimension."""
+    dimension = F.when(F.col("event_type").isin("purchase", "signup"), "hedging").otherwise(F.col("event_type"))
+    observed = F.array(F.struct(dimension.alias("dimension"), F.lit("replace:x").alias("direction"), F.lit("e").alias("evidence")))
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("draft_id"), observed.alias("observations"))
+    return edits.recorded(log).select("ord", "draft_id")
+
+
+# ---- Evaluation: three parts of the documents are truth, profile and control.
+
+_PART = "['truth', 'profile', 'control'][(doc_id % 3 + 1)::int]"
+_LONG = f"""{DECORATED}, u AS (SELECT {_PART} AS side, * FROM decorated), p AS (SELECT * FROM ({_sql_pooled("u", "side", "body")})),
+    f AS (UNPIVOT p ON contraction_rate, {", ".join(_PUNCT_SQL)} INTO NAME metric VALUE value),
+    cmp AS (SELECT t.metric, abs(t.value - p.value) AS p, abs(t.value - c.value) AS c, t.value AS tv, p.value AS pv FROM f t JOIN f p ON t.metric = p.metric AND t.side = 'truth' AND p.side = 'profile' JOIN f c ON t.metric = c.metric AND c.side = 'control')"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    side = F.element_at(F.array(F.lit("truth"), F.lit("profile"), F.lit("control")), (F.col("doc_id") % 3 + 1).cast("int"))
+    wide = metrics.pooled(decorated(spark, sf_dir).withColumn("side", side), ["side"])
+    long = written(wide.unpivot("side", [c for c in wide.columns if c != "side"], "metric", "value"), "sides")
+    return {s: long.filter(F.col("side") == s).select("metric", "value") for s in ("truth", "profile", "control")}
+
+
+@query(f"WITH {_LONG} SELECT metric, tv AS a, pv AS b, p AS delta FROM cmp")
+def metric_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = _sides(spark, sf_dir)
+    return edits.compared(sides["truth"], sides["profile"])
+
+
+@query(f"WITH {_LONG} SELECT metric, p AS delta FROM cmp ORDER BY p DESC, metric LIMIT 5")
+def largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = _sides(spark, sf_dir)
+    return edits.largest_gaps(edits.compared(sides["truth"], sides["profile"])).select("metric", "delta")
+
+
+@query(
+    f"""WITH {_LONG} SELECT count(*) AS metrics_compared, count(*) FILTER (WHERE p < c) AS profile_closer, count(*) FILTER (WHERE c < p) AS control_closer, count(*) FILTER (WHERE p = c) AS ties,
+    round(count(*) FILTER (WHERE p < c) / nullif(count(*) FILTER (WHERE p <> c), 0), 3) AS share, share >= 0.7 AS pass FROM cmp"""
+)
+def holdout_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = _sides(spark, sf_dir)
+    return edits.verdict(edits.compared(sides["truth"], sides["profile"]), edits.compared(sides["truth"], sides["control"]))
+
+
+@query(
+    """WITH a AS (SELECT source AS metric, count(*)::double AS value FROM documents WHERE lang = 'de' AND n_chars > 6000 GROUP BY source), b AS (SELECT source AS metric, count(*)::double AS value FROM documents WHERE lang = 'es' AND n_chars > 6000 GROUP BY source)
+    SELECT coalesce(a.metric, b.metric) AS metric, a.value AS a, b.value AS b FROM a FULL JOIN b ON a.metric = b.metric WHERE (a.value IS NULL) <> (b.value IS NULL)"""
+)
+def metric_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "documents").filter("n_chars > 6000")
+    counts = lambda lang: long.filter(F.col("lang") == lang).groupBy(F.col("source").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return edits.one_sided(counts("de"), counts("es"))
+
+
+@query()
+def register_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scalar metric of each language less that of the corpus."""
+    docs = decorated(spark, sf_dir).withColumn("grp", F.explode(F.array(F.col("lang"), F.lit("*"))))
+    return analyze.register_deltas(written(metrics.flat(docs, ["grp"]), "flat"))
+
+
+# ---- Diffs of neighbouring turns.
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("draft_body"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    paired = turns.withColumn("sent_body", F.lead("draft_body").over(after)).filter("sent_body is not null")
+    return paired.withColumn("draft_subject", F.substring("draft_body", 1, 8)).withColumn("sent_subject", F.substring("sent_body", 1, 8))
+
+
+@query(
+    f"""WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), q AS (SELECT *, len(regexp_extract_all(a, '\\S+')) AS n, len(regexp_extract_all(b, '\\S+')) AS m, {_sql_shingles("a")} AS x, {_sql_shingles("b")} AS y FROM p WHERE b IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN trim(a) = '' OR trim(b) = '' OR len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) < 0.25 THEN 'rewritten' ELSE 'edited' END AS classification, (m - n)::int AS word_count_delta,
+      coalesce((m - n) * 100 / nullif(n, 0), 0.0)::double AS word_count_pct, substr(a, 1, 8) <> substr(b, 1, 8) AS subject_changed, len({_sql_sentences("a")})::int AS draft_sentences, len({_sql_paragraphs("b")})::int AS sent_paragraphs FROM q"""
+)
+def structural_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.structural(_turn_pairs(spark, sf_dir)).select("conv_id", "turn", "classification", "word_count_delta", "word_count_pct", "subject_changed", "draft_sentences", "sent_paragraphs")
+
+
+@query()
+def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _turn_pairs(spark, sf_dir).select("conv_id", "turn", diff.sentence_diff(F.col("draft_body"), F.col("sent_body")).alias("c"))
+    return changes.select("conv_id", "turn", "c.removed", "c.added", "c.changed")
+
