@@ -10,7 +10,7 @@ All training text is counted: counts are made per task, then summed over the cor
 least 2^-NODE_BITS of all training symbols, at any corpus size. Shares of one depth sum to one, so at most 2^NODE_BITS
 nodes a depth exist; this proven bound, 16 MB a depth, is what makes the broadcast of the trie safe.
 
-Word counts have no such bound and are never broadcast. Documents are dealt into blocks by a hash; a block's
+Word counts have no such bound and are never broadcast. 2^BLOCK_BITS neighbouring documents are a block; a block's
 distinct words, not its documents' words, are joined to the corpus counts, and go back to their block.
 
 Defined results: null texts are empty and score as their end alone; without training texts, words count zero
@@ -23,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from penprint.llm.common import ascii_lower, blank_words, written
+from penprint.llm.common import ascii_lower, blank_words, dropped, written
 
 ORDER, NODE_BITS = 3, 20
 START, END = 0xFE, 0xFF
-BLOCK_DOCS, CHUNK = 4096, 1 << 20
+BLOCK_BITS, CHUNK = 12, 1 << 20
 _TOKEN, _GRAM = 0, 1
 
 
@@ -139,7 +139,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     grams: tuple[list, list] = [], []
 
     def rows(kind: int, block: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(block.astype(np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "block", "code", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(block.astype(np.int64)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "block", "code", "n"])
 
     for b in batches:
         block, held = np.asarray(b.column(0)), np.asarray(b.column(1).cast(pa.int8())).astype(bool)
@@ -189,22 +189,24 @@ def trained(counts: DataFrame) -> Model:
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n_docs = docs.count()
-    blocks = max(1, -(-n_docs // BLOCK_DOCS))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    dealt = docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("held_out"), whole.alias("_text"), F.pmod(F.xxhash64(F.col(key), whole), F.lit(blocks)).cast("int").alias("block"))
+    # Neighbouring rows of the input make a block, so blocks form without a shuffle; the table fixes who is in which.
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    dealt = written(docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"), block.alias("block")), "lm-blocks")
     hashed = F.transform(blank_words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
     body = F.col("_text").cast("binary")
 
-    by_block = dealt.repartition("block").sortWithinPartitions("block").select("block", "held_out", body.alias("body"), hashed.alias("words"))
-    counted = written(by_block.mapInArrow(_count_batches, "kind int, block int, code bigint, n bigint"), "lm-counts")
+    counted = written(dealt.select("block", "held_out", body.alias("body"), hashed.alias("words")).mapInArrow(_count_batches, "kind int, block bigint, code bigint, n bigint"), "lm-counts")
     model = spark.sparkContext.broadcast(trained(counted.filter(F.col("kind") == _GRAM).select("code", "n")))
     tokens = counted.filter(F.col("kind") == _TOKEN)
-    words = written(tokens.groupBy("code").agg(F.sum("n").alias("count")), "lm-words").withColumnRenamed("code", "_code")
-    word_total, word_kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
+    everywhere = Window.partitionBy("code")
+    glossary = written(
+        tokens.select("block", "code", F.sum("n").over(everywhere).alias("count"), (F.row_number().over(everywhere.orderBy("block")) == 1).alias("first")), "lm-glossary"
+    )
+    word_total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    word_kinds = glossary.agg(F.count_if(F.col("first") & (F.col("count") > 0))).first()[0]
     ends = dealt.filter(~F.col("held_out")).count()
+    dropped(counted)
     total, kinds = word_total + ends, word_kinds + (ends > 0)
-    glossary = tokens.select("block", "code").distinct().join(words, F.col("code") == F.col("_code")).select("block", "code", "count")
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("code").to_numpy())
@@ -244,5 +246,6 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         schema = schema.add(name, "long")
     schema = schema.add("base_score", T.DoubleType()).add("score", T.DoubleType())
     arrow = to_arrow_schema(schema)
-    left = dealt.select("block", "_key", "held_out", body.alias("body"), hashed.alias("words"))
-    return left.groupBy("block").cogroup(glossary.groupBy("block")).applyInArrow(scores, schema)
+    # Words are hashed after the shuffle, since the hashes take more room than the text.
+    left = dealt.repartition("block").select("block", "_key", "held_out", body.alias("body"), hashed.alias("words"))
+    return left.groupBy("block").cogroup(glossary.select("block", "code", "count").groupBy("block")).applyInArrow(scores, schema)
