@@ -57,6 +57,12 @@ def license_words(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def _gram_hashes(words: Column, k: int) -> Column:
+    """Hashes of the k-grams: each word is hashed once, a gram is the hash of its words' hashes."""
+    grams = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
+
+
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
     """Template k-grams: label, position, the words, and how many the template has."""
     rows = []
@@ -64,7 +70,7 @@ def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
         words = [w for w in re.split("[^0-9a-z]+", text.lower()) if w]
         grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
         rows += [(label, i, g, len(grams)) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "label string, template_pos int, gram string, template_grams int").withColumn("gram_hash", F.xxhash64("gram"))
+    return spark.createDataFrame(rows, "label string, template_pos int, gram string, template_grams int").withColumn("gram_hash", _gram_hashes(F.split("gram", " "), k)[0])
 
 
 def base_places(words: Column) -> Column:
@@ -93,8 +99,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     spark = docs.sparkSession
     # A row a word: the hash goes first, so the words of a gram are cut out only for rows that the join lets through.
     worded = docs.select(F.col(key).alias("_key"), license_words(F.col(text)).alias("_words")).filter(F.size("_words") >= k)
-    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])))
-    rolled = worded.select("_key", "_words", F.posexplode(hashes(F.col("_words"))).alias("_pos", "_hash"))
+    rolled = worded.select("_key", "_words", F.posexplode(_gram_hashes(F.col("_words"), k)).alias("_pos", "_hash"))
     hits = rolled.join(F.broadcast(template_grams(spark, k)), (F.col("_hash") == F.col("gram_hash")) & (F.concat_ws(" ", F.slice("_words", F.col("_pos") + 1, k)) == F.col("gram")))
     votes = hits.groupBy("_key", "label", "template_grams", (F.col("_pos") - F.col("template_pos")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.min("_pos").alias("first_word"), F.max("_pos").alias("last_word")
