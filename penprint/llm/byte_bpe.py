@@ -22,30 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penprint.llm.tokenize_words import MemoIds
+from penprint.llm.tokenize_words import MemoIds, kept_memo
 
 LONGEST, ROWS = 256, 1 << 15
 NONE = np.int32(2**31 - 1)
 
 
-class Ranks:
-    """Vocabulary of a rank file: bytes of each id, and ids of mergeable pairs in a hash table."""
+class Merges:
+    """Ranks of mergeable pairs of ids in a hash table, and the id that each rank's merge gives."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
-        for t, i in ranks.items():
-            tokens[i] = t
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        self.token_start, self.token_size = np.cumsum(lengths) - lengths, lengths
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.bits = max(4, (4 * len(self.pairs)).bit_length())
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.uint64)
-        values = np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
+    def __init__(self, pairs: dict[tuple[int, int], int], result: np.ndarray, byte_ids: np.ndarray, last_ids: np.ndarray) -> None:
+        """pairs: rank of a pair; byte_ids, last_ids: ids of a piece's bytes, and of its last byte."""
+        self.pairs, self.result, self.byte_ids, self.last_ids = pairs, result.astype(np.int32), byte_ids, last_ids
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        keys = np.array([a << 32 | b for a, b in pairs], np.uint64)
+        values = np.fromiter(pairs.values(), np.int32, len(pairs))
         self.keys, self.values = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.full(1 << self.bits, NONE, np.int32)
         slot, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(left):
@@ -62,7 +53,7 @@ class Ranks:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ids (which are ranks) of merged pairs; NONE where a pair doesn't merge or an id is padding (-1)."""
+        """Ranks of pairs; NONE where a pair doesn't merge or an id is padding (-1)."""
         keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64) & np.uint64(0xFFFFFFFF)
         slot = self._slot(keys)
         out = np.where(self.keys[slot] == keys, self.values[slot], NONE)
@@ -98,7 +89,7 @@ class Ranks:
             column = np.arange(ids.shape[1] - 1)
             ids_next = np.take_along_axis(ids, column + (column > at[:, None]), axis=1)
             each = np.arange(len(row))
-            ids_next[each, at] = rank
+            ids_next[each, at] = self.result[rank]
             column = column[:-1]
             ranks = np.take_along_axis(ranks, np.minimum(column + (column >= at[:, None]), ranks.shape[1] - 1), axis=1)
             before, after = at > 0, at < ids_next.shape[1] - 1
@@ -111,7 +102,8 @@ class Ranks:
 
     def merged_long(self, piece: bytes) -> list[int]:
         """One long piece: the heap holds (rank, position) of pairs; stale entries are skipped."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
+        raw = np.frombuffer(piece, np.uint8)
+        ids = [*self.byte_ids[raw[:-1]].tolist(), int(self.last_ids[raw[-1]])]
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         heap = [(self.pairs[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.pairs]
         heapq.heapify(heap)
@@ -120,7 +112,7 @@ class Ranks:
             j = after[i]
             if j < 0 or ids[i] < 0 or self.pairs.get((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            ids[i], ids[j] = int(self.result[rank]), -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -144,6 +136,8 @@ class Ranks:
                 part = mine[k : k + ROWS]
                 raw = np.frombuffer(b"".join(pieces[i].ljust(w, b"\0") for i in part.tolist()), np.uint8).reshape(-1, w)
                 ids = self.byte_ids[raw]
+                end = np.arange(len(part)), lengths[part] - 1
+                ids[end] = self.last_ids[raw[end]]
                 ids[np.arange(w) >= lengths[part][:, None]] = -1
                 out = self.merged_rows(ids)
                 real = out >= 0
@@ -160,6 +154,23 @@ class Ranks:
             flat[np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return flat, size
 
+
+class Ranks(Merges):
+    """The vocabulary of a rank file, whose ranks are ids, and the bytes of each id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            tokens[i] = t
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        self.token_start, self.token_size = np.cumsum(lengths) - lengths, lengths
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        super().__init__(pairs, np.arange(len(tokens)), byte_ids, byte_ids)
+
     def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and how many each has."""
         size = self.token_size[ids]
@@ -185,7 +196,7 @@ def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def _encode_batches(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(.., text) -> (.., ids, n_ids, decoded)."""
-        pieces = PieceIds(path, pattern)
+        pieces = kept_memo(PieceIds, path, pattern)
         for whole in batches:
             for i in range(0, len(whole), 500):
                 b = whole.slice(i, 500)

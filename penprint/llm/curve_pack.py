@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penprint.llm.common import written
-from penprint.llm.tokenize_words import WordIds
+from penprint.llm.tokenize_words import WordIds, kept_memo
 
 SIZE, CLOSING, DIMS, BITS = 4096, 2, 4, 15
 
@@ -80,7 +80,7 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.nd
 def _token_batches(path: str, closing: int):
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(.., text) -> (.., ids, n_ids, curve_key)."""
-        encode, table = WordIds(path), np.empty((0, DIMS), np.int8)
+        encode, table = kept_memo(WordIds, path), np.empty((0, DIMS), np.int8)
         for whole in batches:
             for i in range(0, len(whole), 1000):
                 b = whole.slice(i, 1000)

@@ -1,16 +1,27 @@
 """Ids of whole texts from the ids of their distinct pieces.
 
-A tokenizer that treats the pieces of a text separately is asked once a distinct piece. Each task keeps a memo of
-at most MEMO pieces, which starts anew when full, and one batch of texts.
+A tokenizer that treats the pieces of a text separately is asked once a distinct piece. Each Python worker keeps a memo
+of at most MEMO pieces from task to task, which starts anew when full; a task holds one batch of texts besides.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import numpy as np
 
-MEMO = 500_000
+MEMO = 700_000
+_memos: dict[tuple, MemoIds] = {}
+
+
+def kept_memo(kind: type[MemoIds], *arguments: str) -> MemoIds:
+    """The worker's memo of this kind; only the last kind asked for is kept."""
+    if (kind, *arguments) not in _memos:
+        _memos.clear()
+        _memos[kind, *arguments] = kind(*arguments)
+    return _memos[kind, *arguments]
 
 
 class MemoIds:
@@ -38,11 +49,10 @@ class MemoIds:
         if len(self.number) > MEMO:
             MemoIds.__init__(self)
         split = [self.split(t) for t in texts]
-        if new := list({w for pieces in split for w in pieces if w not in self.number}):
+        if new := list(set(chain.from_iterable(split)).difference(self.number)):
             self._learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.number
-        word = np.fromiter((number[w] for pieces in split for w in pieces), np.int64, int(counts.sum()))
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         size = self.size[word]
         ends = np.cumsum(size)
         at = np.repeat(self.start[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
@@ -50,23 +60,66 @@ class MemoIds:
 
 
 class WordIds(MemoIds):
-    """Ids by a tokenizers file whose tokenizer parts text at white space and drops it (word_bpe_49k.json does)."""
+    """Ids by a tokenizers file whose tokenizer parts text at white space and drops it (word_bpe_49k.json does).
+
+    Words of Latin letters, digits and ASCII signs, for which lower-casing and normal form are plain, are parted by the
+    tokenizer's pattern and merged in matrices by its merge table; the tokenizer itself encodes all others.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
+        from penprint.llm.byte_bpe import Merges
+
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # Printable Latin up to U+024F, without the letters that change length in lower case or normal form.
+        self.plain = regex.compile("[!-~\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0131-\u024f]*").fullmatch
+        vocabulary, model = spec["model"]["vocab"], spec["model"]
+        end = model["end_of_word_suffix"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        pairs: dict[tuple[int, int], int] = {}
+        for rank, (a, b) in enumerate(merges):
+            pairs.setdefault((vocabulary[a], vocabulary[b]), rank)
+        letters = _byte_letters()
+        self.merges = Merges(
+            pairs,
+            np.array([vocabulary[a + b] for a, b in merges]),
+            np.array([vocabulary[x] for x in letters], np.int32),
+            np.array([vocabulary[x + end] for x in letters], np.int32),
+        )
 
     def split(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, size = [], []
-        for i in range(0, len(pieces), 20_000):
-            for e in self.tokenizer.encode_batch(pieces[i : i + 20_000], add_special_tokens=False):
-                ids += e.ids
-                size.append(len(e.ids))
-        return np.array(ids, np.uint32), np.array(size, np.int64)
+        # A word for the tokenizer itself is one part, marked by a character that no plain word has.
+        parts = [self.parts(p.lower()) if self.plain(p) else [f"\0{p}"] for p in pieces]
+        distinct = set(chain.from_iterable(parts))
+        others = [x for x in distinct if x[0] == "\0"]
+        distinct = [*distinct.difference(others), *others]
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        ids, size = self.merges.encoded([x.encode() for x in distinct[: len(distinct) - len(others)]])
+        encoded = [e.ids for i in range(0, len(others), 20_000) for e in self.tokenizer.encode_batch([x[1:] for x in others[i : i + 20_000]], add_special_tokens=False)]
+        size = np.r_[size, np.fromiter(map(len, encoded), np.int64, len(encoded))]
+        ids = np.r_[ids, np.fromiter(chain.from_iterable(encoded), np.uint32)]
+        start = np.cumsum(size) - size
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64)
+        n = size[flat]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(start[flat] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        return out, np.diff(np.r_[0, np.r_[0, ends][counts]])
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(other)) for b in range(256)]
