@@ -93,9 +93,13 @@ def _sql_count(x: str, pattern: str) -> str:
 _WORDS = lambda x: _sql_count(x, "[A-Za-z']+")
 
 
-def _sql_shingles(x: str) -> str:
-    w = f"regexp_extract_all(lower({x}), '[a-z'']+')"
-    return f"CASE WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string(({w})[i:i+4], ' '))) END"
+def _sql_tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[a-z'']+')"
+
+
+def _sql_shingles(w: str) -> str:
+    """w: a column of words; an expression would be computed again for every window."""
+    return f"CASE WHEN len({w}) < 5 THEN [array_to_string({w}, ' ')] ELSE list_distinct(list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i+4], ' '))) END"
 
 
 def _sql_quartiles(source: str, by: str) -> str:
@@ -220,12 +224,12 @@ def english_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Shingles and deduplication.
 
 
-@query(f"SELECT doc_id, len({_sql_shingles('text')})::int AS shingles FROM documents")
+@query(f"SELECT doc_id, len({_sql_shingles('w')})::int AS shingles FROM (SELECT doc_id, {_sql_tokens('text')} AS w FROM documents)")
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
 
 
-_SETS = f"""sets AS (SELECT doc_id, s, len(s) AS n FROM (SELECT doc_id, {_sql_shingles("text")} AS s FROM documents)),
+_SETS = f"""sets AS (SELECT doc_id, s, len(s) AS n FROM (SELECT doc_id, {_sql_shingles("w")} AS s FROM (SELECT doc_id, {_sql_tokens("text")} AS w FROM documents))),
     firsts AS (SELECT min(doc_id) AS doc_id, s, n FROM (SELECT doc_id, list_sort(s) AS s, n FROM sets) GROUP BY s, n),
     each AS (SELECT doc_id, n, unnest(s) AS x FROM firsts),
     pairs AS (SELECT a.doc_id AS "left", b.doc_id AS "right", count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
@@ -388,7 +392,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"""WITH {_TURNS}, c AS (SELECT d.id, s.ord, trim(d.subject) = trim(s.subject) AS exact, d.body AS a, s.body AS b FROM d JOIN s ON d.conv_id = s.conv_id AND s.turn >= d.turn),
-    j AS (SELECT id, ord, exact, trim(a) <> '' AND trim(b) <> '' AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.5 AS alike FROM (SELECT *, {_sql_shingles("a")} AS x, {_sql_shingles("b")} AS y FROM c)),
+    j AS (SELECT id, ord, exact, trim(a) <> '' AND trim(b) <> '' AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.5 AS alike FROM (SELECT *, {_sql_shingles("v")} AS x, {_sql_shingles("w")} AS y FROM (SELECT *, {_sql_tokens("a")} AS v, {_sql_tokens("b")} AS w FROM c))),
     n AS (SELECT id, count(*) AS k FROM j WHERE exact OR alike GROUP BY id)
     SELECT d.id, CASE WHEN k IS NULL THEN 'none' WHEN k = 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(k, 0)::int AS candidates FROM d LEFT JOIN n ON d.id = n.id"""
 )
@@ -503,7 +507,7 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), q AS (SELECT *, len(regexp_extract_all(a, '\\S+')) AS n, len(regexp_extract_all(b, '\\S+')) AS m, {_sql_shingles("a")} AS x, {_sql_shingles("b")} AS y FROM p WHERE b IS NOT NULL)
+    f"""WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), q AS (SELECT *, len(regexp_extract_all(a, '\\S+')) AS n, len(regexp_extract_all(b, '\\S+')) AS m, {_sql_shingles("v")} AS x, {_sql_shingles("w")} AS y FROM (SELECT *, {_sql_tokens("a")} AS v, {_sql_tokens("b")} AS w FROM p WHERE b IS NOT NULL))
     SELECT conv_id, turn, CASE WHEN trim(a) = '' OR trim(b) = '' OR len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) < 0.25 THEN 'rewritten' ELSE 'edited' END AS classification, (m - n)::int AS word_count_delta,
       coalesce((m - n) * 100 / nullif(n, 0), 0.0)::double AS word_count_pct, substr(a, 1, 8) <> substr(b, 1, 8) AS subject_changed, len({_sql_sentences("a")})::int AS draft_sentences, len({_sql_paragraphs("b")})::int AS sent_paragraphs FROM q"""
 )
