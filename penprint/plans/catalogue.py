@@ -315,13 +315,13 @@ _GRAMS = """w AS (SELECT source, doc_id, lang, list_transform(regexp_extract_all
 @query(
     f"""WITH {_GRAMS}, base AS (SELECT n AS bn, phrase AS bp, count(*) / sum(count(*)) OVER (PARTITION BY n) AS freq FROM g GROUP BY n, phrase),
     c AS (SELECT lang, n, phrase, count(*) AS count, sum(count(*)) OVER (PARTITION BY lang, n) AS total FROM g GROUP BY lang, n, phrase)
-    SELECT lang, n, phrase, count, ln(count / total / coalesce(freq, 1e-7)) AS log_odds FROM c LEFT JOIN base ON n = bn AND phrase = bp WHERE count >= 3"""
+    SELECT lang, n, phrase, count, round(ln(count / total / coalesce(freq, 1e-7)), 6) AS log_odds FROM c LEFT JOIN base ON n = bn AND phrase = bp WHERE count >= 3"""
 )
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-odds of every phrase of a language against all documents."""
     docs = _documents(spark, sf_dir)
     base = lexicon.baseline_of(docs)
-    return lexicon.lexicon(docs, base, ["lang"], top=2**31 - 1).select("lang", "n", "phrase", "count", "log_odds")
+    return lexicon.lexicon(docs, base, ["lang"], top=2**31 - 1).select("lang", "n", "phrase", "count", F.round("log_odds", 6).alias("log_odds"))
 
 
 @query()
