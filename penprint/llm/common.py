@@ -1,27 +1,21 @@
-"""Helpers shared by the operators: tables, let-bindings, words, and files in the shared folder."""
+"""Helpers shared by the operators: let-bindings and words, and the library's tables and scratch files."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from penprint.storage import dropped, scratch_path, table, written
+
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "blank_words", "dropped", "let", "scratch_path", "table", "written"]
+
 #: Code points that part words: tab, line feed, vertical tab, form feed, carriage return, space.
 BLANKS = "\t\n\x0b\x0c\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body names it (also inside lambdas)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -36,52 +30,3 @@ def blank_words(text: Column) -> Column:
     """The maximal runs of code points outside BLANKS; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="penprint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    if not _scratch:
-        atexit.register(clean_scratch)
-    path = f"{shared_dir(spark)}/penprint/{label}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clean_scratch() -> None:
-    for spark, path in _scratch:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended already
-            pass
-    _scratch.clear()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing upstream."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove the files behind a table made by written()."""
-    remove(df.sparkSession, df.scratch)
