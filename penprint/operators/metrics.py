@@ -74,26 +74,26 @@ def pooled(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
     return sums.select(*by, F.coalesce(F.col("_c") / F.nullif(F.col("_c") + F.col("_e"), F.lit(0)), F.lit(0.0)).alias("contraction_rate"), *[rate(k) for k in kinds])
 
 
-def stance(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
+def stance(messages: DataFrame, by: list[str], body: str = "body", joined_by: str | None = None) -> DataFrame:
     """by, hedges a hundred words, and imperatives, questions and bullets a sentence.
 
-    Sentences are counted in each message, so one never runs over into the next message.
+    Sentences are counted in each message, so one never runs over into the next. With joined_by, a group's bodies
+    are first joined in that column's order, as for one long text: a body that ends without a mark then shares a sentence with
+    the next. That puts a group into one row, so it is for a single person's mail, not for large groups.
     """
+    if joined_by:
+        parts = F.array_sort(F.collect_list(F.struct(F.col(joined_by).alias("o"), F.col(body).alias("b"))))
+        messages = messages.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["b"]), "\n\n").alias(body))
     b = F.col(body)
-    counted = messages.select(
-        *by,
-        text.let(
-            text.sentences(b),
-            lambda s: F.struct(
-                F.size(s).alias("sentences"),
-                text.n_imperatives(s).alias("imperatives"),
-                text.n_questions(s).alias("questions"),
-                text.n_bullets(b).alias("bullets"),
-                text.n_hedges(b).alias("hedges"),
-                text.n_words(b).alias("words"),
-            ),
-        ).alias("s"),
-    )
+    counts = {
+        "sentences": lambda s: F.size(s),
+        "imperatives": text.n_imperatives,
+        "questions": text.n_questions,
+        "bullets": lambda s: text.n_bullets(b),
+        "hedges": lambda s: text.n_hedges(b),
+        "words": lambda s: text.n_words(b),
+    }
+    counted = messages.select(*by, text.let(text.sentences(b), lambda s: F.struct(*[f(s).alias(k) for k, f in counts.items()])).alias("s"))
     total = lambda k: F.sum(f"s.{k}")
     per = lambda k, of: F.coalesce(total(k) / F.nullif(total(of), F.lit(0)), F.lit(0.0))
     return counted.groupBy(*by).agg(
@@ -129,10 +129,10 @@ def english_valid(messages: DataFrame, by: list[str], body: str = "body") -> Dat
     return messages.groupBy(*by).agg((F.coalesce(odd, F.lit(0.0)) < NON_ASCII_SHARE).alias("english_metrics_valid"))
 
 
-def flat(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject") -> DataFrame:
+def flat(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject", joined_by: str | None = None) -> DataFrame:
     """by, metric, value: all scalar metrics in one long table, named by dotted paths; nulls are left out."""
     rows = []
-    for block, name in ((pooled(messages, by, body), None), (stance(messages, by, body), "stance"), (ask_median(messages, by, body), None), (subjects(messages, by, subject), "subject")):
+    for block, name in ((pooled(messages, by, body), None), (stance(messages, by, body, joined_by), "stance"), (ask_median(messages, by, body), None), (subjects(messages, by, subject), "subject")):
         cols = [c for c in block.columns if c not in by]
         label = lambda c, name=name: f"{name}.{c}" if name else (c if c in ("contraction_rate", "ask_placement_median") else f"punctuation.{c}")
         rows.append(block.select(*by, F.explode(F.array(*[F.struct(F.lit(label(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")).select(*by, "m.*"))

@@ -22,9 +22,9 @@ def corpus(parsed: DataFrame, user: str) -> tuple[DataFrame, dict[str, int]]:
     return kept, mail.drop_counts(judged, kept).first().asDict()
 
 
-def blocks(messages: DataFrame, baseline: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def blocks(messages: DataFrame, baseline: DataFrame, by: list[str], joined_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The long table of scalar metrics, and the lexicon, of each group."""
-    return metrics.flat(messages, by), lexicon.lexicon(messages, baseline, by)
+    return metrics.flat(messages, by, joined_by=joined_by), lexicon.lexicon(messages, baseline, by)
 
 
 def _nested(rows: list) -> dict:
@@ -38,9 +38,10 @@ def _nested(rows: list) -> dict:
     return out
 
 
-def fingerprint(messages: DataFrame, baseline: DataFrame, user: str) -> dict:
+def fingerprint(messages: DataFrame, baseline: DataFrame, user: str, joined: bool = False) -> dict:
     """The fingerprint document: one block of the corpus and one of each register of enough messages.
 
+    joined: sentences of the stance rates are those of all bodies as one text (see metrics.stance).
     Only grouped results reach the driver: a few dozen metrics and at most LEXICON_SIZE phrases a group.
     """
     main = messages.filter(~F.col("is_terse"))
@@ -51,7 +52,7 @@ def fingerprint(messages: DataFrame, baseline: DataFrame, user: str) -> dict:
     counts = {r["register"]: r["messages"] for r in registers.counted(assigned).collect()}
     # Each message counts for its register and for the corpus as a whole.
     both = assigned.withColumn("grp", F.explode(F.array(F.col("register"), F.lit("*"))))
-    flat, words = blocks(both, baseline, ["grp"])
+    flat, words = blocks(both, baseline, ["grp"], "ord" if joined else None)
     found: dict[str, list] = {}
     for r in flat.collect():
         found.setdefault(r["grp"], []).append((r["metric"], r["value"]))
