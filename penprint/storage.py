@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def collected() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The scratch paths made inside the block, in a list that is complete at its end."""
+    begun, made = len(_scratch), []
+    yield made
+    made += _scratch[begun:]
+
+
+def release(made: list[tuple[SparkSession, str]]) -> None:
+    """Remove collected scratch files; nothing that reads them may be left to run."""
+    for spark, path in made:
+        remove(spark, path)
+    made.clear()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
