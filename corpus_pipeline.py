@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of documents.
+columns of documents. A stage's result must be written before the next stage is called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +15,49 @@ from pyspark.sql import functions as F
 
 from penprint.llm import curve_pack, host_quality, simhash, suffix_dedup
 from penprint.llm.common import table, written
+from penprint.storage import collected, release
 
-#: Five-word shingles of Jaccard similarity 0.8 differ in 9.7 of 64 SimHash bits on average.
-SHINGLE_WORDS, RADIUS = 5, 8
+#: Sets of five-word shingles of Jaccard similarity 0.8 differ in 9.7 of 64 SimHash bits on average, 19.4 of 128.
+SHINGLE_WORDS, RADIUS, TOTAL = 5, 8, 20
 
 
+_scratch: list = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Removes the intermediate tables of the stage before, whose result is a table of its own by now."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_scratch)
+        with collected() as made:
+            out = f(spark, docs, sf_dir)
+        _scratch.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return host_quality.judged(docs).filter("kept").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least doc_id."""
-    return simhash.deduplicated(docs, n=SHINGLE_WORDS, radius=RADIUS).select(*docs.columns)
+    return simhash.deduplicated(docs, n=SHINGLE_WORDS, radius=RADIUS, total=TOTAL).select(*docs.columns)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their passages of 400 bytes or more that occur more than once; a text may become empty."""
     cut = suffix_dedup.removed(docs, decode=True).withColumnRenamed("kept", "text")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts in sequences of 4096 ids, with the ids."""
     pieces = curve_pack.packed(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

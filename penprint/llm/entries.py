@@ -84,7 +84,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles, and the classes that links at four or fewer differing bits make."""
-    marked = written(simhash.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4), "simhash")
+    marked = written(simhash.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4).drop("second"), "simhash")
     return simhash.classes(marked, radius=4).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 

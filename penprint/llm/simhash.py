@@ -11,6 +11,10 @@ fingerprints a machine word), distances of a tile of queries to all members are
 carry-save counters, and a tile is abandoned once all its distances exceed the radius. Tasks give spanning
 edges of what they find, never all pairs; components.roots joins them up.
 
+Sixty-four bits alone can't carry a wide radius over many documents: at 8 bits, one pair of unrelated texts in
+4e9 is linked by chance, which is every text at 1e10 of them. With ``total``, a second fingerprint (the same hashes,
+mixed anew) must agree as well: at 20 of 128 bits, one unrelated pair in 1e15 or so is linked.
+
 Defined results: null, empty and wordless texts have fingerprint zero and are one class; a text of fewer words
 than a shingle is one shingle; repeated rows are in one class; empty tables give empty results; other columns
 pass through (``fingerprint`` and ``component_id`` must be free).
@@ -19,7 +23,7 @@ pass through (``fingerprint`` and ``component_id`` must be free).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from penprint.llm.common import ascii_lower, blank_words, dropped, let, written
 from penprint.llm.components import roots
 
-CHUNK = 2048
+CHUNK = 4096
 _FEW = 16
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -64,20 +68,28 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that are independent of those given, for a second fingerprint."""
+    x = (hashes ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(b.num_columns - 1)
         offsets = np.asarray(lists.offsets, np.int64)
         hashes = np.asarray(lists.values, np.int64).view(np.uint64)[offsets[0] : offsets[-1]]
-        made = majority_bits(hashes, offsets - offsets[0]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made)], [*b.schema.names[:-1], "fingerprint"])
+        made = [pa.array(majority_bits(h, offsets - offsets[0]).view(np.int64)) for h in (hashes, remixed(hashes))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "fingerprint", "second"])
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", n: int = 4) -> DataFrame:
-    """docs without the text, with fingerprint (bigint)."""
+    """docs without the text, with fingerprint and second (bigint)."""
     kept = [c for c in docs.columns if c != text]
     hashed = docs.select(*kept, shingle_hashes(F.col(text), n).alias("_hashes"))
-    schema = docs.select(*kept).schema.add("fingerprint", "long")
+    schema = docs.select(*kept).schema.add("fingerprint", "long").add("second", "long")
     return hashed.mapInArrow(_fingerprint_batches, schema)
 
 
@@ -117,22 +129,44 @@ def within(planes: Iterator[np.ndarray], radius: int) -> np.ndarray | None:
     return ~done
 
 
-def clusters(fingerprints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (member, root) of the links between distinct fingerprints."""
+def _near(first: Iterator[np.ndarray], second: Iterator[np.ndarray], radius: int, total: int | None) -> np.ndarray | None:
+    """Bits of the positions within the radius, and within ``total`` over both fingerprints."""
+    kept: list[np.ndarray] = []
+
+    def passed() -> Iterator[np.ndarray]:
+        for x in first:
+            if total is not None:
+                kept.append(x.copy())
+            yield x
+
+    found = within(passed(), radius)
+    if found is None or total is None:
+        return found
+    both = within(chain(kept, second), total)
+    return None if both is None else found & both
+
+
+def _differences(queries: np.ndarray, planes: np.ndarray) -> Iterator[np.ndarray]:
+    """Plane by plane, the bits in which each query differs from all members."""
+    for b in range(64):
+        yield planes[b][None, :] ^ np.where(queries >> np.uint64(b) & np.uint64(1), _ONES, np.uint64(0))[:, None]
+
+
+def clusters(fingerprints: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (member, root), as positions, of the links between fingerprints."""
     n = len(fingerprints)
-    planes = bit_planes(fingerprints)
-    tail = np.zeros(planes.shape[1] * 64, np.uint8)
+    words = [fingerprints, fingerprints if second is None else second]
+    planes = [bit_planes(w) for w in words]
+    tail = np.zeros(planes[0].shape[1] * 64, np.uint8)
     tail[:n] = 1
     real = np.packbits(tail, bitorder="little").view(np.uint64)
-    near = np.zeros((n, planes.shape[1]), np.uint64)
+    near = np.zeros((n, planes[0].shape[1]), np.uint64)
     for at in range(0, n, tile):
-        q = fingerprints[at : at + tile]
-        flips = [np.where(q >> np.uint64(b) & np.uint64(1), _ONES, np.uint64(0))[:, None] for b in range(64)]
-        found = within((planes[b][None, :] ^ flips[b] for b in range(64)), radius)
+        found = _near(*(_differences(w[at : at + tile], p) for w, p in zip(words, planes, strict=True)), radius, total)
         if found is not None:
             near[at : at + tile] = found & real
     seen = np.zeros(n, bool)
-    members, root_of = [], []
+    members, root_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     linked = np.bitwise_count(near).sum(axis=1) > 1  # besides itself
     for root in np.flatnonzero(linked):
         if seen[root]:
@@ -145,52 +179,53 @@ def clusters(fingerprints: np.ndarray, radius: int, tile: int = 512) -> tuple[np
             seen[frontier] = True
             members.append(frontier)
             root_of.append(np.full(len(frontier), root))
-    if not members:
-        return fingerprints[:0], fingerprints[:0]
-    return fingerprints[np.concatenate(members)], fingerprints[np.concatenate(root_of)]
+    return np.concatenate(members), np.concatenate(root_of)
 
 
-def small_groups(groups: np.ndarray, fingerprints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs in groups of few members: pairs a fixed offset apart are compared together, 64 to a word."""
-    left, right = [], []
-    for d in range(1, _FEW):
-        at = np.flatnonzero(groups[d:] == groups[:-d]) if d < len(groups) else np.empty(0, np.int64)
+def small_groups(groups: np.ndarray, fingerprints: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs, as positions, in groups of few members: pairs a fixed offset apart are compared together, 64 to a word."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    words = [fingerprints, fingerprints if second is None else second]
+    for d in range(1, min(_FEW, len(groups))):
+        at = np.flatnonzero(groups[d:] == groups[:-d])
         if not len(at):
             break
-        a, b = fingerprints[at], fingerprints[at + d]
-        planes = bit_planes(a ^ b)
-        if (found := within(iter(planes.copy()), radius)) is not None:
-            hit = np.unpackbits(found.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
-            left.append(a[hit])
-            right.append(b[hit])
-    if not left:
-        return fingerprints[:0], fingerprints[:0]
+        # Padding differs from nothing, so it is cut off below.
+        planes = [iter(bit_planes(w[at] ^ w[at + d])) for w in words]
+        if (found := _near(*planes, radius, total)) is not None:
+            hit = np.unpackbits(found.view(np.uint8), bitorder="little")[: len(at)].astype(bool)
+            left.append(at[hit])
+            right.append(at[hit] + d)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linked_batches(radius: int):
+def _linked_batches(radius: int, total: int | None):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of (group, fingerprint), sorted by group."""
+        """Batches of (group, node, fingerprint, second), sorted by group."""
 
-        def edges(g: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        def edges(g: np.ndarray, node: np.ndarray, f: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             sizes = np.diff(np.r_[starts, len(g)])
-            few = np.repeat(sizes <= _FEW, sizes)
-            found = [small_groups(g[few], f[few], radius)]
-            found += [clusters(np.unique(f[s : s + k]), radius) for s, k in zip(starts[sizes > _FEW], sizes[sizes > _FEW], strict=True)]
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        g, f = np.empty(0, np.int64), np.empty(0, np.uint64)
+            few = np.flatnonzero(np.repeat(sizes <= _FEW, sizes))
+            u, v = small_groups(g[few], f[few], radius, s[few], total)
+            found = [(node[few[u]], node[few[v]])]
+            for at, k in zip(starts[sizes > _FEW], sizes[sizes > _FEW], strict=True):
+                mine = slice(at, at + k)
+                u, v = clusters(f[mine], radius, s[mine], total)
+                found.append((node[mine][u], node[mine][v]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+
+        held: list[np.ndarray] | None = None
         for b in batches:
-            g = np.concatenate([g, np.asarray(b.column(0), np.int64)])
-            f = np.concatenate([f, np.asarray(b.column(1), np.int64).view(np.uint64)])
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
+            new = [np.asarray(c, np.int64) for c in b.columns]
+            new[2:] = [x.view(np.uint64) for x in new[2:]]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
             if cut:
-                yield edges(g[:cut], f[:cut])
-                g, f = g[cut:], f[cut:]
-        if len(g):
-            yield edges(g, f)
+                yield edges(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield edges(*held)
 
     return linked
 
@@ -202,34 +237,38 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges u, v that connect all fingerprints linked at the radius. fingerprints: distinct, column fingerprint."""
+def links(nodes: DataFrame, radius: int = 4, total: int | None = None) -> DataFrame:
+    """Edges u, v that connect all nodes that are linked. nodes: node, fingerprint, second; fingerprints distinct without total."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(radius))])
-    keyed = fingerprints.select("fingerprint", F.explode(keys).alias("key"))
-    crowds = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("crowd"), "n"), "crowds")
-    met = keyed.join(crowds, F.col("key") == F.col("crowd"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint", F.lit(1)), chunks).cast("int")
+    keyed = nodes.select("node", "fingerprint", "second", F.explode(keys).alias("key"))
+    # Only crowded keys are looked up, and they are few: the rows themselves are shuffled once.
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    crowds = written(counts.filter(F.col("n") > CHUNK).select(F.col("key").alias("crowd"), "n"), "crowds")
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
+    met = keyed.join(crowds, F.col("key") == F.col("crowd"), "left")
     paired = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    grouped = paired.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "fingerprint")
-    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_batches(radius), "u bigint, v bigint")
+    grouped = paired.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "node", "fingerprint", "second")
+    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_batches(radius, total), "u bigint, v bigint")
 
 
-def classes(marked: DataFrame, key: str = "doc_id", radius: int = 4) -> DataFrame:
-    """marked with component_id, the least key reachable. marked: a table with key and fingerprint, read more than once."""
-    nodes = written(marked.groupBy("fingerprint").agg(F.min(key).alias("least")), "nodes")
-    stars = roots(links(nodes.select("fingerprint"), radius))
-    rooted = written(nodes.join(stars, F.col("fingerprint") == F.col("u"), "left").select("fingerprint", "least", F.coalesce("v", "fingerprint").alias("root")), "rooted")
+def classes(marked: DataFrame, key: str = "doc_id", radius: int = 4, total: int | None = None) -> DataFrame:
+    """marked with component_id, the least key reachable. marked: a table with key, fingerprint and, for total, second."""
+    node = F.col("fingerprint") if total is None else F.xxhash64("fingerprint", "second")
+    second = F.lit(0).cast("bigint") if total is None else F.first("second")
+    nodes = written(marked.groupBy(node.alias("node")).agg(F.min(key).alias("least"), F.first("fingerprint").alias("fingerprint"), second.alias("second")), "nodes")
+    stars = roots(links(nodes.drop("least"), radius, total))
+    rooted = written(nodes.join(stars, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root"), "least")
-    labels = written(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fingerprint").alias("_f"), "component_id"), "labels")
+    labels = written(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id"), "labels")
     for t in (nodes, stars, rooted, least):
         dropped(t)
-    return marked.join(labels, F.col("fingerprint") == F.col("_f")).drop("_f")
+    return marked.join(labels, node == F.col("_node")).drop("_node")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, radius: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, radius: int = 8, total: int | None = 20) -> DataFrame:
     """One document of each class stays: that of the least key. Rows that share this key stay together."""
     marked = written(fingerprinted(docs.select(key, text), text, n), "simhash")
-    stays = classes(marked, key, radius).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stays")).distinct()
+    stays = classes(marked, key, radius, total).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stays")).distinct()
     return docs.join(written(stays, "stays"), F.col(key) == F.col("_stays")).drop("_stays")

@@ -75,6 +75,26 @@ def test_op5_classes(spark, radius, monkeypatch):
     assert [got[i] for i in range(len(prints))] == classes_by_hand(prints, radius)
 
 
+def test_links_that_a_second_fingerprint_must_confirm(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 32)
+    rng = np.random.default_rng(1)
+    flip = lambda x, k: x ^ sum(1 << int(b) for b in set(rng.integers(0, 64, k)))
+    pairs = []
+    for _ in range(8):
+        f, s = (int(x) for x in rng.integers(0, 2**63, 2))
+        pairs += [(flip(f, rng.integers(0, 6)), flip(s, rng.integers(0, 26))) for _ in range(40)]
+    f, s = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    d = np.bitwise_count(f[:, None] ^ f[None, :]), np.bitwise_count(s[:, None] ^ s[None, :])
+    near = (d[0] <= 8) & (d[0].astype(int) + d[1] <= 20)
+    label = np.arange(len(f))
+    while (nxt := np.where(near, label[None, :], len(f)).min(axis=1)).tolist() != label.tolist():
+        label = nxt
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(f.view(np.int64), s.view(np.int64), strict=True))]
+    marked = written(spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint, second bigint"), "marked")
+    got = {r.doc_id: r.component_id for r in simhash.classes(marked, radius=8, total=20).collect()}
+    assert [got[i] for i in range(len(f))] == label.tolist() and len(set(label.tolist())) > 8
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "u bigint, v bigint")
     assert {r.u: r.v for r in roots(chain).collect()} == {**{i: 0 for i in range(1, 201)}, 901: 900}
