@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from penprint.llm import byte_bpe, curve_pack, host_quality, licenses, order_minhash, ppm, simhash, suffix_dedup, url_filter, warc
 from penprint.llm.common import scratch_path, table, written
+from penprint.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -51,7 +53,7 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rated = written(host_quality.measured(docs).drop("text"), "measured")
     m = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return host_quality.verdicts(rated).select("doc_id", *[F.col(f"_q_measures.{x}").alias(x) for x in m], "base_failed", "kept", "host_rate")
+    return host_quality.verdicts(rated).select("doc_id", *[F.col(f"_q_measures.{x}").alias(x) for x in m], "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 @query
@@ -78,7 +80,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or host verdict of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", *[F.round(c, 9).alias(c) for c in ("trust", "distrust")])
 
 
 @query
