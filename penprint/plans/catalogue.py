@@ -38,7 +38,7 @@ ASKS = ["Can you confirm by Friday?", "Need the deck by noon.", "Nothing else he
 HEDGES = ["I think it is fine; maybe.", "They do not agree (yet)!", "It's just a bit late...", "We can't wait -- sorry to push."]
 BULLETS = ["- one\n- two", "* single", "No list."]
 CLOSERS = ["Best,\nDana Reyes", "Thanks", "- D", "Cheers,\nSam", "see https://ex.com/a for $4,200.00"]
-FOOTERS = ["", "-- \nDana | Northwind", "Sent from my phone", "Dana Reyes\ncall 415-555-0100 now", "On Mon, Sam wrote:\n> old text"]
+FOOTERS = ["", "-- \nDana | Acme", "Sent from my phone", "Dana Reyes\ncall 415-555-0100 now", "On Mon, Sam wrote:\n> old text"]
 _PARTS = [OPENERS, ASKS, HEDGES, BULLETS, CLOSERS]
 
 

@@ -63,7 +63,7 @@ def test_quotes_are_cut(of):
 def test_signatures_are_cut(of):
     assert of(t.without_signature, "Body.\n\n-- \nDana") == "Body."
     assert of(t.without_signature, "ok\n\nSent from my iPhone") == "ok"
-    assert of(t.without_signature, "Body here.\nThanks\n\nDana Reyes\nNorthwind Labs\ndana@x.com | 555-123-4567") == "Body here.\nThanks"
+    assert of(t.without_signature, "Body here.\nThanks\n\nDana Reyes\nAcme Works\ndana@x.com | 555-123-4567") == "Body here.\nThanks"
     assert of(t.without_signature, "Pushed the fix.\n\n— Dana") == "Pushed the fix.\n\n— Dana"
     assert of(t.without_signature, "call 415-555-0100 now") == "call 415-555-0100 now"
 
