@@ -19,6 +19,8 @@ from penprint.storage import collected, release
 
 #: Sets of five-word shingles of Jaccard similarity 0.8 differ in 9.7 of 64 SimHash bits on average, 19.4 of 128.
 SHINGLE_WORDS, RADIUS, TOTAL = 5, 8, 20
+#: Passages of fifty words and more are seldom shorter than this; unrelated texts share no string so long.
+PASSAGE_BYTES = 200
 
 
 _scratch: list = []
@@ -52,8 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their passages of 400 bytes or more that occur more than once; a text may become empty."""
-    cut = suffix_dedup.removed(docs, decode=True).withColumnRenamed("kept", "text")
+    """Texts without their passages of PASSAGE_BYTES or more that occur more than once; a text may become empty."""
+    cut = suffix_dedup.removed(docs, length=PASSAGE_BYTES, decode=True).withColumnRenamed("kept", "text")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
