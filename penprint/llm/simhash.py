@@ -34,7 +34,7 @@ from penprint.llm.common import ascii_lower, blank_words, dropped, let, written
 from penprint.llm.components import roots
 
 CHUNK = 4096
-_FEW = 16
+_CLASSES, _ROWS = [(1, 8), (8, 32), (32, 128)], 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -182,20 +182,41 @@ def clusters(fingerprints: np.ndarray, radius: int, second: np.ndarray | None =
     return np.concatenate(members), np.concatenate(root_of)
 
 
+def _shifted(planes: np.ndarray, d: int) -> np.ndarray:
+    """Planes in which position i holds what position i + d held; zeros come in at the end."""
+    whole, rest = divmod(d, 64)
+    out = np.zeros_like(planes)
+    n = planes.shape[-1] - whole
+    out[..., :n] = planes[..., whole:]
+    if rest:
+        out[..., :n] >>= np.uint64(rest)
+        out[..., : n - 1] |= planes[..., whole + 1 :] << np.uint64(64 - rest)
+    return out
+
+
+def _moved(planes: np.ndarray, d: int) -> Iterator[np.ndarray]:
+    """Plane by plane, the bits in which each position differs from the one d further on."""
+    for p in planes:
+        yield p ^ _shifted(p, d)
+
+
 def small_groups(groups: np.ndarray, fingerprints: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs, as positions, in groups of few members: pairs a fixed offset apart are compared together, 64 to a word."""
+    """Linked pairs, as positions, in groups of few members: the planes of all groups are compared with themselves moved
+    by one position, two, and so on, as far as the largest group goes."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     words = [fingerprints, fingerprints if second is None else second]
-    for d in range(1, min(_FEW, len(groups))):
-        at = np.flatnonzero(groups[d:] == groups[:-d])
-        if not len(at):
+    planes = [bit_planes(w) for w in words]
+    for d in range(1, len(groups)):
+        same = groups[d:] == groups[:-d]
+        if not same.any():
             break
-        # Padding differs from nothing, so it is cut off below.
-        planes = [iter(bit_planes(w[at] ^ w[at + d])) for w in words]
-        if (found := _near(*planes, radius, total)) is not None:
-            hit = np.unpackbits(found.view(np.uint8), bitorder="little")[: len(at)].astype(bool)
-            left.append(at[hit])
-            right.append(at[hit] + d)
+        here = np.zeros(planes[0].shape[1] * 64, np.uint8)
+        here[: len(same)] = same
+        if (found := _near(*(_moved(p, d) for p in planes), radius, total)) is not None:
+            hit = np.unpackbits((found & np.packbits(here, bitorder="little").view(np.uint64)).view(np.uint8), bitorder="little")
+            at = np.flatnonzero(hit)
+            left.append(at)
+            right.append(at + d)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -206,10 +227,16 @@ def _linked_batches(radius: int, total: int | None):
         def edges(g: np.ndarray, node: np.ndarray, f: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             sizes = np.diff(np.r_[starts, len(g)])
-            few = np.flatnonzero(np.repeat(sizes <= _FEW, sizes))
-            u, v = small_groups(g[few], f[few], radius, s[few], total)
-            found = [(node[few[u]], node[few[v]])]
-            for at, k in zip(starts[sizes > _FEW], sizes[sizes > _FEW], strict=True):
+            size = np.repeat(sizes, sizes)
+            found = [(node[:0], node[:0])]
+            for least, most in _CLASSES:  # groups of like size, so that few of the compared positions are of two groups
+                mine = np.flatnonzero((size > least) & (size <= most))
+                for i in range(0, len(mine), _ROWS):
+                    part = mine[i : i + _ROWS + most]  # a group at the edge is seen whole by one of two parts
+                    u, v = small_groups(g[part], f[part], radius, s[part], total)
+                    found.append((node[part[u]], node[part[v]]))
+            large = sizes > _CLASSES[-1][1]
+            for at, k in zip(starts[large], sizes[large], strict=True):
                 mine = slice(at, at + k)
                 u, v = clusters(f[mine], radius, s[mine], total)
                 found.append((node[mine][u], node[mine][v]))
