@@ -17,8 +17,9 @@ from penprint.llm import curve_pack, host_quality, simhash, suffix_dedup
 from penprint.llm.common import table, written
 from penprint.storage import collected, release
 
-#: Sets of five-word shingles of Jaccard similarity 0.8 differ in 9.7 of 64 SimHash bits on average, 19.4 of 128.
-SHINGLE_WORDS, RADIUS, TOTAL = 5, 8, 20
+#: Near-duplicates have sets of five-word shingles of this Jaccard similarity or more. They differ in 19.4 of 128 SimHash bits
+#: on average at 0.8, and in up to TOTAL at the tail; candidates within it are verified by their sets.
+SHINGLE_WORDS, SIMILARITY, TOTAL = 5, 0.8, 40
 #: Passages of fifty words and more are seldom shorter than this; unrelated texts share no string so long.
 PASSAGE_BYTES = 200
 
@@ -49,7 +50,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least doc_id."""
-    return simhash.deduplicated(docs, n=SHINGLE_WORDS, radius=RADIUS, total=TOTAL).select(*docs.columns)
+    return simhash.deduplicated(docs, n=SHINGLE_WORDS, similarity=SIMILARITY, total=TOTAL).select(*docs.columns)
 
 
 @stage
