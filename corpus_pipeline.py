@@ -49,7 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the least doc_id."""
+    """One row of each class of near-duplicates: that of the least doc_id, nulls last."""
     return simhash.deduplicated(docs, n=SHINGLE_WORDS, similarity=SIMILARITY, total=TOTAL).select(*docs.columns)
 
 

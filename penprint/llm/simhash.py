@@ -55,6 +55,11 @@ def shingle_hashes(text: Column, n: int) -> Column:
     return let(blank_words(ascii_lower(F.coalesce(text, F.lit("")))), of)
 
 
+def shingle_set(text: Column, n: int) -> Column:
+    """The distinct shingle hashes, ascending."""
+    return F.sort_array(F.array_distinct(shingle_hashes(text, n)))
+
+
 def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """uint64 fingerprints: bit b is 1 if set in over half of hashes[offsets[i]:offsets[i + 1]]."""
     n = np.diff(offsets)
@@ -114,7 +119,7 @@ def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds fingerprint, second and bands to batches whose last column is the set of shingle hashes; an empty set has no bands."""
+    """fingerprint, second and bands in place of the last column, the set of shingle hashes; an empty set has no bands."""
     for b in batches:
         lists = b.column(b.num_columns - 1)
         offsets = np.asarray(lists.offsets, np.int64)
@@ -123,7 +128,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         made = [pa.array(majority_bits(h, offsets).view(np.int64)) for h in (hashes, remixed(hashes))]
         ends = np.cumsum(np.r_[0, np.where(np.diff(offsets) > 0, BANDS, 0)]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(hashes, offsets).ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*b.columns, *made, bands], [*b.schema.names, "fingerprint", "second", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made, bands], [*b.schema.names[:-1], "fingerprint", "second", "bands"])
 
 
 def bit_planes(fingerprints: np.ndarray) -> np.ndarray:
@@ -398,9 +403,9 @@ def _alike_batches(similarity: Fraction):
     return verified
 
 
-def verified_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified_links(groups: DataFrame, rows: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """Edges u, v that connect the nodes of each group whose sets have the similarity. groups: a table of u, v as of
-    components.roots; sets: node, shingles (distinct hashes)."""
+    components.roots; rows: node, row; texts: _row, _text. Only the sets of rows in groups are made and moved."""
     members = groups.select(F.col("u").alias("_member"), F.col("v").alias("_group")).unionByName(groups.select(F.col("v").alias("_member"), F.col("v").alias("_group")).distinct())
     sizes = groups.groupBy("v").agg((F.count(F.lit(1)) + 1).alias("n"))
     crowds = written(sizes.filter(F.col("n") > VERIFIED).select(F.col("v").alias("crowd"), "n"), "crowds")
@@ -409,25 +414,30 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float) -> Dat
     met = members.join(crowds, F.col("_group") == F.col("crowd"), "left")
     paired = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = paired.select("_member", F.xxhash64("_group", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"))
-    grouped = dealt.join(sets, F.col("_member") == F.col("node")).select("group", "node", "shingles")
+    placed = written(dealt.join(rows, F.col("_member") == F.col("node")).select("group", "node", "row"), "placed")
+    grouped = texts.join(placed, F.col("_row") == F.col("row")).select("group", "node", shingle_set(F.col("_text"), n).alias("shingles"))
     return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_alike_batches(Fraction(str(similarity))), "u bigint, v bigint")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, total: int = 40) -> DataFrame:
-    """One document of each class stays: that of the least key. Rows that share this key stay together.
+    """One row of each class stays: that of the least key, nulls last; then of the least hash of all columns; then the first in a table.
 
-    Texts whose sets of n-word shingles have the Jaccard similarity are linked; a class is what links connect.
+    Texts whose sets of n-word shingles have the Jaccard similarity are linked; a class is what links connect. So one of
+    repeated rows stays, and one of a class of null keys only (``_row`` must be free).
     """
-    hashed = docs.select(key, F.array_sort(F.array_distinct(shingle_hashes(F.col(text), n))).alias("shingles"))
-    hashed = hashed.select(key, F.xxhash64("shingles").alias("node"), "shingles")
-    schema = T.StructType([*hashed.schema]).add("fingerprint", "long").add("second", "long").add("bands", T.ArrayType(T.LongType()))
+    # The table fixes each row's number, which settles between rows that are equal in all else.
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"), F.col("_row").alias("row"))
+    hashed = numbered.select("_row", rank.alias("rank"), shingle_set(F.col(text), n).alias("shingles"))
+    hashed = hashed.select("_row", "rank", F.xxhash64("shingles").alias("node"), "shingles")
+    schema = T.StructType([*hashed.schema][:-1]).add("fingerprint", "long").add("second", "long").add("bands", T.ArrayType(T.LongType()))
     marked = written(hashed.mapInArrow(_sketch_batches, schema), "simhash")
-    nodes = written(marked.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("fingerprint", "second", "bands")]), "nodes")
+    nodes = written(marked.groupBy("node").agg(F.min("rank").alias("least"), *[F.first(c).alias(c) for c in ("fingerprint", "second", "bands")]), "nodes")
     groups = roots(links(nodes, min(total, 64), total, F.col("bands")))
-    sets = marked.join(nodes.select(F.col("node").alias("_node"), "least"), (F.col("node") == F.col("_node")) & (F.col(key) == F.col("least"))).select("node", "shingles")
-    stars = roots(verified_links(groups, sets, similarity))
+    texts = numbered.select("_row", F.col(text).alias("_text"))
+    stars = roots(verified_links(groups, nodes.select("node", F.col("least.row").alias("row")), texts, n, similarity))
     rooted = nodes.join(stars, F.col("node") == F.col("u"), "left").select(F.coalesce("v", "node").alias("root"), "least")
-    stays = written(rooted.groupBy("root").agg(F.min("least").alias("_stays")).select("_stays").distinct(), "stays")
+    stays = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_stays")), "stays")
     for t in (marked, nodes, groups, stars):
         dropped(t)
-    return docs.join(stays, F.col(key) == F.col("_stays")).drop("_stays")
+    return numbered.join(stays, F.col("_row") == F.col("_stays")).drop("_row", "_stays")

@@ -39,3 +39,21 @@ def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, verif
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], FULL)
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, written(docs, "docs"), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+def test_one_row_of_a_class_stays_for_null_and_repeated_keys(spark):
+    rng = np.random.default_rng(4)
+    text = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**6, k))
+    a, b, c, d, e = (text(120) for _ in range(5))
+    # Null keys only; repeated rows; a null beside a key; a key of two classes, of which one has a lesser key as well.
+    rows = [(None, a), (None, a), (None, a + " more"), (1, b), (1, b), (1, b), (None, c), (7, c), (3, d), (3, e), (2, e), (None, None), (None, "")]
+    docs = written(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], FULL), "docs")
+    stages = dict(corpus_pipeline.STAGES)
+    single = written(stages["near_duplicates"](spark, docs, ""), "single")
+    kept = [(r.doc_id, r.text) for r in single.collect()]
+    whole = {(1, b), (7, c), (3, d), (2, e)}
+    assert len(kept) == 6 and whole <= set(kept)
+    null = [t for i, t in kept if i is None]
+    assert len(null) == 2 and sum(t in (a, a + " more") for t in null) == 1
+    cut = {(r.doc_id, r.text) for r in stages["repeated_passages"](spark, single, "").collect()}
+    assert cut == set(kept) or cut == {(i, t or "") for i, t in kept}
