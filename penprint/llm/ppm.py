@@ -6,12 +6,14 @@ escape (method C: as many escapes as different symbols were seen) leads to the n
 seen in the longer context are excluded from the counts; what no context has seen is uniform over the bytes left.
 The score is the log10 probability of the text and its end.
 
-All training text is counted: counts are made per task, then summed over the corpus in Spark. A trie node is kept if it holds at
-least 2^-NODE_BITS of all training symbols, at any corpus size. Shares of one depth sum to one, so at most 2^NODE_BITS
-nodes a depth exist; this proven bound, 16 MB a depth, is what makes the broadcast of the trie safe.
+All training text is counted, and every context counts, at any corpus size: the trie is a table of codes (three bytes of
+context and a symbol) partitioned by context. What a code costs follows from the counts of its context and of the shorter
+ones, depth by depth, in joins and windows of at most 256 symbols a context. 2^BLOCK_BITS neighbouring documents are a
+block; a block's distinct codes are joined to their costs and go back to their block. Nothing is gathered, and Spark
+broadcasts only what it finds small.
 
-Word counts have no such bound and are never broadcast. 2^BLOCK_BITS neighbouring documents are a block; a block's
-distinct words, not its documents' words, are joined to the corpus counts, and go back to their block.
+Words go the same way: a block's distinct words, not its documents' words, are joined to the corpus counts, and go back
+to their block. NODE_BITS, if set, makes a smaller model: nodes below 2^-NODE_BITS of all training symbols are left out.
 
 Defined results: null texts are empty and score as their end alone; without training texts, words count zero
 and bytes are uniform; rows with a null key train; repeated rows count each time; empty tables give empty results.
@@ -30,7 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from penprint.llm.common import ascii_lower, blank_words, dropped, written
 
-ORDER, NODE_BITS = 3, 20
+ORDER = 3
+NODE_BITS: int | None = None
 START, END = 0xFE, 0xFF
 BLOCK_BITS, CHUNK = 12, 1 << 20
 _TOKEN, _GRAM = 0, 1
@@ -65,96 +68,38 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first)
 
 
-class Model:
-    """The trie as sorted arrays, one set a depth, with the costs that scoring needs."""
-
-    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        """nodes: by depth j, sorted codes of j bytes of context and a symbol, and their counts."""
-        self.keys, self.counts, self.contexts, self.total, self.seen = {}, {}, {}, {}, {}
-        for j in range(ORDER + 1):
-            keys, counts = nodes.get(j, (np.empty(0, np.uint32), np.empty(0, np.int64)))
-            first = np.flatnonzero(np.r_[True, keys[1:] >> 8 != keys[:-1] >> 8]) if len(keys) else np.empty(0, np.int64)
-            self.keys[j], self.counts[j] = keys, counts.astype(np.float64)
-            self.contexts[j] = keys[first] >> np.uint32(8)
-            self.total[j] = np.add.reduceat(self.counts[j], first) if len(keys) else np.empty(0)
-            self.seen[j] = np.diff(np.r_[first, len(keys)]).astype(np.float64)
-        # By context of depth j + 1: total and number of the symbols that depth j still has after exclusion.
-        self.left_total, self.left_seen = {}, {}
-        for j in range(ORDER):
-            above, own = self.keys[j + 1], self.contexts[j + 1]
-            below, _ = self._find(self.keys[j], above & np.uint32((1 << 8 * (j + 1)) - 1))
-            owner, _ = self._find(own, above >> np.uint32(8))
-            excluded = np.bincount(owner, self.counts[j][below], len(own)) if len(above) else np.zeros(len(own))
-            shorter, _ = self._find(self.contexts[j], own & np.uint32((1 << 8 * j) - 1))
-            self.left_total[j] = self.total[j][shorter] - excluded
-            self.left_seen[j] = self.seen[j][shorter] - self.seen[j + 1]
-        top, _ = self._find(self.contexts[ORDER], self.keys[ORDER] >> np.uint32(8))
-        self.top_cost = np.log10(self.counts[ORDER]) - np.log10(self.total[ORDER][top] + self.seen[ORDER][top])
-
-    @staticmethod
-    def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(where):
-            return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
-        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
-        return at, where[at] == what
-
-    def costs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its context."""
-        out = np.zeros(len(codes))
-        at, hit = self._find(self.keys[ORDER], codes)
-        if hit.any():
-            out[hit] = self.top_cost[at[hit]]
-        left = np.flatnonzero(~hit)
-        longer = np.full(len(left), -1)  # the context just left, if it is known
-        for j in reversed(range(ORDER + 1)):
-            if not len(left):
-                return out
-            code = codes[left] & np.uint32((1 << 8 * (j + 1)) - 1)
-            context, known = self._find(self.contexts[j], code >> np.uint32(8))
-            at, hit = self._find(self.keys[j], code)
-            total, seen = np.zeros(len(left)), np.zeros(len(left))
-            total[known], seen[known] = self.total[j][context[known]], self.seen[j][context[known]]
-            if j < ORDER and (after := longer >= 0).any():
-                total[after], seen[after] = self.left_total[j][longer[after]], self.left_seen[j][longer[after]]
-            some = total + seen > 0
-            cost = np.zeros(len(left))
-            cost[hit] = np.log10(self.counts[j][at[hit]])
-            escapes = some & ~hit
-            cost[escapes] = np.log10(seen[escapes])
-            cost[some] -= np.log10(total[some] + seen[some])
-            out[left] += cost
-            longer = np.where(known, context, -1)[~hit]
-            left = left[~hit]
-        out[left] -= np.log10(256 - (self.seen[0][0] if len(self.seen[0]) else 0))
-        return out
-
-
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, held_out, body, words) -> (kind, block, code, n): training counts of codes, and of each block's words."""
-    grams: tuple[list, list] = [], []
+    """(block, held_out, body, words) -> (kind, block, code, n): training counts of each block's codes and words."""
+    now, grams = None, ([], [])
 
-    def rows(kind: int, block: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(block.astype(np.int64)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "block", "code", "n"])
+    def rows(kind: int, block: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(np.full(len(code), block, np.int64)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "block", "code", "n"])
 
     for b in batches:
+        if not len(b):
+            continue
         block, held = np.asarray(b.column(0)), np.asarray(b.column(1).cast(pa.int8())).astype(bool)
         data, offsets = _binary(b.column(2))
-        for lo, hi, codes, starts, ends in chunks(data, offsets):
-            inside = np.zeros(len(codes) + 1, np.int8)
-            train = ~held[lo:hi]
-            inside[starts[train]] += 1
-            inside[ends[train]] -= 1
-            keys, n = np.unique(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], return_counts=True)
-            grams[0].append(keys)
-            grams[1].append(n)
-            if len(grams[0]) >= 64:
-                k, n = _summed(*grams)
-                grams = [k], [n]
+        cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+        for first, last in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if now is not None and block[first] != now:
+                yield rows(_GRAM, now, *_summed(*grams))
+                grams = [], []
+            now = int(block[first])
+            for lo, hi, codes, starts, ends in chunks(data, offsets[first : last + 1]):
+                for train in (True, False):
+                    mine = held[first + lo : first + hi] != train
+                    inside = np.zeros(len(codes) + 1, np.int8)
+                    inside[starts[mine]] += 1
+                    inside[ends[mine]] -= 1
+                    keys, n = np.unique(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], return_counts=True)
+                    grams[0].append(keys)
+                    grams[1].append(n if train else np.zeros_like(n))
         words = b.column(3)
         at = np.asarray(words.offsets, np.int64)
         hashed = np.asarray(words.values, np.int64)[at[0] : at[-1]]
@@ -162,9 +107,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for one in np.unique(block):
             mine = of == one if block[0] != block[-1] else slice(None)
             code, back = np.unique(hashed[mine], return_inverse=True)
-            yield rows(_TOKEN, np.full(len(code), one), code, np.bincount(back, train[mine], len(code)))
-    code, n = _summed(*grams)
-    yield rows(_GRAM, np.zeros(len(code)), code, n)
+            yield rows(_TOKEN, one, code, np.bincount(back, train[mine], len(code)))
+    if now is not None:
+        yield rows(_GRAM, now, *_summed(*grams))
 
 
 def held_out(key: Column) -> Column:
@@ -172,23 +117,39 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def trained(counts: DataFrame) -> Model:
-    """The trie from (code, n) rows of whole-corpus counts."""
-    depths = F.explode(F.array(*[F.struct(F.lit(j).alias("depth"), F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("code")) for j in range(ORDER + 1)]))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    nodes = counts.select("n", depths.alias("d")).groupBy("d.depth", "d.code").agg(F.sum("n").alias("n")).filter(F.col("n").cast("double") * 2**NODE_BITS >= total).filter("n > 0").toArrow()
-    depth, code, n = (nodes.column(k).to_numpy() for k in ("depth", "code", "n"))
-    out = {}
-    for j in range(ORDER + 1):
-        mine = np.flatnonzero(depth == j)
-        mine = mine[np.argsort(code[mine])]
-        out[j] = code[mine].astype(np.uint32), n[mine]
-    return Model(out)
+def code_costs(counts: DataFrame) -> DataFrame:
+    """code, cost: log10 probability of each code's symbol after its context. counts: a table of distinct codes and their training counts n."""
+    of_depth = [counts]
+    for j in reversed(range(ORDER)):
+        shorter = of_depth[0].groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+        of_depth.insert(0, written(shorter, f"lm-depth{j}"))
+    if NODE_BITS is not None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        of_depth = [t.withColumn("n", F.when(F.col("n").cast("double") * 2**NODE_BITS >= total, F.col("n")).otherwise(0)) for t in of_depth]
+    log = F.log10
+    out = None
+    for j, level in enumerate(of_depth):
+        context = Window.partitionBy(F.shiftright("code", 8))
+        level = level.withColumn("total", F.sum("n").over(context)).withColumn("seen", F.sum((F.col("n") > 0).cast("bigint")).over(context))
+        n, whole, escapes = F.col("n"), F.col("total") + F.col("seen"), F.col("seen")
+        if out is None:
+            # After depth 0, the bytes that no context has seen are alike; down is the cost once the context is left.
+            level = level.withColumn("down", -log(256 - F.col("seen"))).withColumn("plain_", F.col("down"))
+        else:
+            before = out.select(*[F.col(c).alias(f"{c}_") for c in ("code", "n", "total", "seen", "down", "plain")])
+            level = level.join(before, F.col("code").bitwiseAND(F.lit((1 << 8 * j) - 1)) == F.col("code_"))
+            excluded = F.sum(F.when(n > 0, F.col("n_")).otherwise(0)).over(context)
+            level = level.withColumn("left_seen", F.col("seen_") - F.col("seen")).withColumn("left", F.col("total_") - excluded + F.col("left_seen"))
+            left, left_seen = F.col("left"), F.col("left_seen")
+            down = F.when(F.col("n_") > 0, log("n_") - log(left)).when(left_seen > 0, log(left_seen) - log(left) + F.col("down_")).otherwise(F.col("down_"))
+            level = level.withColumn("down", down)
+        plain = F.when(n > 0, log(n) - log(whole)).when(escapes > 0, log(escapes) - log(whole) + F.col("down")).otherwise(F.col("plain_"))
+        out = level.withColumn("plain", plain).select("code", "n", "total", "seen", "down", "plain")
+    return out.select("code", F.col("plain").alias("cost"))
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     # Neighbouring rows of the input make a block, so blocks form without a shuffle; the table fixes who is in which.
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
     dealt = written(docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"), block.alias("block")), "lm-blocks")
@@ -196,7 +157,10 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     body = F.col("_text").cast("binary")
 
     counted = written(dealt.select("block", "held_out", body.alias("body"), hashed.alias("words")).mapInArrow(_count_batches, "kind int, block bigint, code bigint, n bigint"), "lm-counts")
-    model = spark.sparkContext.broadcast(trained(counted.filter(F.col("kind") == _GRAM).select("code", "n")))
+    grams = counted.filter(F.col("kind") == _GRAM)
+    whole = written(grams.groupBy("code").agg(F.sum("n").alias("n")), "lm-codes")
+    costs = code_costs(whole).withColumnRenamed("code", "_code")
+    priced = written(grams.join(costs, F.col("code") == F.col("_code")).select("block", "code", "cost"), "lm-costs")
     tokens = counted.filter(F.col("kind") == _TOKEN)
     everywhere = Window.partitionBy("code")
     glossary = written(
@@ -209,20 +173,24 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     total, kinds = word_total + ends, word_kinds + (ends > 0)
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("code").to_numpy())
-        known, count = right.column("code").to_numpy()[order], right.column("count").to_numpy()[order]
+        kind, code, value = (right.column(c).to_numpy() for c in ("kind", "code", "value"))
+        order = np.argsort(code)
+        order = order[kind[order] == _TOKEN], order[kind[order] == _GRAM]
+        known, count = (x[order[0]] for x in (code, value))
+        nodes, cost = code[order[1]].astype(np.uint32), value[order[1]]
         floor = np.log10(float(total + kinds + 1))
         out = []
         for b in left.combine_chunks().to_batches():
             data, offsets = _binary(b.column("body"))
             score = np.empty(len(b))
             for lo, hi, codes, starts, stops in chunks(data, offsets):
-                sums = np.r_[0.0, np.cumsum(model.value.costs(codes))]
+                # Codes between two rows are in no block's table, and in no row's sum.
+                sums = np.r_[0.0, np.cumsum(cost[np.minimum(np.searchsorted(nodes, codes), len(nodes) - 1)])]
                 score[lo:hi] = sums[stops] - sums[starts]
             lists = b.column("words")
             at = np.asarray(lists.offsets, np.int64)
             at, mine = at - at[0], np.asarray(lists.values, np.int64)[at[0] : at[-1]]
-            c = count[np.searchsorted(known, mine)] if len(mine) else np.empty(0, np.int64)
+            c = count[np.searchsorted(known, mine)] if len(mine) else np.empty(0)
             each = np.r_[0.0, np.cumsum(np.log10(c + 1.0) - floor)]
             seen = np.r_[0, np.cumsum(c > 0)]
             out.append(
@@ -248,4 +216,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     arrow = to_arrow_schema(schema)
     # Words are hashed after the shuffle, since the hashes take more room than the text.
     left = dealt.repartition("block").select("block", "_key", "held_out", body.alias("body"), hashed.alias("words"))
-    return left.groupBy("block").cogroup(glossary.select("block", "code", "count").groupBy("block")).applyInArrow(scores, schema)
+    values = glossary.select("block", F.lit(_TOKEN).alias("kind"), "code", F.col("count").cast("double").alias("value")).unionByName(
+        priced.select("block", F.lit(_GRAM).alias("kind"), "code", F.col("cost").alias("value"))
+    )
+    return left.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(scores, schema)

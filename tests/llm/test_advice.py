@@ -1,10 +1,12 @@
 """What the review of the first round found: whole results where the code used to do less."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from penprint.llm import simhash
+from penprint.llm import ppm, simhash
 from penprint.llm.common import written
 
 FULL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -57,3 +59,18 @@ def test_one_row_of_a_class_stays_for_null_and_repeated_keys(spark):
     assert len(null) == 2 and sum(t in (a, a + " more") for t in null) == 1
     cut = {(r.doc_id, r.text) for r in stages["repeated_passages"](spark, single, "").collect()}
     assert cut == set(kept) or cut == {(i, t or "") for i, t in kept}
+
+
+def test_rare_contexts_count_beside_much_other_text(spark):
+    rng = np.random.default_rng(2)
+    rare = "\u10d0\u10d1\u10d2 \u10d3\u10d4"  # Georgian letters, in one training text of many
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    test = next(i for i in range(10**6, 10**6 + 100) if held(i))
+    train = next(i for i in range(10**6, 10**6 + 100) if not held(i))
+    found = []
+    for rows in (3, 180):
+        other = [(i, rng.integers(97, 101, 10000).astype("u1").tobytes().decode()) for i in range(10**5, 10**5 + 500) if not held(i)][:rows]
+        got = {r.doc_id: r.score for r in ppm.scored(spark.createDataFrame([(train, rare), (test, rare), *other], "doc_id bigint, text string")).collect()}
+        found.append(got[test])
+    # After three Georgian bytes nothing but the rare text was ever seen: only the first symbols feel the other text.
+    assert abs(found[0] - found[1]) < 4 and found[1] > -12
