@@ -3,7 +3,8 @@
 k-mers are runs of ``k`` words. Each gets an occurrence number (first, second, ... time in the text), so
 repeats count; the hash of k-mer and number deals it to one of ``m`` bins (one-permutation hashing: one
 hash a k-mer instead of m). In each bin the ``l`` k-mers of least hash are kept, put back into text order,
-and the tuple is hashed. Moving a passage changes the order within tuples, so the share of equal tuples
+and the tuple is hashed. With ``fill``, as in fingerprints(), a bin of fewer than l takes what it lacks from the bins that
+follow, the first after the last: a tuple of one carries no order, and short texts fill few bins. Moving a passage changes the order within tuples, so the share of equal tuples
 follows the edit distance rather than the set overlap alone.
 
 Everything is an array expression of one row: no row is exploded and nothing is shuffled.
@@ -34,8 +35,8 @@ def kmer_hashes(text: Column, k: int) -> Column:
     )
 
 
-def sketch(text: Column, k: int = 5, l: int = 2, m: int = 64) -> Column:  # noqa: E741
-    """array<bigint>, one element a filled bin: bin number above 32 bits of the tuple's hash, in bin order."""
+def sketch(text: Column, k: int = 5, l: int = 2, m: int = 64, fill: bool = False) -> Column:  # noqa: E741
+    """array<bigint>, one element a filled bin (with fill, all m are unless the text has no words): bin number above 32 bits of the tuple's hash, in bin order."""
     bin_bits = max(1, (m - 1).bit_length())
     rest_bits = 63 - POS_BITS - bin_bits
     bin_shift = POS_BITS + rest_bits
@@ -79,12 +80,29 @@ def sketch(text: Column, k: int = 5, l: int = 2, m: int = 64) -> Column:  # noqa
         pos_of = lambda t: t.bitwiseAND(F.lit(POS_MASK)).cast("int")
         starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (bin_of(F.get(least, i - 1)) != bin_of(F.get(least, i))))
 
+        def filled(r: Column, twice: Column) -> Column:
+            """The l members from a bin's start on are its tuple, and that of the empty bins before it."""
+            every = F.least(F.size(least), F.lit(l))
+
+            def run(at: Column, j: Column) -> Column:
+                in_order = F.sort_array(F.transform(F.slice(twice, at + 1, every), pos_of))
+                value = F.xxhash64(F.transform(in_order, lambda p: F.get(kmers, p))).bitwiseAND(F.lit(0xFFFFFFFF))
+                mine = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+                after = F.when(j == 0, F.lit(-1).cast("bigint")).otherwise(bin_of(F.get(least, F.get(r, j - 1)))) + 1
+                last = F.when(j == 0, bin_of(F.element_at(least, -1)) + 1).otherwise(F.lit(m).cast("bigint"))
+                bins = F.concat(mine(after, bin_of(F.get(least, at))), mine(last, F.lit(m - 1).cast("bigint")))
+                return let(value, lambda v: F.transform(bins, lambda b: F.shiftleft(b, 32).bitwiseOR(v)))
+
+            return F.sort_array(F.flatten(F.transform(r, run)))
+
         def one(r: Column, at: Column, j: Column) -> Column:
             members = F.slice(least, at + 1, F.coalesce(F.get(r, j + 1), F.size(least)) - at)
             in_order = F.sort_array(F.transform(members, pos_of))
             value = F.xxhash64(F.transform(in_order, lambda p: F.get(kmers, p)))
             return F.shiftleft(bin_of(F.get(least, at)), 32).bitwiseOR(value.bitwiseAND(F.lit(0xFFFFFFFF)))
 
+        if fill:
+            return let(starts, lambda r: let(F.concat(least, F.slice(least, 1, l)), lambda twice: filled(r, twice)))
         return let(starts, lambda r: F.transform(r, lambda at, j: one(r, at, j)))
 
     def from_kmers(kmers: Column) -> Column:
@@ -112,7 +130,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "sketch", **parameters: int) -> DataFrame:
     """docs with the sketch of a text column."""
-    return docs.withColumn(out, sketch(F.col(text), **parameters))
+    return docs.withColumn(out, sketch(F.col(text), fill=True, **parameters))
 
 
 #: Neighbour search deals documents out by ranges of their ids; this many ranges at most are found on the driver.

@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from penprint.llm import ppm, simhash
+from penprint.llm import order_minhash, ppm, simhash
 from penprint.llm.common import written
 
 FULL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -74,3 +75,25 @@ def test_rare_contexts_count_beside_much_other_text(spark):
         found.append(got[test])
     # After three Georgian bytes nothing but the rare text was ever seen: only the first symbols feel the other text.
     assert abs(found[0] - found[1]) < 4 and found[1] > -12
+
+
+def test_short_texts_show_their_order(spark):
+    rng = np.random.default_rng(8)
+    pairs, want = [], {}
+    for size in (20, 40, 80, 145):
+        likeness = []
+        for i in range(60):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, size)]
+            two = [w, w[size // 2 :] + w[: size // 2]]
+            pairs.append((size, *(" ".join(x) for x in two)))
+            kmers = [[tuple(x[j : j + 5]) for j in range(size - 4)] for x in two]
+            known = {x: j for j, x in enumerate({*kmers[0], *kmers[1]})}
+            places = [np.array([known[x] for x in k]) for k in kmers]
+            ranks = rng.random((64, len(known)))  # the two least k-mers under each of 64 permutations, in text order
+            tuples = [np.take(p, np.sort(np.argsort(ranks[:, p], axis=1)[:, :2], axis=1)) for p in places]
+            likeness.append((tuples[0] == tuples[1]).all(axis=1).mean())
+        want[size] = np.mean(likeness)
+    rows = order_minhash.fingerprints(order_minhash.fingerprints(spark.createDataFrame(pairs, "size int, a string, b string"), "a", "x"), "b", "y")
+    got = rows.groupBy("size").agg(F.avg(order_minhash.likeness(F.col("x"), F.col("y"))).alias("v"), F.min(F.size("x")).alias("n")).collect()
+    assert {r["size"]: r.v for r in got} == pytest.approx(want, abs=0.06)
+    assert all(r.n == 64 for r in got)
