@@ -1,6 +1,7 @@
 """Commands over files: ``python -m penprint.cli COMMAND ...``.
 
-ingest, baseline and fingerprint exchange tables (Parquet folders); documents for people are JSON. Exit codes: 0
+ingest, baseline and fingerprint exchange tables (Parquet folders), or a corpus in one JSON document (a name that ends in
+.json); documents for people are JSON. Exit codes: 0
 done or passed; 1 too few messages, failed, or no such id; 2 no signal, or a usage error.
 """
 
@@ -28,7 +29,10 @@ MESSAGE = "ord bigint, subject string, body string"
 def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
     read, path = next((f, p) for f, p in ((mail.read_eml, a.eml_dir), (mail.read_mbox, a.mbox), (mail.read_json, a.json)) if p)
     kept, stats = analyze.corpus(read(spark, path), a.user)
-    kept.write.mode("overwrite").parquet(a.out)
+    if a.out.endswith(".json"):
+        files.write_corpus(kept, stats, a.user, a.out)
+    else:
+        kept.write.mode("overwrite").parquet(a.out)
     print(json.dumps({"user": a.user} | stats))
     return 0
 
@@ -40,7 +44,7 @@ def baseline(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def fingerprint(spark: SparkSession, a: argparse.Namespace) -> int:
-    kept = spark.read.parquet(a.corpus)
+    kept = files.read_corpus(spark, a.corpus) if a.corpus.endswith(".json") else spark.read.parquet(a.corpus)
     try:
         found = analyze.fingerprint(kept, spark.read.parquet(a.baseline), a.user, joined=a.joined)
     except analyze.TooFewMessages as e:
@@ -84,7 +88,7 @@ def draft_log(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     if a.list_pending:
         if a.now:
-            files.rewrite_text(drafts.unexpired(log, a.now).select(F.to_json(F.struct("*")).alias("value")), a.log)
+            files.rewrite_text(drafts.unexpired_lines(spark.read.text(a.log), a.now), a.log)
             log = files.read_jsonl(spark, a.log, DRAFT)
         for line in drafts.pending(log).toJSON().collect():
             print(line)
@@ -102,9 +106,9 @@ def compare_draft(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = [(x.get("subject", ""), x.get("body", ""), side) for x, side in zip(pair, ("draft", "sent"), strict=True)]
     both = spark.createDataFrame([(0, rows[0][0], rows[0][1], rows[1][0], rows[1][1])], "ord bigint, draft_subject string, draft_body string, sent_subject string, sent_body string")
     found = diff.structural(both).withColumn("sentences", diff.sentence_diff(F.col("draft_body"), F.col("sent_body"))).drop("ord", "draft_body", "sent_body").first().asDict(recursive=True)
-    flat = metrics.flat(spark.createDataFrame(rows, "subject string, body string, side string"), ["side"]).cache()
+    flat = metrics.scalars(metrics.flat(spark.createDataFrame(rows, "subject string, body string, side string"), ["side"])).cache()
     of = lambda side: flat.filter(F.col("side") == side).select("metric", "value")
-    found["metrics"] = {r.metric: round(r.b - r.a, 4) for r in edits.compared(of("draft"), of("sent")).collect()}
+    found["metrics"] = {r.metric: round(r.delta, 4) for r in edits.signed(of("draft"), of("sent")).collect()}
     found["metrics_one_sided"] = {r.metric: {"draft": r.a, "sent": r.b} for r in edits.one_sided(of("draft"), of("sent")).collect()}
     files.write_document(found, a.out)
     return 0

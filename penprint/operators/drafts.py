@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penprint.functions import patterns, text
 
@@ -27,14 +30,27 @@ def pending(drafts: DataFrame) -> DataFrame:
 
 
 def with_status(lines: DataFrame, draft_id: str, status: str, value: str = "value") -> DataFrame:
-    """Log lines with the status of a draft set; lines that aren't JSON objects stay as they are, blank ones go."""
+    """Log lines with the status of a draft set, all else of it as it was; lines that aren't JSON objects stay, blank ones go."""
     if status not in patterns.STATUSES:
         raise ValueError(f"unknown status {status!r}; one of {patterns.STATUSES}")
+
+    def changed(line: str) -> str:
+        found = json.loads(line)
+        return json.dumps(found | {"status": status}) if found.get("id") == draft_id else line
+
+    # No built-in form puts a key into JSON text and keeps what else it holds; only the draft's own lines come here.
+    rewritten = F.pandas_udf(lambda column: column.map(changed), T.StringType())
     line = text.strip(F.col(value))
-    schema = "id string, created string, register string, recipients array<string>, subject string, body string, status string"
-    parsed = F.from_json(line, schema)
-    changed = F.to_json(parsed.withField("status", F.lit(status)))
-    return lines.filter(line != "").select(F.when(is_object(line) & (parsed["id"] == draft_id), changed).otherwise(line).alias(value))
+    mine = is_object(line) & (F.get_json_object(line, "$.id") == draft_id)
+    return lines.filter(line != "").select(F.when(F.coalesce(mine, F.lit(False)), line).alias("_mine"), line.alias("_line")).select(
+        F.when(F.col("_mine").isNotNull(), rewritten(F.coalesce("_mine", F.lit("{}")))).otherwise(F.col("_line")).alias(value)
+    )
+
+
+def unexpired_lines(lines: DataFrame, now: str, days: int = patterns.RETENTION_DAYS, value: str = "value") -> DataFrame:
+    """Log lines of the drafts within retention, as they are; lines that aren't JSON objects go."""
+    created = lines.filter(is_object(F.col(value))).withColumn("_created", F.get_json_object(value, "$.created"))
+    return unexpired(created, now, days, "_created").drop("_created")
 
 
 def is_object(line: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import text
+from penprint.storage import written
 
 
 def quartiles(values: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -44,17 +45,27 @@ def quartiles(values: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+def shape_values(body: Column) -> Column:
+    """array of (metric, v): words and paragraphs a message, sentences a paragraph, words a sentence. Texts are split once."""
+    pair = lambda name, v: F.struct(F.lit(name).alias("metric"), v.cast("int").alias("v"))
+
+    def of(p: Column) -> Column:
+        return F.concat(
+            F.array(pair("words_per_email", text.n_words(body)), pair("paragraphs_per_email", F.size(p))),
+            F.transform(p, lambda s: pair("sentences_per_paragraph", F.size(s))),
+            F.transform(F.flatten(p), lambda x: pair("words_per_sentence", text.n_words(x))),
+        )
+
+    return text.let(F.transform(text.paragraphs(body), text.sentences), of)
+
+
+def shape_of(values: DataFrame, by: list[str], column: str) -> DataFrame:
+    return quartiles(values.select(*by, F.explode(column).alias("_s")).select(*by, "_s.metric", "_s.v"), [*by, "metric"], "v")
+
+
 def shape(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
     """by, metric, median, low, high of words and paragraphs a message, sentences a paragraph, words a sentence."""
-    of = messages.select(*by, F.col(body).alias("_b")).withColumn("_p", F.transform(text.paragraphs(F.col("_b")), text.sentences))
-    message = of.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("int").alias("v")) for m, v in (("words_per_email", text.n_words(F.col("_b"))), ("paragraphs_per_email", F.size("_p")))])).alias("s"))
-    paragraph = of.select(*by, F.explode("_p").alias("_s"))
-    values = (
-        message.select(*by, "s.metric", "s.v")
-        .unionByName(paragraph.select(*by, F.lit("sentences_per_paragraph").alias("metric"), F.size("_s").alias("v")))
-        .unionByName(paragraph.select(*by, F.explode("_s").alias("_x")).select(*by, F.lit("words_per_sentence").alias("metric"), text.n_words(F.col("_x")).alias("v")))
-    )
-    return quartiles(values, [*by, "metric"], "v")
+    return shape_of(messages.select(*by, shape_values(F.col(body)).alias("_shape")), by, "_shape")
 
 
 def shares(messages: DataFrame, by: list[str], what: Column, name: str = "value") -> DataFrame:
@@ -63,38 +74,37 @@ def shares(messages: DataFrame, by: list[str], what: Column, name: str = "value"
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
+def pooled_counts(body: Column) -> Column:
+    kinds = [text.n_punctuation(body, k).alias(k) for k in text.PUNCTUATION]
+    return F.struct(text.n_words(body).alias("words"), text.n_contracted(body).alias("contracted"), text.n_expanded(body).alias("expanded"), *kinds)
+
+
+def pooled_of(counted: DataFrame, by: list[str], column: str) -> DataFrame:
+    total = lambda k: F.sum(f"{column}.{k}")
+    rate = lambda k: F.coalesce(total(k) * 100 / F.nullif(total("words"), F.lit(0)), F.lit(0.0)).alias(k)
+    contractions = F.coalesce(total("contracted") / F.nullif(total("contracted") + total("expanded"), F.lit(0)), F.lit(0.0))
+    return counted.groupBy(*by).agg(contractions.alias("contraction_rate"), *[rate(k) for k in text.PUNCTUATION])
+
+
 def pooled(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
     """by, contraction_rate and the punctuation rates a hundred words, over all of a group's text."""
-    b = F.col(body)
-    kinds = list(text.PUNCTUATION)
-    sums = messages.groupBy(*by).agg(
-        F.sum(text.n_words(b)).alias("_words"), F.sum(text.n_contracted(b)).alias("_c"), F.sum(text.n_expanded(b)).alias("_e"), *[F.sum(text.n_punctuation(b, k)).alias(f"_{k}") for k in kinds]
-    )
-    rate = lambda k: F.coalesce(F.col(f"_{k}") * 100 / F.nullif(F.col("_words"), F.lit(0)), F.lit(0.0)).alias(k)
-    return sums.select(*by, F.coalesce(F.col("_c") / F.nullif(F.col("_c") + F.col("_e"), F.lit(0)), F.lit(0.0)).alias("contraction_rate"), *[rate(k) for k in kinds])
-
+    return pooled_of(messages.select(*by, pooled_counts(F.col(body)).alias("_pooled")), by, "_pooled")
 
-def stance(messages: DataFrame, by: list[str], body: str = "body", joined_by: str | None = None) -> DataFrame:
-    """by, hedges a hundred words, and imperatives, questions and bullets a sentence.
 
-    Sentences are counted in each message, so one never runs over into the next. With joined_by, a group's bodies
-    are first joined in that column's order, as for one long text: a body that ends without a mark then shares a sentence with
-    the next. That puts a group into one row, so it is for a single person's mail, not for large groups.
-    """
-    if joined_by:
-        parts = F.array_sort(F.collect_list(F.struct(F.col(joined_by).alias("o"), F.col(body).alias("b"))))
-        messages = messages.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["b"]), "\n\n").alias(body))
-    b = F.col(body)
+def stance_counts(body: Column) -> Column:
     counts = {
         "sentences": lambda s: F.size(s),
         "imperatives": text.n_imperatives,
         "questions": text.n_questions,
-        "bullets": lambda s: text.n_bullets(b),
-        "hedges": lambda s: text.n_hedges(b),
-        "words": lambda s: text.n_words(b),
+        "bullets": lambda s: text.n_bullets(body),
+        "hedges": lambda s: text.n_hedges(body),
+        "words": lambda s: text.n_words(body),
     }
-    counted = messages.select(*by, text.let(text.sentences(b), lambda s: F.struct(*[f(s).alias(k) for k, f in counts.items()])).alias("s"))
-    total = lambda k: F.sum(f"s.{k}")
+    return text.let(text.sentences(body), lambda s: F.struct(*[f(s).alias(k) for k, f in counts.items()]))
+
+
+def stance_of(counted: DataFrame, by: list[str], column: str) -> DataFrame:
+    total = lambda k: F.sum(f"{column}.{k}")
     per = lambda k, of: F.coalesce(total(k) / F.nullif(total(of), F.lit(0)), F.lit(0.0))
     return counted.groupBy(*by).agg(
         (per("hedges", "words") * 100).alias("hedges_per_100w"),
@@ -104,9 +114,26 @@ def stance(messages: DataFrame, by: list[str], body: str = "body", joined_by: st
     )
 
 
+def stance(messages: DataFrame, by: list[str], body: str = "body", joined_by: str | None = None) -> DataFrame:
+    """by, hedges a hundred words, and imperatives, questions and bullets a sentence.
+
+    Sentences are counted in each message, so one never runs over into the next. With joined_by, a group's bodies
+    are first joined in that column's order, as for one long text: a body that ends without a mark then shares a sentence with
+    the next. That puts a group into one row, so it is for a single person's mail, not for large groups.
+    """
+    if joined_by:
+        parts = F.array_sort(F.collect_list(F.struct(F.col(joined_by).alias("o"), F.col(body).alias("b"))))
+        messages = messages.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["b"]), "\n\n").alias(body))
+    return stance_of(messages.select(*by, stance_counts(F.col(body)).alias("_stance")), by, "_stance")
+
+
 def ask_median(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
     """by, ask_placement_median: null where no message asks."""
-    return messages.groupBy(*by).agg(F.median(text.ask_placement(F.col(body))).alias("ask_placement_median"))
+    return ask_median_of(messages.select(*by, text.ask_placement(F.col(body)).alias("_ask")), by, "_ask")
+
+
+def ask_median_of(placed: DataFrame, by: list[str], column: str) -> DataFrame:
+    return placed.groupBy(*by).agg(F.median(column).alias("ask_placement_median"))
 
 
 def subjects(messages: DataFrame, by: list[str], subject: str = "subject") -> DataFrame:
@@ -129,17 +156,36 @@ def english_valid(messages: DataFrame, by: list[str], body: str = "body") -> Dat
     return messages.groupBy(*by).agg((F.coalesce(odd, F.lit(0.0)) < NON_ASCII_SHARE).alias("english_metrics_valid"))
 
 
+def measured(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject") -> DataFrame:
+    """A table of one row a message: by, subject and all that its body counts for. Bodies are read once, here."""
+    b = F.col(body)
+    kinds = {"openers": text.opener(b), "closers": text.signoff(b), "name_forms": text.name_form(b)}
+    counts = {"pooled": pooled_counts(b), "stance": stance_counts(b), "ask": text.ask_placement(b), "shape": shape_values(b), **kinds}
+    return written(messages.select(*by, F.col(subject).alias("subject"), *[v.alias(f"_{k}") for k, v in counts.items()]), "measured")
+
+
 def flat(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject", joined_by: str | None = None) -> DataFrame:
-    """by, metric, value: all scalar metrics in one long table, named by dotted paths; nulls are left out."""
-    rows = []
-    for block, name in ((pooled(messages, by, body), None), (stance(messages, by, body, joined_by), "stance"), (ask_median(messages, by, body), None), (subjects(messages, by, subject), "subject")):
+    """by, metric, value: all scalar metrics in one long table, named by dotted paths; nulls are left out.
+
+    A distribution has its median and both ends of its interquartile range (``.median``, ``.low``, ``.high``).
+    """
+    rows, counts = [], measured(messages, by, body, subject)
+    stances = stance(messages, by, body, joined_by) if joined_by else stance_of(counts, by, "_stance")
+    for block, name in ((pooled_of(counts, by, "_pooled"), None), (stances, "stance"), (ask_median_of(counts, by, "_ask"), None), (subjects(counts, by), "subject")):
         cols = [c for c in block.columns if c not in by]
         label = lambda c, name=name: f"{name}.{c}" if name else (c if c in ("contraction_rate", "ask_placement_median") else f"punctuation.{c}")
         rows.append(block.select(*by, F.explode(F.array(*[F.struct(F.lit(label(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")).select(*by, "m.*"))
-    rows.append(shape(messages, by, body).select(*by, F.concat(F.lit("shape."), "metric", F.lit(".median")).alias("metric"), F.col("median").alias("value")))
-    for name, what in (("openers", text.opener(F.col(body))), ("closers", text.signoff(F.col(body))), ("name_forms", text.name_form(F.col(body)))):
-        rows.append(shares(messages, by, what).select(*by, F.concat(F.lit(name + "."), "value").alias("metric"), F.col("share").alias("value")))
+    ends = F.explode(F.array(*[F.struct(F.lit(f".{c}").alias("end"), F.col(c).alias("value")) for c in ("median", "low", "high")]))
+    shapes = shape_of(counts, by, "_shape").select(*by, "metric", ends.alias("e"))
+    rows.append(shapes.select(*by, F.concat(F.lit("shape."), "metric", "e.end").alias("metric"), "e.value"))
+    for name in ("openers", "closers", "name_forms"):
+        rows.append(shares(counts, by, F.col(f"_{name}")).select(*by, F.concat(F.lit(name + "."), "value").alias("metric"), F.col("share").alias("value")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.filter("value is not null")
+
+
+def scalars(found: DataFrame) -> DataFrame:
+    """Of a table from flat(), the metrics that comparisons take: all but the ends of interquartile ranges."""
+    return found.filter(~F.rlike("metric", F.lit("^shape\\..*\\.(?:low|high)$")))

@@ -38,6 +38,14 @@ def _nested(rows: list) -> dict:
     return out
 
 
+def _block(rows: list, words: list) -> dict:
+    """One block of the document: a distribution is its median and the interquartile range; a metric no message has is null."""
+    out = {"ask_placement_median": None} | _nested(rows)
+    for summary in out.get("shape", {}).values():
+        summary["iqr"] = [summary.pop("low"), summary.pop("high")]
+    return out | {"lexicon": words}
+
+
 def fingerprint(messages: DataFrame, baseline: DataFrame, user: str, joined: bool = False) -> dict:
     """The fingerprint document: one block of the corpus and one of each register of enough messages.
 
@@ -59,7 +67,7 @@ def fingerprint(messages: DataFrame, baseline: DataFrame, user: str, joined: boo
     lists: dict[str, list] = {}
     for r in words.orderBy("grp", "rank").collect():
         lists.setdefault(r["grp"], []).append({"phrase": r["phrase"], "count": r["count"], "log_odds": r["log_odds"]})
-    block = lambda g: _nested(found.get(g, [])) | {"lexicon": lists.get(g, [])}
+    block = lambda g: _block(found.get(g, []), lists.get(g, []))
     dates = main.filter("date <> ''").agg(F.min("date"), F.max("date")).first()
     return {
         "user": user,
@@ -81,9 +89,10 @@ def exemplar_rows(messages: DataFrame, user: str, keep: list[str] | None = None)
 
 
 def register_deltas(flat: DataFrame, group: str = "grp") -> DataFrame:
-    """Each group's metrics less those of the corpus (group ``*``)."""
-    whole = flat.filter(F.col(group) == "*").select(F.col("metric").alias("_metric"), F.col("value").alias("corpus_value"))
-    return flat.filter(F.col(group) != "*").join(whole, F.col("metric") == F.col("_metric")).select(group, "metric", "value", "corpus_value", (F.col("value") - F.col("corpus_value")).alias("delta"))
+    """Each group's scalar metrics less those of the corpus (group ``*``)."""
+    found = metrics.scalars(flat)
+    whole = found.filter(F.col(group) == "*").select(F.col("metric").alias("_metric"), F.col("value").alias("corpus_value"))
+    return found.filter(F.col(group) != "*").join(whole, F.col("metric") == F.col("_metric")).select(group, "metric", "value", "corpus_value", (F.col("value") - F.col("corpus_value")).alias("delta"))
 
 
 def holdout(truth: DataFrame, profile: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +100,7 @@ def holdout(truth: DataFrame, profile: DataFrame, control: DataFrame) -> tuple[D
     from penprint.operators import edits
 
     sides = [df.withColumn("side", F.lit(name)) for name, df in (("truth", truth), ("profile", profile), ("control", control))]
-    flat = written(metrics.flat(sides[0].unionByName(sides[1]).unionByName(sides[2]), ["side"]), "sides")
+    flat = written(metrics.scalars(metrics.flat(sides[0].unionByName(sides[1]).unionByName(sides[2]), ["side"])), "sides")
     of = lambda name: flat.filter(F.col("side") == name).select("metric", "value")
     deltas = edits.compared(of("truth"), of("profile"))
     return edits.verdict(deltas, edits.compared(of("truth"), of("control"))), edits.largest_gaps(deltas)

@@ -15,11 +15,12 @@ from email.utils import getaddresses, parsedate_to_datetime
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penprint.functions import patterns, text
+from penprint.storage import written
 
 PARSED = "ord bigint, id string, sender string, recipients array<string>, subject string, date string, content_type string, auto boolean, body string"
 JSON_RECORD = "id string, `from` string, `to` string, cc string, subject string, date string, body string"
@@ -108,18 +109,23 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_eml(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages of *.eml files in a folder, numbered by file name."""
+    """Messages of *.eml files in a folder, numbered in the order of their names (with gaps)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder).select("path", F.col("content").alias("raw"))
-    numbered = files.select("path").withColumn("ord", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+    numbered = written(files.select("path").orderBy("path").withColumn("ord", F.monotonically_increasing_id()), "names")
     return files.join(numbered, "path").select("ord", "raw").mapInPandas(_parse, PARSED)
 
 
+def _without_mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of messages that a separator parted: the rest of the mark's line goes."""
+    for frame in frames:
+        frame["raw"] = [bytes(raw).partition(b"\n")[2] for raw in frame["raw"]]
+        yield frame
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mbox files. The mark between messages is the record separator, so large files are split."""
-    lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
-    # The rest of the mark's line is not part of the message.
-    message = F.regexp_replace(F.regexp_replace("value", "\\A(?:From )?[^\\n]*\\n", ""), "(?m)^>(>*From )", "$1")
-    return lines.filter(F.btrim("value") != "").select("ord", message.cast("binary").alias("raw")).mapInPandas(_parse, PARSED)
+    """Messages of mbox files. The mark between messages is the record separator, so large files are split; bytes stay as they are."""
+    lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").cast("binary").alias("raw"))
+    return lines.filter(F.octet_length("raw") > 0).mapInPandas(_without_mark, "ord bigint, raw binary").mapInPandas(_parse, PARSED)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

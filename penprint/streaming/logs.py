@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.operators import edits
+from penprint.storage import exists, remove
 
 EDIT = "ord bigint, draft_id string, reviewed timestamp, classification string, observations array<struct<dimension:string,direction:string,evidence:string>>"
 
@@ -23,11 +24,22 @@ def daily_observations(stream: DataFrame) -> DataFrame:
     return each.groupBy(F.window("reviewed", "1 day"), "o.dimension", "o.direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def promote_on_arrival(stream: DataFrame, log_path: str, out_path: str, checkpoint: str):
-    """Start a query that recomputes promotions from the whole log after each batch."""
+def promote_on_arrival(stream: DataFrame, state_path: str, out_path: str, checkpoint: str):
+    """Start a query that keeps promotions up to date with each batch.
 
-    def step(batch: DataFrame, _: int) -> None:
-        if batch.count():  # reads every partition, as the state store asks
-            edits.promotable(batch.sparkSession.read.schema(EDIT).json(log_path)).write.mode("overwrite").parquet(out_path)
+    The state is what each draft was first seen to do (edits.observed), a table a batch: a batch adds to the table before
+    it, so the log isn't read again, and a batch that runs twice writes the same table.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = edits.observed(batch)
+        before = f"{state_path}/{number - 1}"
+        if number and exists(spark, before):
+            seen = edits.earliest(seen.unionByName(spark.read.parquet(before)))
+        seen.write.mode("overwrite").parquet(f"{state_path}/{number}")
+        edits.promoted(spark.read.parquet(f"{state_path}/{number}")).write.mode("overwrite").parquet(out_path)
+        if number > 1:
+            remove(spark, f"{state_path}/{number - 2}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

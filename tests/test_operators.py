@@ -121,9 +121,11 @@ def test_retention_and_status(spark):
     log = spark.createDataFrame([("a", "2026-07-01"), ("b", "2026-08-17"), ("c", "")], "id string, created string")
     assert [r.id for r in drafts.unexpired(log, "2026-08-18").collect()] == ["b"]
     assert drafts.unexpired(log, "whenever").count() == 3
-    lines = spark.createDataFrame([('{"id": "a", "status": "pending"}',), ("{broken",), ("",), ("42",)], "value string")
+    lines = spark.createDataFrame([('{"id": "a", "status": "pending", "own": [1, 2.50], "none": null}',), ("{broken",), ("",), ("42",), ('{"id": "b"}',)], "value string")
     out = [r.value for r in drafts.with_status(lines, "a", "matched").collect()]
-    assert out == ['{"id":"a","status":"matched"}', "{broken", "42"]
+    assert out == ['{"id": "a", "status": "matched", "own": [1, 2.5], "none": null}', "{broken", "42", '{"id": "b"}']
+    dated = spark.createDataFrame([('{"created": "2026-08-17", "own": null}',), ('{"created": "2026-01-17"}',), ("{broken",)], "value string")
+    assert [r.value for r in drafts.unexpired_lines(dated, "2026-08-18").collect()] == ['{"created": "2026-08-17", "own": null}']
     with pytest.raises(ValueError):
         drafts.with_status(lines, "a", "expired")
 
@@ -170,6 +172,18 @@ def test_one_sided(spark):
     assert [(r.metric, r.delta) for r in edits.compared(a, b).collect()] == [("y", 1.0)]
 
 
+def test_signed_deltas(spark):
+    a, b = (spark.createDataFrame(x, "metric string, value double") for x in ([("x", 3.0), ("y", 2.0)], [("x", 1.0), ("z", 4.0)]))
+    assert [(r.metric, r.delta) for r in edits.signed(a, b).collect()] == [("x", -2.0)]
+
+
+def test_lexicon_ties_go_by_first_occurrence(spark):
+    df = spark.createDataFrame([(5, "g", "zz aa"), (3, "g", "zz aa bb"), (4, "g", "bb zz aa bb"), (9, None, "cc")], "ord bigint, g string, body string")
+    base = spark.createDataFrame([], "n int, phrase string, freq double")
+    rows = lexicon.lexicon(df, base, ["g"]).orderBy("rank").collect()
+    assert [(r.g, r.phrase, r["count"]) for r in rows] == [("g", "zz aa", 3), ("g", "zz", 3), ("g", "aa", 3), ("g", "bb", 3)]
+
+
 def test_sentence_diff_pairs_what_moved_and_changed(spark):
     before = "Alpha beta gamma delta. The budget is four thousand now. Goodbye to all of you."
     after = "Alpha beta gamma delta. The budget is five thousand now. See you."

@@ -54,6 +54,8 @@ def test_analysis_of_a_folder(spark, folder):
     assert found["date_range"][0] == "2025-04-14T08:00:00-04:00"
     files.write_document(found, str(folder / "out" / "fingerprint.json"))
     assert json.loads((folder / "out" / "fingerprint.json").read_text())["baseline"]["shape"]["words_per_email"]["median"] > 10
+    shape = found["baseline"]["shape"]["words_per_email"]
+    assert set(shape) == {"median", "iqr"} and shape["iqr"][0] <= shape["median"] <= shape["iqr"][1]
     assert {r.register for r in analyze.exemplar_rows(kept, USER).collect()} == {"client", "cold_outreach", "terse_ack"}
     with pytest.raises(analyze.TooFewMessages):
         analyze.fingerprint(kept.limit(3), lexicon.baseline_of(kept), USER)
@@ -66,6 +68,24 @@ def test_mbox_equals_its_messages(spark, folder):
     assert one == {(r.id, r.subject, r.body.strip()) for r in mail.read_eml(spark, f"file://{folder}").collect()}
 
 
+def test_mbox_bytes_stay(spark, tmp_path):
+    raw = b"From x Mon Apr 14 08:00:00 2025\nFrom: a@own.com\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\ncaf\xe9 cr\xe8me\n>From here\n\nFrom y Mon\nFrom: b@own.com\nSubject: s\n\nlast\n"
+    (tmp_path / "m.mbox").write_bytes(raw)
+    rows = mail.read_mbox(spark, f"file://{tmp_path}/m.mbox").orderBy("ord").collect()
+    assert [r.body.strip() for r in rows] == ["caf\u00e9 cr\u00e8me\n>From here", "last"]
+
+
+def test_corpus_document_round_trip(spark, folder):
+    kept, stats = analyze.corpus(mail.read_eml(spark, f"file://{folder}"), USER)
+    files.write_corpus(kept, stats, USER, str(folder / "corpus.json"))
+    whole = json.loads((folder / "corpus.json").read_text())
+    assert (len(whole["messages"]), len(whole["terse_ack"]), whole["stats"], whole["user"]) == (14, 2, stats, USER)
+    assert list(whole["messages"][0]) == ["id", "date", "to_domains", "recipient_count", "subject", "body", "is_reply", "word_count"]
+    back = files.read_corpus(spark, f"file://{folder}/corpus.json")
+    same = lambda df: sorted(tuple(str(r[c]) for c in (*files.MESSAGE, "is_terse")) for r in df.collect())
+    assert same(back) == same(kept)
+
+
 def test_json_records(spark, tmp_path):
     (tmp_path / "raw.json").write_text(json.dumps([{"id": "1", "from": USER, "to": "A <a@X.com>, b@x.com", "cc": "c@y.com", "subject": "Re: s", "date": "Mon, 14 Apr 2025 08:00:00 -0400", "body": "word " * 20}, {"body": "lone"}]))
     parsed = mail.read_json(spark, f"file://{tmp_path}/raw.json")
@@ -93,8 +113,12 @@ def test_edit_stream(spark, tmp_path):
     row = lambda i, d: json.dumps({"ord": i, "draft_id": d, "reviewed": "2026-08-01T10:00:00", "classification": "edited", "observations": [{"dimension": "hedging", "direction": "reduce", "evidence": "x"}]})
     (log / "1.json").write_text(row(0, "a") + "\n" + row(1, "b") + "\n" + row(1, "b") + "\n")
     stream = logs.edit_stream(spark, f"file://{log}")
-    query = logs.promote_on_arrival(stream, f"file://{log}", f"file://{out}", f"file://{tmp_path}/cp")
+    query = logs.promote_on_arrival(stream, f"file://{tmp_path}/state", f"file://{out}", f"file://{tmp_path}/cp")
+    found = lambda: [(r.dimension, r["count"], r.evidence) for r in spark.read.parquet(f"file://{out}").collect()]
+    query.processAllAvailable()
+    assert found() == [("hedging", 2, ["x", "x"])]
+    (log / "2.json").write_text(row(2, "c") + "\n" + row(3, "a"))
     query.processAllAvailable()
     query.stop()
-    assert [(r.dimension, r["count"]) for r in spark.read.parquet(f"file://{out}").collect()] == [("hedging", 2)]
+    assert found() == [("hedging", 3, ["x", "x", "x"])]
     assert logs.daily_observations(stream).isStreaming
