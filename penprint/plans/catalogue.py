@@ -15,7 +15,7 @@ from penprint.functions import patterns, text
 from penprint.operators import dedupe, diff, drafts, edits, lexicon, metrics, registers
 from penprint.plans import analyze
 from penprint.sources import mail
-from penprint.storage import table, written
+from penprint.storage import scratch_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,14 @@ def _sql_quartiles(source: str, by: str) -> str:
         CASE WHEN n < 4 THEN x[n] ELSE {q(3)} END AS high FROM (SELECT {by}, list_sort(list(v::double)) AS x, count(*) AS n FROM {source} GROUP BY {by})"""
 
 
+def _sql_shape_values(source: str, by: str, body: str) -> str:
+    """CTEs that end in ``shapes``: by, metric, v."""
+    return f"""paras AS (SELECT {by}, {body} AS b, list_transform({_sql_paragraphs(body)}, lambda p: {_sql_sentences("p")}) AS ps FROM {source}),
+    sents AS (SELECT {by}, unnest(ps) AS ss FROM paras),
+    shapes AS (SELECT {by}, 'words_per_email' AS metric, {_WORDS("b")} AS v FROM paras UNION ALL SELECT {by}, 'paragraphs_per_email', len(ps) FROM paras
+      UNION ALL SELECT {by}, 'sentences_per_paragraph', len(ss) FROM sents UNION ALL SELECT {by}, 'words_per_sentence', {_WORDS("x")} FROM (SELECT {by}, unnest(ss) AS x FROM sents))"""
+
+
 # ---- Shape, rates and shares.
 
 
@@ -120,13 +128,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source", F.col("text").alias("body"))
 
 
-@query(
-    f"""WITH p AS (SELECT lang, text, list_transform({_sql_paragraphs("text")}, lambda p: {_sql_sentences("p")}) AS ps FROM documents),
-    s AS (SELECT lang, unnest(ps) AS ss FROM p),
-    v AS (SELECT lang, 'words_per_email' AS metric, {_WORDS("text")} AS v FROM p UNION ALL SELECT lang, 'paragraphs_per_email', len(ps) FROM p
-      UNION ALL SELECT lang, 'sentences_per_paragraph', len(ss) FROM s UNION ALL SELECT lang, 'words_per_sentence', {_WORDS("x")} FROM (SELECT lang, unnest(ss) AS x FROM s))
-    {_sql_quartiles("v", "lang, metric")}"""
-)
+@query(f"""WITH {_sql_shape_values("documents", "lang", "text")} {_sql_quartiles("shapes", "lang, metric")}""")
 def word_shape_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.shape(_documents(spark, sf_dir), ["lang"])
 
@@ -157,12 +159,13 @@ _IMPERATIVE_SQL = "(?i)^(" + "|".join(patterns.IMPERATIVES) + ")([^-\\w]|$)"
 _ASK_SQL = "(?i)(\\?|\\b(" + "|".join(patterns.ASK_PHRASES) + "|by (" + "|".join(patterns.ASK_DEADLINES) + "))\\b)"
 
 
-@query(
-    rf"""WITH {DECORATED}, s AS (SELECT lang, body, {_sql_sentences("body")} AS ss FROM decorated),
-    c AS (SELECT lang, len(ss) AS n, len(list_filter(ss, lambda x: regexp_matches(x, '{_IMPERATIVE_SQL}'))) AS i, len(list_filter(ss, lambda x: x LIKE '%?')) AS q,
-      len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\s*[-*•]\s+'))) AS b, {_sql_count("body", _HEDGE_SQL)} AS h, {_WORDS("body")} AS w FROM s)
-    SELECT lang, sum(h) / sum(w) * 100 AS hedges_per_100w, sum(i) / sum(n) AS imperative_rate, sum(q) / sum(n) AS question_rate, sum(b) / sum(n) AS bullet_rate FROM c GROUP BY lang"""
-)
+def _sql_stance(source: str, by: str) -> str:
+    return rf"""SELECT {by}, sum(h) / sum(w) * 100 AS hedges_per_100w, sum(i) / sum(n) AS imperative_rate, sum(q) / sum(n) AS question_rate, sum(b) / sum(n) AS bullet_rate FROM
+      (SELECT {by}, len(ss) AS n, len(list_filter(ss, lambda x: regexp_matches(x, '{_IMPERATIVE_SQL}'))) AS i, len(list_filter(ss, lambda x: x LIKE '%?')) AS q,
+      len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\s*[-*•]\s+'))) AS b, {_sql_count("body", _HEDGE_SQL)} AS h, {_WORDS("body")} AS w FROM (SELECT {by}, body, {_sql_sentences("body")} AS ss FROM {source})) GROUP BY {by}"""
+
+
+@query(f"WITH {DECORATED} {_sql_stance('decorated', 'lang')}")
 def stance_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stance(decorated(spark, sf_dir), ["lang"])
 
@@ -176,11 +179,12 @@ def ask_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", text.ask_placement(F.col("body")).alias("ask_placement"))
 
 
-@query(
-    f"""WITH {DECORATED}, s AS (SELECT lang, doc_id, flatten(list_transform({_sql_paragraphs("body")}, lambda p: {_sql_sentences("p")})) AS ss FROM decorated),
-    a AS (SELECT lang, ss, list_position(list_transform(ss, lambda x: regexp_matches(x, '{_ASK_SQL}') OR regexp_matches(x, '{_IMPERATIVE_SQL}')), true) AS p FROM s)
-    SELECT lang, median(round((nullif(p, 0) - 1) / len(ss), 3)) AS ask_placement_median FROM a GROUP BY lang"""
-)
+def _sql_ask_median(source: str, by: str) -> str:
+    return f"""SELECT {by}, median(round((nullif(p, 0) - 1) / len(ss), 3)) AS ask_placement_median FROM (SELECT {by}, ss, list_position(list_transform(ss, lambda x: regexp_matches(x, '{_ASK_SQL}') OR regexp_matches(x, '{_IMPERATIVE_SQL}')), true) AS p
+      FROM (SELECT {by}, flatten(list_transform({_sql_paragraphs("body")}, lambda p: {_sql_sentences("p")})) AS ss FROM {source})) GROUP BY {by}"""
+
+
+@query(f"WITH {DECORATED} {_sql_ask_median('decorated', 'lang')}")
 def ask_median_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ask_median(decorated(spark, sf_dir), ["lang"])
 
@@ -190,17 +194,23 @@ _OPENER_SQL = rf"""CASE WHEN regexp_matches(f, '(?i)^hi\s+[A-Z][\w''-]*') THEN '
     WHEN regexp_matches(f, '^[A-Z][\w''-]*\s*[—–-](\s*$|\s+\S)') THEN 'name_dash' WHEN regexp_matches(f, '^[A-Z][\w''-]*,\s*$') THEN 'bare_name' ELSE 'none' END"""
 _LINES = f"list_filter(list_transform(string_split(body, chr(10)), lambda x: {_sql_strip('x')}), lambda x: x <> '')"
 _SIGNOFFS = "[" + ", ".join(f"'{s}'" for s in patterns.SIGNOFFS) + "]"
-_CLOSERS_SQL = rf"""SELECT doc_id, source, coalesce(list_last(list_filter(list_transform(l[-2:], lambda x: lower(trim(regexp_replace(x, ',+$', '')))), lambda x: list_contains({_SIGNOFFS}, x))), 'none') AS closer,
-    list_filter(string_split_regex(regexp_replace(trim(regexp_replace(l[-1], '^[—–-]+', '')), ',+$', ''), '\s+'), lambda x: x <> '') AS names, {_OPENER_SQL} AS opener
-    FROM (SELECT doc_id, source, {_LINES} AS l, {_FIRST} AS f FROM decorated)"""
+def _sql_closers(source: str, by: str) -> str:
+    return rf"""SELECT {by}, coalesce(list_last(list_filter(list_transform(l[-2:], lambda x: lower(trim(regexp_replace(x, ',+$', '')))), lambda x: list_contains({_SIGNOFFS}, x))), 'none') AS closer,
+      list_filter(string_split_regex(regexp_replace(trim(regexp_replace(l[-1], '^[—–-]+', '')), ',+$', ''), '\s+'), lambda x: x <> '') AS names, {_OPENER_SQL} AS opener
+      FROM (SELECT {by}, {_LINES} AS l, {_FIRST} AS f FROM {source})"""
+
+
 _NAME_FORM_SQL = """CASE WHEN len(names) NOT BETWEEN 1 AND 3 OR len(list_filter(names, lambda x: NOT (upper(x[1]) = x[1] AND lower(x[1]) <> x[1]))) > 0 THEN 'none'
     WHEN len(names) > 1 THEN 'full_name' WHEN length(names[1]) <= 2 THEN 'initial' ELSE 'first_name' END"""
 
 
-@query(
-    f"""WITH {DECORATED}, c AS ({_CLOSERS_SQL}), v AS (SELECT source, 'opener' AS kind, opener AS value FROM c UNION ALL SELECT source, 'closer', closer FROM c UNION ALL SELECT source, 'name_form', {_NAME_FORM_SQL} FROM c)
-    SELECT source, kind, value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY source, kind) AS share FROM v GROUP BY source, kind, value"""
-)
+def _sql_kinds(source: str, by: str) -> str:
+    """by, kind, value, n, share."""
+    return f"""SELECT {by}, kind, value, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY {by}, kind) AS share FROM
+      (SELECT {by}, unnest([{{'kind': 'opener', 'value': opener}}, {{'kind': 'closer', 'value': closer}}, {{'kind': 'name_form', 'value': {_NAME_FORM_SQL}}}], recursive := true) FROM ({_sql_closers(source, by)})) GROUP BY {by}, kind, value"""
+
+
+@query(f"WITH {DECORATED} {_sql_kinds('decorated', 'source')}")
 def opener_closer_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("body")
     kinds = {"opener": text.opener(body), "closer": text.signoff(body), "name_form": text.name_form(body)}
@@ -208,10 +218,28 @@ def opener_closer_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.shares(each, ["source", "kind"], F.col("value"))
 
 
-@query(
-    f"""WITH {DECORATED} SELECT lang, median({_sql_count("subject", r"[^ \t\n\r]+")})::double AS median_words, avg((subject = lower(subject))::int) AS lowercase_rate,
-    avg((regexp_replace(subject, '\\s+$', '') LIKE '%?')::int) AS question_rate FROM decorated WHERE subject <> '' GROUP BY lang"""
-)
+def _sql_subjects(source: str, by: str) -> str:
+    return rf"""SELECT {by}, median({_sql_count("subject", r"[^ \t\n\r]+")})::double AS median_words, avg((subject = lower(subject))::int) AS lowercase_rate,
+      avg((regexp_replace(subject, '\s+$', '') LIKE '%?')::int) AS question_rate FROM {source} WHERE subject <> '' GROUP BY {by}"""
+
+
+def _sql_flat(source: str, by: str) -> str:
+    """CTEs that end in ``flat``: by, metric, value of every scalar metric. source: a CTE with by, subject and body."""
+    longer = lambda of, prefix, columns: f"SELECT {by}, '{prefix}' || name AS metric, value::double AS value FROM (UNPIVOT {of} ON {', '.join(columns)} INTO NAME name VALUE value)"
+    parts = [
+        longer("f_pooled", "punctuation.", list(_PUNCT_SQL)),
+        longer("f_pooled", "", ["contraction_rate"]),
+        longer("f_stance", "stance.", ["hedges_per_100w", "imperative_rate", "question_rate", "bullet_rate"]),
+        longer("f_ask", "", ["ask_placement_median"]),
+        longer("f_subject", "subject.", ["median_words", "lowercase_rate", "question_rate"]),
+        f"SELECT {by}, 'shape.' || metric || '.median', median FROM f_shape",
+        f"SELECT {by}, CASE kind WHEN 'opener' THEN 'openers.' WHEN 'closer' THEN 'closers.' ELSE 'name_forms.' END || value, share FROM f_kinds",
+    ]
+    return f"""f_pooled AS ({_sql_pooled(source, by, "body")}), f_stance AS ({_sql_stance(source, by)}), f_ask AS ({_sql_ask_median(source, by)}), f_subject AS ({_sql_subjects(source, by)}),
+    {_sql_shape_values(source, by, "body")}, f_shape AS ({_sql_quartiles("shapes", by + ", metric")}), f_kinds AS ({_sql_kinds(source, by)}), flat AS ({" UNION ALL ".join(parts)})"""
+
+
+@query(f"WITH {DECORATED} {_sql_subjects('decorated', 'lang')}")
 def subject_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.subjects(decorated(spark, sf_dir), ["lang"])
 
@@ -319,16 +347,25 @@ _GRAMS = """w AS (SELECT source, doc_id, lang, list_transform(regexp_extract_all
 )
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-odds of every phrase of a language against all documents."""
-    docs = _documents(spark, sf_dir)
-    base = lexicon.baseline_of(docs)
-    return lexicon.lexicon(docs, base, ["lang"], top=2**31 - 1).select("lang", "n", "phrase", "count", F.round("log_odds", 6).alias("log_odds"))
+    counts = written(lexicon.phrase_counts(_documents(spark, sf_dir), ["lang"]), "phrases")
+    scored = lexicon.scores(counts, lexicon.frequencies(counts), ["lang"])
+    return scored.select("lang", "n", "phrase", "count", F.round("log_odds", 6).alias("log_odds"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT source, doc_id, list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x)) AS w FROM documents),
+    g AS (SELECT source, 1 AS n, doc_id, unnest(range(len(w))) AS pos, unnest(w) AS phrase FROM w
+      UNION ALL SELECT source, 2, doc_id, unnest(range(len(w) - 1)), unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1),
+    base AS (SELECT n AS bn, phrase AS bp, count(*) / sum(count(*)) OVER (PARTITION BY n) AS freq FROM g GROUP BY n, phrase),
+    c AS (SELECT source, n, phrase, count(*) AS count, sum(count(*)) OVER (PARTITION BY source, n) AS total, min({'d': doc_id, 'p': pos}) AS first FROM g GROUP BY source, n, phrase),
+    s AS (SELECT *, ln(count / total / coalesce(freq, 1e-7)) AS odds FROM c LEFT JOIN base ON n = bn AND phrase = bp WHERE count >= 3)
+    SELECT source, row_number() OVER (PARTITION BY source ORDER BY round(odds, 3) DESC, n, first)::int AS rank, n, phrase, count, round(odds, 6) AS log_odds FROM s QUALIFY rank <= 15"""
+)
 def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top phrases of each source: ties of rounded scores go by first occurrence."""
     docs = _documents(spark, sf_dir)
-    return lexicon.lexicon(docs, lexicon.baseline_of(docs), ["source"])
+    counts = written(lexicon.phrase_counts(docs, ["source"]), "phrases")
+    return lexicon.lexicon(docs, lexicon.frequencies(counts), ["source"], counts=counts).withColumn("log_odds", F.round("log_odds", 6))
 
 
 @query(f"WITH {_GRAMS} SELECT n, phrase, count(*) / sum(count(*)) OVER (PARTITION BY n) AS freq FROM g GROUP BY n, phrase")
@@ -338,35 +375,71 @@ def baseline_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Redaction and cleaning.
 
+PLACES = ["meet at 12 Main Street today", "ring +1 415 555 0100 at once", "Dear Priya and Dana-Lee", "write to lee.k@mail.example.co now", "or www.ex.com/x?y=1"]
+_PRIVATE = ["[EMAIL]", "[URL]", "[$AMOUNT]", "[PHONE]", "[ADDRESS]", "[FIRST]"]
+
+
+def _sql_redacted(x: str) -> str:
+    """CTEs that end in ``red``: doc_id, t, the redacted ``x`` of decorated; Dana stays (masked, as the SQL dialect has no lookahead)."""
+    out = f"replace({x}, 'Dana', chr(3))"
+    for pattern, put in (
+        (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[EMAIL]"),
+        (r"https?://\S+|\bwww\.\S+", "[URL]"),
+        (r"\$\s?\d[\d,]*(\.\d\d)?\b", "[$AMOUNT]"),
+        (r"(^|[^\w])(\+?\d[\d\s().-]{8,}\d)($|[^\w])", r"\1[PHONE]\3"),
+        (r"\b\d{1,5}\s+[A-Z][a-z]+\s+(Street|St|Avenue|Ave|Road|Rd|Blvd)\b", "[ADDRESS]"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{put}', 'g')"
+    kept = ", ".join(f"'{w}'" for w in patterns.WEEKDAYS_MONTHS)
+    others = ", ".join(f"'{w}'" for w in patterns.NOT_NAMES)
+    greeting = rf"""CASE WHEN regexp_matches(x, '^(Hi|Hey|Hello|Dear)\s+[A-Z][\w''-]+') AND lower(regexp_extract(x, '^(Hi|Hey|Hello|Dear)\s+([A-Z][\w''-]+)', 2)) NOT IN ({kept})
+        THEN regexp_replace(x, '^(Hi|Hey|Hello|Dear)\s+[A-Z][\w''-]+', '\1 [FIRST]') ELSE x END"""
+    bare = rf"""CASE WHEN regexp_matches(l[1], '^[ \t]*[A-Z][\w''-]*([ \t]*,[ \t]*[A-Z][\w''-]*)*[ \t]*,[ \t]*$') AND len(list_filter(string_split(rtrim(l[1], ', '), ','), lambda n: trim(lower(n)) IN ({others}))) = 0
+        THEN list_concat([array_to_string(list_transform(list_filter(string_split(rtrim(l[1], ', '), ','), lambda n: trim(n) <> ''), lambda n: '[FIRST]'), ', ') || ','], l[2:]) ELSE l END"""
+    closing = r"(?m)^(Best regards|Best|Thanks|Cheers|Regards|Sincerely),?\s*\n\s*[A-Z][\w''-]+(\s+[A-Z][\w''-]+)?\s*$"
+    return rf"""r1 AS (SELECT doc_id, list_transform(string_split({out}, chr(10)), lambda x: {greeting}) AS l FROM decorated), r2 AS (SELECT doc_id, array_to_string({bare}, chr(10)) AS t FROM r1),
+    red AS (SELECT doc_id, replace(regexp_replace(t, '{closing}', '\1,' || chr(10) || '[FIRST]', 'g'), chr(3), 'Dana') AS t FROM r2)"""
+
+
 @query(
-    rf"""WITH {DECORATED}, a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(body, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g'), 'https?://\S+|\bwww\.\S+', '[URL]', 'g'), '\$\s?\d[\d,]*(\.\d\d)?\b', '[$AMOUNT]', 'g') AS b FROM decorated)
-    SELECT doc_id, len(regexp_extract_all(b, '\[EMAIL\]')) AS emails, len(regexp_extract_all(b, '\[URL\]')) AS urls, len(regexp_extract_all(b, '\[\$AMOUNT\]')) AS amounts,
-      CASE WHEN doc_id % 6 IN (1, 5) THEN 1 ELSE 0 END AS greeted, CASE WHEN doc_id % 6 = 3 THEN 1 ELSE 0 END AS bare, CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END AS signed FROM a"""
+    f"""WITH {DECORATED}, {_sql_redacted("raw || chr(10) || " + _sql_pick(PLACES, "(doc_id // 7)"))}
+    SELECT doc_id, md5(t) AS digest, {", ".join(f"((length(t) - length(replace(t, '{k}', ''))) // {len(k)})::bigint AS {k.strip('[$]').lower()}" for k in _PRIVATE)} FROM red"""
 )
 def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders put in for addresses, links and amounts, and for names in greetings and sign-offs (Dana stays)."""
-    out = decorated(spark, sf_dir).withColumn("b", text.redacted(F.col("body"), ["Dana"]))
-    n = lambda p: F.regexp_count("b", F.lit(p))
-    return out.select(
-        "doc_id",
-        n("\\[EMAIL\\]").cast("bigint").alias("emails"),
-        n("\\[URL\\]").cast("bigint").alias("urls"),
-        n("\\[\\$AMOUNT\\]").cast("bigint").alias("amounts"),
-        n("(?m)\\A(?:Hi|Hey|Hello|Dear) \\[FIRST\\]").alias("greeted"),
-        n("\\A\\[FIRST\\],").alias("bare"),
-        n("Cheers,\\n\\[FIRST\\]\\z").alias("signed"),
-    )
+    """Digest of the redacted text (Dana stays), and how many placeholders of each kind it has."""
+    place = F.element_at(F.array(*[F.lit(x) for x in PLACES]), (F.floor(F.col("doc_id") / 7) % len(PLACES) + 1).cast("int"))
+    out = decorated(spark, sf_dir).select("doc_id", text.redacted(F.concat("raw", F.lit("\n"), place), ["Dana"]).alias("t"))
+    n = lambda k: F.floor((F.length("t") - F.length(F.replace("t", F.lit(k), F.lit("")))) / len(k)).cast("bigint").alias(k.strip("[$]").lower())
+    return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), *[n(k) for k in _PRIVATE])
 
 
-@query(
-    f"""WITH {DECORATED}, q AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN regexp_replace(raw, '(?s)\\nOn Mon, Sam wrote:.*', '') ELSE raw END AS b FROM decorated)
-    SELECT doc_id, md5(regexp_replace(b, '\\s+$', '')) AS digest FROM q"""
-)
+_QUOTED_SQL = r"(?m)(^On .{0,200}\bwrote:\s*$|^-{2,}\s*(?i:Original Message)\s*-{2,}\s*$|^_{10,}\s*$|^From:\s.+\nSent:\s.+$|^\s*>)(?s:.*)"
+
+
+def _sql_unquoted(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '{_QUOTED_SQL}', ''), '\s+$', '')"
+
+
+@query(f"WITH {DECORATED} SELECT doc_id, md5({_sql_unquoted('raw')}) AS digest FROM decorated")
 def quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", F.md5(text.without_quotes(F.col("raw")).cast("binary")).alias("digest"))
 
 
-@query()
+_CONTACT_SQL = r"(?i)\+?\d[\d\s().-]{7,}\d|\b[\w.+-]+@[\w-]+\.\w+\b|\b[\w-]+\.(com|net|org|io|co)\b|\|"
+
+
+def _sql_unsigned(source: str, x: str, keys: str) -> str:
+    """CTEs that end in ``unsigned``: keys, body. From the last line up, contact lines go, and after the first of these labels too."""
+    contact = f"(regexp_matches(x, '{_CONTACT_SQL}') AND {_sql_count('x', r'\S+')} <= 8)"
+    label = rf"(regexp_matches(x, '^[^\-–—*]') AND {_sql_count('x', r'\S+')} BETWEEN 1 AND 6 AND NOT regexp_matches(x, '[.!?]$'))"
+    marked = rf"regexp_replace(regexp_replace({x}, '(?m)^--\s?$(?s:.*)', ''), '(?im)^\s*(Sent from my \w+|Get Outlook for \w+|Sent via \w+).*$(?s:.*)', '')"
+    return rf"""s1 AS (SELECT {keys}, string_split(regexp_replace({marked}, '\s+$', ''), chr(10)) AS l FROM {source}),
+    s2 AS (SELECT *, list_transform(list_reverse(l), lambda y: {_sql_strip("y")}) AS r FROM s1),
+    s3 AS (SELECT *, list_transform(r, lambda x: x <> '' AND {contact}) AS c, list_transform(r, lambda x: x <> '' AND ({contact} OR {label})) AS k FROM s2),
+    unsigned AS (SELECT {keys}, regexp_replace(array_to_string(l[:len(l) - CASE WHEN c[1] THEN least(len(l), coalesce(nullif(list_position(k, false), 0), len(l) + 1)::bigint) - 1 ELSE 0 END], chr(10)), '\s+$', '') AS body FROM s3)"""
+
+
+@query(f"WITH {DECORATED}, {_sql_unsigned('decorated', 'raw', 'doc_id')} SELECT doc_id, body FROM unsigned")
 def signature_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", text.without_signature(F.col("raw")).alias("body"))
 
@@ -420,25 +493,40 @@ def pending_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIDES = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'reduce' WHEN value < 50 THEN 'reduce' ELSE 'increase' END"
 
 
+_DIMENSIONS = ", ".join(f"'{d}'" for d in patterns.DIMENSIONS)
+
+
 @query(
     f"""WITH o AS (SELECT event_id AS ord, user_id::varchar AS draft, CASE event_type WHEN 'click' THEN 'length' WHEN 'purchase' THEN 'hedging' WHEN 'signup' THEN 'opener' WHEN 'error' THEN 'signoff' ELSE event_type END AS dimension, {_SIDES} AS direction FROM events),
-    p AS (SELECT dimension, direction, count(DISTINCT draft) AS count FROM o WHERE dimension IN ('length', 'hedging', 'opener', 'signoff') GROUP BY 1, 2)
-    SELECT dimension, direction, count FROM p WHERE count >= 2 AND dimension IN (SELECT dimension FROM p GROUP BY dimension HAVING count(*) = 1)"""
+    f AS (SELECT dimension, direction, draft, min(ord) AS ord FROM o WHERE dimension IN ({_DIMENSIONS}) GROUP BY 1, 2, 3),
+    p AS (SELECT dimension, direction, count(*) AS count, string_agg('e' || ord, ',' ORDER BY ord) AS evidence FROM f GROUP BY 1, 2)
+    SELECT dimension, direction, count, evidence FROM p WHERE count >= 2 AND dimension IN (SELECT dimension FROM p GROUP BY dimension HAVING count(*) = 1)"""
 )
 def promotable(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in (("click", "length"), ("purchase", "hedging"), ("signup", "opener"), ("error", "signoff")) for x in pair])
     kind = F.col("event_type")
     side = F.when(kind.isin("purchase", "signup") | (F.col("value") < 50), "reduce").otherwise("increase")
-    observed = F.array(F.struct(F.coalesce(F.try_element_at(kinds, kind), kind).alias("dimension"), side.alias("direction"), F.lit("x").alias("evidence")))
+    evidence = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    observed = F.array(F.struct(F.coalesce(F.try_element_at(kinds, kind), kind).alias("dimension"), side.alias("direction"), evidence.alias("evidence")))
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("draft_id"), observed.alias("observations"))
-    return edits.promotable(log).select("dimension", "direction", "count")
+    return edits.promotable(log).select("dimension", "direction", "count", F.array_join("evidence", ",").alias("evidence"))
+
 
+_OBSERVED = """CASE event_type WHEN 'purchase' THEN 'hedging' WHEN 'signup' THEN 'closing_offer' WHEN 'error' THEN 'style' ELSE 'length' END AS dimension,
+    CASE event_id % 3 WHEN 0 THEN 'reduce' WHEN 1 THEN 'replace:' || event_type ELSE 'shorten' END AS direction, CASE WHEN value < 10 THEN '' ELSE event_type END AS evidence"""
 
-@query("SELECT event_id AS ord, user_id::varchar AS draft_id FROM events WHERE event_type IN ('purchase', 'signup')")
+
+@query(
+    f"""SELECT ord, draft_id FROM (SELECT event_id AS ord, user_id::varchar AS draft_id, {_OBSERVED} FROM events)
+    WHERE dimension IN ({_DIMENSIONS}) AND (direction IN ('reduce', 'increase') OR starts_with(direction, 'replace:')) AND evidence <> '' AND draft_id <> ''"""
+)
 def recorded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the edit log that validation lets through: those of a known dimension."""
-    dimension = F.when(F.col("event_type").isin("purchase", "signup"), "hedging").otherwise(F.col("event_type"))
-    observed = F.array(F.struct(dimension.alias("dimension"), F.lit("replace:x").alias("direction"), F.lit("e").alias("evidence")))
+    """Rows of the edit log that validation lets through: known dimension and direction, and evidence."""
+    kind = F.col("event_type")
+    dimension = F.when(kind == "purchase", "hedging").when(kind == "signup", "closing_offer").when(kind == "error", "style").otherwise("length")
+    third = F.col("event_id") % 3
+    direction = F.when(third == 0, F.lit("reduce")).when(third == 1, F.concat(F.lit("replace:"), kind)).otherwise("shorten")
+    observed = F.array(F.struct(dimension.alias("dimension"), direction.alias("direction"), F.when(F.col("value") < 10, "").otherwise(kind).alias("evidence")))
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("draft_id"), observed.alias("observations"))
     return edits.recorded(log).select("ord", "draft_id")
 
@@ -480,20 +568,139 @@ def holdout_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT source AS metric, count(*)::double AS value FROM documents WHERE lang = 'de' AND n_chars > 6000 GROUP BY source), b AS (SELECT source AS metric, count(*)::double AS value FROM documents WHERE lang = 'es' AND n_chars > 6000 GROUP BY source)
+    """WITH m AS (SELECT lang, unnest([source, source || '.' || lang]) AS metric FROM documents), c AS (SELECT lang, metric, count(*)::double AS value FROM m GROUP BY ALL),
+    a AS (SELECT * FROM c WHERE lang = 'de'), b AS (SELECT * FROM c WHERE lang = 'es')
     SELECT coalesce(a.metric, b.metric) AS metric, a.value AS a, b.value AS b FROM a FULL JOIN b ON a.metric = b.metric WHERE (a.value IS NULL) <> (b.value IS NULL)"""
 )
 def metric_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = table(spark, sf_dir, "documents").filter("n_chars > 6000")
-    counts = lambda lang: long.filter(F.col("lang") == lang).groupBy(F.col("source").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    """Counts by source in two languages, and by source and language, which one side lacks always."""
+    named = table(spark, sf_dir, "documents").select("lang", F.explode(F.array(F.col("source"), F.concat_ws(".", "source", "lang"))).alias("metric"))
+    counts = lambda lang: named.filter(F.col("lang") == lang).groupBy("metric").agg(F.count(F.lit(1)).cast("double").alias("value"))
     return edits.one_sided(counts("de"), counts("es"))
 
 
-@query()
+@query(
+    f"""WITH {DECORATED}, u AS (SELECT lang AS grp, subject, body FROM decorated UNION ALL SELECT '*', subject, body FROM decorated), {_sql_flat("u", "grp")}
+    SELECT f.grp, f.metric, round(f.value, 9) AS value, round(w.value, 9) AS corpus_value, round(f.value - w.value, 9) AS delta FROM flat f JOIN flat w ON f.metric = w.metric AND w.grp = '*' AND f.grp <> '*'"""
+)
 def register_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scalar metric of each language less that of the corpus."""
     docs = decorated(spark, sf_dir).withColumn("grp", F.explode(F.array(F.col("lang"), F.lit("*"))))
-    return analyze.register_deltas(written(metrics.flat(docs, ["grp"]), "flat"))
+    found = analyze.register_deltas(written(metrics.flat(docs, ["grp"]), "flat"))
+    return found.select("grp", "metric", *[F.round(c, 9).alias(c) for c in ("value", "corpus_value", "delta")])
+
+
+@query(
+    f"""WITH {DECORATED}, u AS (SELECT {_PART} AS side, subject, body FROM decorated), {_sql_flat("u", "side")},
+    cmp AS (SELECT t.metric, abs(t.value - p.value) AS p, abs(t.value - c.value) AS c FROM flat t JOIN flat p ON t.metric = p.metric AND t.side = 'truth' AND p.side = 'profile' LEFT JOIN flat c ON t.metric = c.metric AND c.side = 'control')
+    SELECT count(*) FILTER (WHERE c IS NOT NULL) AS metrics_compared, count(*) FILTER (WHERE p < c) AS profile_closer, count(*) FILTER (WHERE c < p) AS control_closer, count(*) FILTER (WHERE p = c) AS ties,
+    round(count(*) FILTER (WHERE p < c) / nullif(count(*) FILTER (WHERE p <> c), 0), 3) AS share, share >= 0.7 AS pass,
+    (SELECT string_agg(metric, ',' ORDER BY p DESC, metric) FROM (SELECT metric, p FROM cmp ORDER BY p DESC, metric LIMIT 5)) AS gaps FROM cmp"""
+)
+def holdout_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation over every scalar metric, with the names of the five largest gaps."""
+    parts = decorated(spark, sf_dir).withColumn("side", F.element_at(F.array(F.lit("truth"), F.lit("profile"), F.lit("control")), (F.col("doc_id") % 3 + 1).cast("int")))
+    of = lambda side: parts.filter(F.col("side") == side).select("subject", "body")
+    verdict, gaps = analyze.holdout(of("truth"), of("profile"), of("control"))
+    named = gaps.agg(F.array_sort(F.collect_list(F.struct((-F.col("delta")).alias("d"), "metric"))).alias("g")).select(F.array_join(F.transform("g", lambda x: x["metric"]), ",").alias("gaps"))
+    return verdict.join(named, F.lit(True))
+
+
+# ---- Mail: every document is a message, from the user or another, to one or two of a few addresses.
+
+USER = "dana@own.com"
+SENDERS = ["Dana <dana@own.com>", "DANA@own.com", "Kim <kim@a.com>"]
+RECIPIENTS = [["kim@a.com"], ["DANA@own.com"], ["lee@b.com", "kim@A.com"], ["dana@own.com", "kim@a.com"], []]
+KINDS = ["text/plain", "text/html", "text/calendar", "multipart/mixed"]
+WRAPPED = [("", ""), ("Zoom.us/j/99 ", ""), ("", "\nhttps://x.y/z"), ("", "\nOn Mon, Sam wrote:\n> old"), ("> all quoted ", "")]
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    pick = lambda items, c: F.element_at(F.array(*items), (c % len(items) + 1).cast("int"))
+    some = lambda items, c: pick([F.lit(x) for x in items], c)
+    rows = table(spark, sf_dir, "documents")
+    recipients = pick([F.array(*[F.lit(a) for a in r]).cast("array<string>") for r in RECIPIENTS], F.floor(i / 2))
+    # A third of the texts is cut to four words, so that links can make up most of a body.
+    body = F.when(i % 3 == 1, F.substring_index("text", " ", 4)).otherwise(F.col("text"))
+    body = F.concat(some([a for a, _ in WRAPPED], F.floor(i / 4)), body, some([b for _, b in WRAPPED], F.floor(i / 4)))
+    subject = F.concat(some(["Re: ", "", "Out of Office: ", "RE: ", "automatic reply "], F.floor(i / 7)), F.substring("text", 1, 50))
+    return rows.select(
+        i.alias("ord"), F.when(i % 4 == 0, "").otherwise(i.cast("string")).alias("id"), some(SENDERS, F.floor(i / 9)).alias("sender"), recipients.alias("recipients"), subject.alias("subject"),
+        F.lit("2026-08-01").alias("date"), some(KINDS, F.floor(i / 11)).alias("content_type"), (i % 13 == 0).alias("auto"), body.alias("body")
+    )
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]::varchar[]"
+
+
+_TO = f"list_extract([{', '.join(_sql_list(r) for r in RECIPIENTS)}], ((doc_id // 2) % {len(RECIPIENTS)} + 1)::int)"
+_MARKERS = " OR ".join(f"contains(lower(body), '{m}')".replace("\n", "'||chr(10)||'") for m in patterns.MACHINE_MARKERS)
+_NO_LINKS = r"len(regexp_extract_all(regexp_replace(body, 'https?://\S+|\bwww\.\S+', ' ', 'g'), '\S+'))"
+_JUDGED = rf"""msg AS (SELECT doc_id AS ord, CASE WHEN doc_id % 4 = 0 THEN '' ELSE doc_id::varchar END AS id, {_sql_pick(SENDERS, "(doc_id // 9)")} AS sender, {_TO} AS recipients,
+      {_sql_pick(["Re: ", "", "Out of Office: ", "RE: ", "automatic reply "], "(doc_id // 7)")} || substr(text, 1, 50) AS subject, {_sql_pick(KINDS, "(doc_id // 11)")} AS content_type, doc_id % 13 = 0 AS auto,
+      {_sql_pick([a for a, _ in WRAPPED], "(doc_id // 4)")} || CASE WHEN doc_id % 3 = 1 THEN array_to_string(string_split(text, ' ')[:4], ' ') ELSE text END || {_sql_pick([b for _, b in WRAPPED], "(doc_id // 4)")} AS body FROM documents),
+    {_sql_unsigned("msg", _sql_unquoted("body"), "ord")},
+    judged AS (SELECT msg.* EXCLUDE (body), msg.body AS whole, {_sql_strip("unsigned.body")} AS own,
+      CASE WHEN len(recipients) > 0 AND len(list_filter(recipients, lambda a: lower(a) <> '{USER}')) = 0 THEN 'self_addressed'
+        WHEN machine THEN 'machine_generated'
+        WHEN NOT contains(lower(sender), '{USER}') OR auto OR starts_with(lower(subject), 'out of office') OR starts_with(lower(subject), 'automatic reply') OR starts_with(content_type, 'text/calendar') OR {_sql_strip("unsigned.body")} = '' THEN 'unusable' END AS reason
+      FROM (SELECT *, {_MARKERS} OR (regexp_matches(body, 'https?://\S+|\bwww\.\S+') AND {_NO_LINKS} < 4) AS machine FROM msg) msg JOIN unsigned ON msg.ord = unsigned.ord)"""
+
+
+@query(f"WITH {DECORATED}, {_JUDGED} SELECT ord, reason AS drop_reason FROM judged")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each message is dropped: to oneself, made by a machine, or unusable; null for those that stay."""
+    return mail.judged(_messages(spark, sf_dir), USER).select("ord", "drop_reason")
+
+
+@query(
+    rf"""WITH {DECORATED}, {_JUDGED} SELECT ord, CASE WHEN id <> '' THEN id ELSE substr(subject, 1, 40) END AS id, array_to_string(list_sort(list_distinct(list_transform(recipients, lambda a: lower(string_split(a, '@')[2])))), ',') AS to_domains,
+      len(recipients)::int AS recipient_count, md5(own) AS body, starts_with(lower(subject), 're:') AS is_reply, {_sql_count("own", r"\S+")}::int AS word_count, word_count < 15 AS is_terse FROM judged WHERE reason IS NULL"""
+)
+def normalized_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal form of the messages that stay."""
+    rows = mail.normalized(mail.judged(_messages(spark, sf_dir), USER))
+    return rows.select("ord", "id", F.array_join(F.array_sort("to_domains"), ",").alias("to_domains"), "recipient_count", F.md5(F.col("body").cast("binary")).alias("body"), "is_reply", "word_count", "is_terse")
+
+
+@query(
+    rf"""WITH {DECORATED}, {_JUDGED}, n AS (SELECT ord, reason, {_sql_count("own", r"\S+")} < 15 AS terse FROM judged)
+    SELECT count(*) AS raw, count(*) FILTER (WHERE reason = 'self_addressed') AS self_addressed, count(*) FILTER (WHERE reason = 'machine_generated') AS machine_generated,
+    count(*) FILTER (WHERE reason IS NULL) AS deduped, count(*) FILTER (WHERE reason IS NULL AND NOT terse) AS kept, count(*) FILTER (WHERE reason IS NULL AND terse) AS terse FROM n"""
+)
+def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what the rules drop and keep (nothing is deduplicated here; see dedupe_kept)."""
+    judged = mail.judged(_messages(spark, sf_dir), USER)
+    return mail.drop_counts(judged, mail.normalized(judged))
+
+
+# ---- Count files and draft ids.
+
+
+@query(
+    r"""WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> '' AND NOT contains(word, chr(9)) GROUP BY word),
+    v AS (SELECT lower(word) AS phrase, n, word FROM c WHERE regexp_matches(lower(word), '^[a-z'']+$')), t AS (SELECT * FROM v ORDER BY n DESC, word LIMIT 500)
+    SELECT 1 AS n, phrase, n / sum(n) OVER () AS freq FROM t"""
+)
+def count_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of word counts, the most frequent first, written and read back: valid lines up to the 500th. The limit is the reader's feature."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word")
+    path = scratch_path(spark, "counts")
+    counts.select(F.concat_ws("\t", "word", F.col("n").cast("string"))).coalesce(1).write.text(path)
+    return lexicon.read_counts(spark, path, 1, 500)
+
+
+@query(
+    """SELECT o_orderkey, 'd-' || CASE WHEN o_orderkey % 5 = 0 THEN '00000000' ELSE strftime(o_orderdate, '%Y%m%d') END || '-' ||
+    substr(sha1(CASE WHEN o_orderkey % 5 = 0 THEN 'sometime' ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T08:00:00-04:00' END || '|' || o_orderpriority), 1, 8) AS id FROM orders"""
+)
+def draft_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draft ids of stamps with an offset, and of stamps that can't be read."""
+    stamp = F.when(F.col("o_orderkey") % 5 == 0, "sometime").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T08:00:00-04:00")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.draft_id(stamp, F.col("o_orderpriority")).alias("id"))
 
 
 # ---- Diffs of neighbouring turns.
