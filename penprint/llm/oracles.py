@@ -29,22 +29,20 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 
 def _licenses() -> str:
     grams = []
-    for label, text in licenses.TEMPLATES.items():
+    for template, (label, text) in enumerate(licenses.TEMPLATES):
         words = [w for w in re.split("[^0-9a-z]+", text.lower()) if w]
         n = len(words) - licenses.K + 1
-        grams += [f"('{label}', {i}, '{' '.join(words[i : i + licenses.K])}', {n})" for i in range(n)]
+        grams += [f"({template}, '{label}', {i}, '{' '.join(words[i : i + licenses.K])}', {n})" for i in range(n)]
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-phrases(phrase, label, k) AS (VALUES {phrases}), templates(label, tpos, gram, grams) AS (VALUES {", ".join(grams)}),
+phrases(phrase, label, k) AS (VALUES {phrases}), templates(template, label, tpos, gram, grams) AS (VALUES {", ".join(grams)}),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 base AS (SELECT doc_id, i - 1 AS start, label FROM spots JOIN phrases ON array_to_string(w[i:i+k-1], ' ') = phrase),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
-votes AS (SELECT doc_id, label, i - 1 - tpos AS diagonal, count(*) AS votes, any_value(grams) AS grams FROM spots JOIN templates ON array_to_string(w[i:i+{licenses.K - 1}], ' ') = gram GROUP BY 1, 2, 3),
-cuts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER s <= {licenses.SLACK} THEN 0 ELSE 1 END AS cut FROM votes WINDOW s AS (PARTITION BY doc_id, label ORDER BY diagonal)),
-spans AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS span FROM cuts),
-found AS (SELECT doc_id, label, least(sum(votes) / any_value(grams), 1.0) AS share FROM spans GROUP BY doc_id, label, span HAVING sum(votes) / any_value(grams) >= {licenses.LEAST_SHARE}),
-v AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY doc_id)
+votes AS (SELECT doc_id, template, label, i - 1 - tpos AS diagonal, list(DISTINCT tpos) AS hit, any_value(grams) AS grams FROM spots JOIN templates ON array_to_string(w[i:i+{licenses.K - 1}], ' ') = gram GROUP BY 1, 2, 3, 4),
+found AS (SELECT doc_id, label, len(list_distinct(flatten(list(hit) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {licenses.SLACK} FOLLOWING)))) / grams AS share FROM votes),
+v AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM found WHERE share >= {licenses.LEAST_SHARE} GROUP BY doc_id)
 SELECT w.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(v.labels, [])))), ','), '') AS labels,
     greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::double AS score

@@ -141,15 +141,33 @@ def test_op3_places_and_labels(spark, tables):
 
 
 def test_spans_survive_inserted_words(spark):
-    words = licenses.TEMPLATES["bsd"].split()
+    words = next(t for label, t in licenses.TEMPLATES if label == "bsd").split()
     text = "before that " + " ".join([*words[:12], "oddly", *words[12:]])
-    span = licenses.spans(spark.createDataFrame([(1, text), (2, "nothing of the kind at all")], "doc_id bigint, text string")).collect()
-    assert [(s.doc_id, s.label, s.first_word, s.last_word) for s in span] == [(1, "bsd", 2, 2 + len(words))]
+    assert spans_of(spark, [text, "nothing of the kind at all"]) == [(0, "bsd", 2, 2 + len(words))]
+
+
+def test_a_repeated_phrase_is_no_license(spark):
+    notice = "Licensed under the Apache License, Version 2.0"
+    texts = ["a copy of the license is " * 30, ("subject to the terms of the " * 9 + "x ") * 9, "copy of the license " * 5 + notice, f"{notice} {'w ' * 50}{notice}"]
+    assert [(i, label) for i, label, _, _ in spans_of(spark, texts)] == [(2, "apache-2.0"), (3, "apache-2.0"), (3, "apache-2.0")]
+
+
+def test_op3_on_long_texts_and_null_keys(spark):
+    notice = "this work is licensed under CC BY-NC 4.0"
+    rows = [(None, notice), (None, None), (1, "word " * 60000 + notice), (1, "word " * 60000 + notice)]
+    got = sorted(((r.doc_id, r.n_words, r.method_labels) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(None, 10, ["cc-by-nc"]), (None, 0, None), (1, 60010, ["cc-by-nc"]), (1, 60010, ["cc-by-nc"])], key=str)
+    assert licenses.scanned(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
 PAGES = [
     ("http://A.com/en/x?q#f", "a.com", "/en/x", "com/en/", "block"),
     ("https://www.example.com/en/7z", "www.example.com", "/en/7z", "example.com/en/7", "allow"),
+def spans_of(spark, texts):
+    rows = licenses.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    return sorted((s._row % 2**33, s.label, s.first_word, s.last_word) for s in licenses.spans(written(rows, "marked")).collect())
+
+
     ("https://x.net/de/?p", "x.net", "/de/", "net/de/", "block"),
     ("https://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
     ("ftp://o.org/es/", "o.org", "/es/", "org/es/", "block"),
