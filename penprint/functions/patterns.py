@@ -47,6 +47,7 @@ MATCH_SIMILARITY, REWRITE_SIMILARITY, RETENTION_DAYS, PAIR_SIMILARITY = 0.5, 0.2
 PROMOTION_DRAFTS, PASS_SHARE, BASELINE_ROWS = 2, 0.7, 20000
 
 
+# Regular expressions that results depend on, built from the lists above.
 def any_of(items: list[str]) -> str:
     """Alternation of literal strings."""
     return "(?:" + "|".join(x.replace(".", "\\.") for x in items) + ")"

@@ -62,19 +62,25 @@ def by_id(drafts: DataFrame, draft_id: str) -> DataFrame:
     return drafts.filter(F.col("id") == draft_id).limit(1)
 
 
+def _shingles(body: str) -> Column:
+    """Hashes of a body's shingles; a blank body has none and is like nothing."""
+    hashed = F.transform(text.shingles(F.col(body)), lambda s: F.xxhash64(s))
+    return F.when(text.strip(F.coalesce(body, F.lit(""))) == "", F.array().cast("array<bigint>")).otherwise(hashed)
+
+
 def matches(drafts: DataFrame, sent: DataFrame, user: str | None = None, threshold: float = patterns.MATCH_SIMILARITY) -> DataFrame:
     """id, status (matched, none, ambiguous), candidates (sent ord, sorted).
 
     drafts: id, created, recipients, subject, body; sent: ord, date, recipients, subject, body. A sent message of the
     draft's time or later is a candidate by equal subject, or by like bodies if an address is shared. Candidates are
     found by equality of subject or address, never by pairing every draft with every message; similarity is
-    computed for those that share an address.
+    computed for those that share an address, from hashes of shingles made once a body, which stand for it in the joins.
     """
     d = drafts.select(
-        F.col("id"), F.try_to_timestamp(F.col("created")).alias("_created"), text.addresses(F.col("recipients")).alias("_to"), F.lower(text.strip(F.coalesce("subject", F.lit("")))).alias("_subject"), F.coalesce("body", F.lit("")).alias("_body")
+        F.col("id"), F.try_to_timestamp(F.col("created")).alias("_created"), text.addresses(F.col("recipients")).alias("_to"), F.lower(text.strip(F.coalesce("subject", F.lit("")))).alias("_subject"), _shingles("body").alias("_set")
     ).withColumn("_open", F.size("_to") == 0)
     s = sent.select(
-        F.col("ord"), F.try_to_timestamp(F.col("date")).alias("_when"), F.array_distinct(text.addresses(F.col("recipients"))).alias("_rcpt"), F.lower(text.strip(F.coalesce("subject", F.lit("")))).alias("_subject2"), F.coalesce("body", F.lit("")).alias("_body2")
+        F.col("ord"), F.try_to_timestamp(F.col("date")).alias("_when"), F.array_distinct(text.addresses(F.col("recipients"))).alias("_rcpt"), F.lower(text.strip(F.coalesce("subject", F.lit("")))).alias("_subject2"), _shingles("body").alias("_set2")
     )
     later = F.col("_when") >= F.col("_created")
     shared = F.arrays_overlap("_to", "_rcpt")
@@ -84,7 +90,7 @@ def matches(drafts: DataFrame, sent: DataFrame, user: str | None = None, thresho
     like = (
         addressed.join(s.withColumn("_b", F.explode("_rcpt")), (F.col("_a") == F.col("_b")) & later)
         .dropDuplicates(["id", "ord"])
-        .filter(text.similarity(F.col("_body"), F.col("_body2")) >= threshold)
+        .filter(text.jaccard(F.col("_set"), F.col("_set2")) >= threshold)
         .select("id", "ord")
     )
     found = same.unionByName(like).distinct().groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("ord")).alias("candidates"))

@@ -444,7 +444,17 @@ def signature_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", text.without_signature(F.col("raw")).alias("body"))
 
 
-@query()
+def _sql_own_html(x: str) -> str:
+    """Text of pages without quoted containers: tags are blanks, comments and declarations nothing; the text of scripts and styles stays as it is."""
+    bare = r"regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->|<![A-Za-z][^>]*>', '', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{char}')"
+    inner = r"regexp_extract(p, '(?s)^(.*?)</(script|style)\s*>(.*)$', ['data', 'tag', 'rest'])"
+    each = f"list_transform(string_split_regex({x}, '<(script|style)[^>]*>'), lambda p, i: CASE WHEN i = 1 THEN {bare.format('p')} ELSE ' ' || {inner}['data'] || ' ' || {bare.format(inner + chr(91) + chr(39) + 'rest' + chr(39) + chr(93))} END)"
+    return f"array_to_string({each}, '')"
+
+
+@query(f"SELECT page_id, {_sql_own_html('html')} AS body FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", mail.html_text("html").alias("body"))
 
