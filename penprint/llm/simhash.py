@@ -4,20 +4,24 @@ Fingerprints: XXH64 of word shingles in the JVM, then per bit a count over the s
 words, eight bits an addition). Equal fingerprints are one node from here on, so copies cost nothing more.
 
 Links at ``radius`` or fewer differing bits: the 64 bits are cut into radius + 2 blocks, of which two must be
-untouched, so two linked fingerprints share the bits of some pair of blocks. Buckets of such a key are compared whole. A
-bucket of more than CHUNK fingerprints is dealt into chunks, and every two chunks meet in a task of their own:
-no bucket is capped, and none lands in one task. In a task, bit planes are stored vertically (one bit of 64
-fingerprints a machine word), distances of a tile of queries to all members are updated plane by plane in
-carry-save counters, and a tile is abandoned once all its distances exceed the radius. Tasks give spanning
-edges of what they find, never all pairs; components.roots joins them up.
+untouched, so two linked fingerprints share the bits of some pair of blocks. Buckets of such a key are compared whole. In a
+task, bit planes are stored vertically (one bit of 64 fingerprints a machine word), distances of a tile of queries to all
+members are updated plane by plane in carry-save counters, and a tile is abandoned once all its distances exceed the
+radius. Tasks give spanning edges of what they find, never all pairs; components.roots joins them up.
+
+Only connectivity is asked for, and connected() makes use of that where a bucket is too large for a task: it is dealt into
+chunks at random, ROUNDS times over, which connects nearly all of a group of copies at a cost in proportion to its
+size. Then whatever isn't in the bucket's largest component meets all of the bucket, chunk by chunk. Two nodes of one
+component need not meet, all others do: nothing is capped, and no link between components is lost.
 
 With ``total``, a second fingerprint (the same hashes, mixed anew) must agree as well.
 
 deduplicated() goes by the Jaccard similarity of shingle sets. A radius that holds the tail of the pairs wanted is too
 wide for blocks of untouched bits, so its buckets are of BANDS keys of BAND_ROWS minima of the set each: of pairs at
-0.8, one in 1,500 shares no key. In a bucket, texts within ``total`` of 128 bits are candidates: pairs at 0.8 differ in
-19.4 bits on average, 24 if the sets are small, with a deviation of 4.4. Connected candidates are a group; the sets of a
-group come together once (in pairs of chunks, if they are over VERIFIED), and only pairs whose sets have the similarity are linked.
+0.8, one in 500 shares no key. In a bucket, texts within ``total`` of 128 bits are candidates: pairs at 0.8 differ in
+19.4 bits on average, 24 if the sets are small, with a deviation of 4.4. The first FIRST_BANDS keys connect most candidates; of
+the others, only buckets that hold more than one component are compared. Connected candidates are a group; only pairs of
+a group whose sets have the similarity are linked, and groups go through connected() as buckets do.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are one class; a text of fewer words
 than a shingle is one shingle; repeated rows are in one class; empty tables give empty results; other columns
@@ -26,21 +30,22 @@ pass through (``fingerprint`` and ``component_id`` must be free).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penprint.llm.common import ascii_lower, blank_words, dropped, let, written
+from penprint.llm.common import ascii_lower, blank_words, dropped, let, tidy, written
 from penprint.llm.components import roots
 
-CHUNK, VERIFIED = 4096, 1024
-BANDS, BAND_ROWS = 24, 6
+CHUNK, VERIFIED, ROUNDS = 4096, 1024, 2
+BANDS, BAND_ROWS, FIRST_BANDS = 12, 4, 4
 _CLASSES, _ROWS = [(1, 8), (8, 32), (32, 128)], 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -102,7 +107,7 @@ def fingerprinted(docs: DataFrame, text: str = "text", n: int = 4) -> DataFrame:
     kept = [c for c in docs.columns if c != text]
     hashed = docs.select(*kept, shingle_hashes(F.col(text), n).alias("_hashes"))
     schema = docs.select(*kept).schema.add("fingerprint", "long").add("second", "long")
-    return hashed.mapInArrow(_fingerprint_batches, schema)
+    return hashed.mapInArrow(tidy(_fingerprint_batches), schema)
 
 
 def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -220,6 +225,19 @@ def clusters(fingerprints: np.ndarray, radius: int, second: np.ndarray | None =
     return np.concatenate(members), np.concatenate(root_of)
 
 
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (member, least member of its component) of the graph on positions below n."""
+    label = np.arange(n)
+    while True:
+        low, before = np.minimum(label[left], label[right]), label.copy()
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if (label == before).all():
+            members = np.flatnonzero(label != np.arange(n))
+            return members, label[members]
+
+
 def _shifted(planes: np.ndarray, d: int) -> np.ndarray:
     """Planes in which position i holds what position i + d held; zeros come in at the end."""
     whole, rest = divmod(d, 64)
@@ -239,8 +257,8 @@ def _moved(planes: np.ndarray, d: int) -> Iterator[np.ndarray]:
 
 
 def small_groups(groups: np.ndarray, fingerprints: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs, as positions, in groups of few members: the planes of all groups are compared with themselves moved
-    by one position, two, and so on, as far as the largest group goes."""
+    """Spanning edges, as positions, of the links in groups of few members: the planes of all groups are compared with
+    themselves moved by one position, two, and so on, as far as the largest group goes."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     words = [fingerprints, fingerprints if second is None else second]
     planes = [bit_planes(w) for w in words]
@@ -255,7 +273,7 @@ def small_groups(groups: np.ndarray, fingerprints: np.ndarray, radius: int, seco
             at = np.flatnonzero(hit)
             left.append(at)
             right.append(at + d)
-    return np.concatenate(left), np.concatenate(right)
+    return forest(len(groups), np.concatenate(left), np.concatenate(right))
 
 
 def _linked_batches(radius: int, total: int | None):
@@ -278,7 +296,10 @@ def _linked_batches(radius: int, total: int | None):
                 mine = slice(at, at + k)
                 u, v = clusters(f[mine], radius, s[mine], total)
                 found.append((node[mine][u], node[mine][v]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+            # Keys share most of their links: a forest over all of them has each only once.
+            named, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*found, strict=True)]), return_inverse=True)
+            u, v = forest(len(named), *np.split(at, 2))
+            return pa.RecordBatch.from_arrays([pa.array(named[u]), pa.array(named[v])], ["u", "v"])
 
         held: list[np.ndarray] | None = None
         for b in batches:
@@ -302,22 +323,66 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def links(nodes: DataFrame, radius: int = 4, total: int | None = None, keys: Column | None = None) -> DataFrame:
-    """Edges u, v that connect all nodes that are linked. nodes: node, fingerprint, second; fingerprints distinct without total.
+def connected(members: Callable[[DataFrame | None], DataFrame], most: int, meet: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """Components, as of components.roots, of the links between nodes of one place. A task sees some ``most`` nodes of a place at once.
+
+    members(stars): place, node, root (the node's root in stars, else the node) and what meet needs. meet: rows with
+    ``group`` to edges u, v, where the nodes of each group are compared. known: components found before; places within one are left out.
+    """
+    if known is None:
+        rows = members(None)
+        crowds = written(rows.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(F.col("place").alias("_crowd"), "_n"), "crowds")
+        salts = F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(ROUNDS - 1)))
+        salted = rows.join(crowds, F.col("place") == F.col("_crowd"), "left").withColumn("_salt", F.explode(salts))
+        chunk = F.pmod(F.xxhash64("node", "_salt"), F.coalesce(F.ceil(F.col("_n") / most), F.lit(1)))
+        stars = roots(meet(salted.withColumn("group", F.xxhash64("place", "_salt", chunk))))
+        if crowds.isEmpty():
+            return stars
+        rows = members(stars).join(crowds.select("_crowd"), F.col("place") == F.col("_crowd"), "left_semi")
+    else:
+        stars, rows = known, members(known)
+    spread = rows.groupBy("place").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    mixed = written(spread.select(F.col("place").alias("_place"), "_n"), "mixed")
+    if mixed.isEmpty():
+        return stars
+    sizes = rows.join(mixed.filter(F.col("_n") > most).select("_place"), F.col("place") == F.col("_place"), "left_semi").groupBy("place", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("place").agg(F.max(F.struct("n", "root")).alias("_most")).select(F.col("place").alias("_large"), "_most.n", F.col("_most.root").alias("_root"))
+    parted = written(mixed.join(largest, F.col("_place") == F.col("_large"), "left").select("_place", F.col("_n"), F.col("n").alias("_big"), "_root"), "parted")
+    # Chunks of the largest component, and of the rest: each of the rest meets all chunks of both.
+    big, rest = (F.greatest(F.ceil(c / most), F.lit(1)).cast("int") for c in (F.col("_big"), F.col("_n") - F.col("_big")))
+    own = lambda salt, chunks: F.pmod(F.xxhash64("node", F.lit(salt)), chunks).cast("int")
+    group = lambda kind, i, j: F.xxhash64("place", F.lit(kind), i, j)
+    each = lambda chunks, f: F.transform(F.sequence(F.lit(0), chunks - 1), f)
+    mine = own(2, rest)
+    of_rest = F.concat(each(big, lambda j: group(0, mine, j)), each(rest, lambda i: group(1, F.least(mine, i), F.greatest(mine, i))))
+    groups = F.when(F.col("_big").isNull(), F.array(group(2, F.lit(0), F.lit(0)))).when(F.col("root") == F.col("_root"), each(rest, lambda i: group(0, i, own(3, big)))).otherwise(of_rest)
+    more = meet(rows.join(parted, F.col("place") == F.col("_place")).withColumn("group", F.explode(groups)))
+    out = roots(stars.select("u", "v").unionByName(more))
+    for t in (mixed, parted, stars):
+        dropped(t)
+    return out
+
+
+def _rooted(nodes: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """nodes with root."""
+    if stars is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(stars.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("node") == F.col("_u"), "left").withColumn("root", F.coalesce("_v", "node")).drop("_u", "_v")
+
+
+def links(nodes: DataFrame, radius: int = 4, total: int | None = None, keys: Column | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Components (as of components.roots) of all links. nodes: node, fingerprint, second; fingerprints distinct without total.
     Only nodes that share one of ``keys`` meet; without them, all nodes within the radius do."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     if keys is None:
         keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(radius))])
-    keyed = nodes.select("node", "fingerprint", "second", F.explode(keys).alias("key"))
-    # Only crowded keys are looked up, and they are few: the rows themselves are shuffled once.
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    crowds = written(counts.filter(F.col("n") > CHUNK).select(F.col("key").alias("crowd"), "n"), "crowds")
-    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), chunks).cast("int")
-    met = keyed.join(crowds, F.col("key") == F.col("crowd"), "left")
-    paired = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    grouped = paired.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "node", "fingerprint", "second")
-    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_linked_batches(radius, total), "u bigint, v bigint")
+    members = lambda stars: _rooted(nodes, stars).select("node", "root", "fingerprint", "second", F.explode(keys).alias("place"))
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("group", "node", "fingerprint", "second").repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(tidy(_linked_batches(radius, total)), "u bigint, v bigint")
+
+    return connected(members, CHUNK, meet, known)
 
 
 def classes(marked: DataFrame, key: str = "doc_id", radius: int = 4, total: int | None = None) -> DataFrame:
@@ -325,7 +390,7 @@ def classes(marked: DataFrame, key: str = "doc_id", radius: int = 4, total: int
     node = F.col("fingerprint") if total is None else F.xxhash64("fingerprint", "second")
     second = F.lit(0).cast("bigint") if total is None else F.first("second")
     nodes = written(marked.groupBy(node.alias("node")).agg(F.min(key).alias("least"), F.first("fingerprint").alias("fingerprint"), second.alias("second")), "nodes")
-    stars = roots(links(nodes.drop("least"), radius, total))
+    stars = links(nodes.drop("least"), radius, total)
     rooted = written(nodes.join(stars, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root"), "least")
     labels = written(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id"), "labels")
@@ -404,40 +469,54 @@ def _alike_batches(similarity: Fraction):
 
 
 def verified_links(groups: DataFrame, rows: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Edges u, v that connect the nodes of each group whose sets have the similarity. groups: a table of u, v as of
-    components.roots; rows: node, row; texts: _row, _text. Only the sets of rows in groups are made and moved."""
-    members = groups.select(F.col("u").alias("_member"), F.col("v").alias("_group")).unionByName(groups.select(F.col("v").alias("_member"), F.col("v").alias("_group")).distinct())
-    sizes = groups.groupBy("v").agg((F.count(F.lit(1)) + 1).alias("n"))
-    crowds = written(sizes.filter(F.col("n") > VERIFIED).select(F.col("v").alias("crowd"), "n"), "crowds")
-    chunks = F.coalesce(F.ceil(F.col("n") / VERIFIED), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("_member", F.lit(2)), chunks).cast("int")
-    met = members.join(crowds, F.col("_group") == F.col("crowd"), "left")
-    paired = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = paired.select("_member", F.xxhash64("_group", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"))
-    placed = written(dealt.join(rows, F.col("_member") == F.col("node")).select("group", "node", "row"), "placed")
-    grouped = texts.join(placed, F.col("_row") == F.col("row")).select("group", "node", shingle_set(F.col("_text"), n).alias("shingles"))
-    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_alike_batches(Fraction(str(similarity))), "u bigint, v bigint")
+    """Components of the nodes of each group whose sets have the similarity. groups: a table of u, v as of
+    components.roots; rows: node, row; texts: _row, _text. Sets are made once, for the rows of groups only."""
+    placed = groups.select(F.col("u").alias("node"), F.col("v").alias("place")).unionByName(groups.select(F.col("v").alias("node"), F.col("v").alias("place")).distinct())
+    wanted = rows.join(placed.select(F.col("node").alias("_node"), "place"), F.col("node") == F.col("_node")).drop("_node")
+    sets = written(texts.join(wanted, F.col("_row") == F.col("row")).select("place", "node", shingle_set(F.col("_text"), n).alias("shingles")), "sets")
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        grouped = dealt.select("group", "node", "shingles").repartition("group").sortWithinPartitions("group")
+        return grouped.mapInArrow(tidy(_alike_batches(Fraction(str(similarity)))), "u bigint, v bigint")
+
+    out = connected(lambda stars: _rooted(sets, stars), VERIFIED, meet)
+    dropped(sets)
+    return out
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, which tells rows apart and stays from one read to the next: a file and a place in it. What wasn't read
+    from files is first written to a table."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("_row"))
+
+    try:
+        return placed(docs)
+    except AnalysisException:
+        return placed(written(docs, "numbered"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8, total: int = 40) -> DataFrame:
-    """One row of each class stays: that of the least key, nulls last; then of the least hash of all columns; then the first in a table.
+    """One row of each class stays: that of the least key, nulls last; then of the least hash of all columns; then the first in the files.
 
     Texts whose sets of n-word shingles have the Jaccard similarity are linked; a class is what links connect. So one of
-    repeated rows stays, and one of a class of null keys only (``_row`` must be free).
+    repeated rows stays, and one of a class of null keys only (``_row`` and ``_stays`` are reserved).
     """
-    # The table fixes each row's number, which settles between rows that are equal in all else.
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs)
     rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"), F.col("_row").alias("row"))
-    hashed = numbered.select("_row", rank.alias("rank"), shingle_set(F.col(text), n).alias("shingles"))
-    hashed = hashed.select("_row", "rank", F.xxhash64("shingles").alias("node"), "shingles")
+    hashed = rows.select(rank.alias("rank"), shingle_set(F.col(text), n).alias("shingles"))
+    hashed = hashed.select("rank", F.xxhash64("shingles").alias("node"), "shingles")
     schema = T.StructType([*hashed.schema][:-1]).add("fingerprint", "long").add("second", "long").add("bands", T.ArrayType(T.LongType()))
-    marked = written(hashed.mapInArrow(_sketch_batches, schema), "simhash")
+    marked = hashed.mapInArrow(tidy(_sketch_batches), schema)
     nodes = written(marked.groupBy("node").agg(F.min("rank").alias("least"), *[F.first(c).alias(c) for c in ("fingerprint", "second", "bands")]), "nodes")
-    groups = roots(links(nodes, min(total, 64), total, F.col("bands")))
-    texts = numbered.select("_row", F.col(text).alias("_text"))
-    stars = roots(verified_links(groups, nodes.select("node", F.col("least.row").alias("row")), texts, n, similarity))
+    groups = None
+    for keys in (F.slice("bands", 1, FIRST_BANDS), F.slice("bands", FIRST_BANDS + 1, BANDS)):
+        groups = links(nodes, min(total, 64), total, keys, groups)
+    texts = rows.select("_row", F.col(text).alias("_text"))
+    stars = verified_links(groups, nodes.select("node", F.col("least.row").alias("row")), texts, n, similarity)
     rooted = nodes.join(stars, F.col("node") == F.col("u"), "left").select(F.coalesce("v", "node").alias("root"), "least")
     stays = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_stays")), "stays")
-    for t in (marked, nodes, groups, stars):
+    for t in (nodes, groups, stars):
         dropped(t)
-    return numbered.join(stays, F.col("_row") == F.col("_stays")).drop("_row", "_stays")
+    return rows.join(stays, F.col("_row") == F.col("_stays")).drop("_row", "_stays")

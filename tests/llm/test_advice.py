@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,38 @@ def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, verif
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_groups_give_spanning_edges_once(spark):
+    rng = np.random.default_rng(3)
+    seed = int(rng.integers(0, 2**63))
+    prints = np.array([seed ^ (1 << int(b)) for b in rng.integers(0, 60, 100)], np.uint64)
+    u, v = simhash.small_groups(np.zeros(100, np.int64), prints, 4)
+    assert len(u) == 99 and len({*u.tolist()}) == 99 and {*v.tolist()} == {0}
+    # The same hundred under twelve keys, and one bucket over a task's size: still one edge a member.
+    node = np.arange(100)
+    keys = [pa.array(np.repeat(np.arange(12), 100)), pa.array(np.tile(node, 12)), pa.array(np.tile(prints.view(np.int64), 12)), pa.array(np.zeros(1200, np.int64))]
+    batch = pa.RecordBatch.from_arrays(keys, ["group", "node", "fingerprint", "second"])
+    out = [b for b in simhash._linked_batches(4, None)(iter([batch.slice(0, 700), batch.slice(700)]))]
+    assert sum(len(b) for b in out) <= 2 * 99
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = np.random.default_rng(6)
+    # A cloud of near prints, chains that only meet at their ends, and strangers, all in one bucket.
+    cloud = [1 << int(a) | 1 << int(b) for a, b in rng.integers(0, 64, (60, 2))]
+    chain = [(1 << 40) - (1 << i) for i in range(0, 40, 4)]
+    far = [int(x) for x in rng.integers(0, 2**62, 30)]
+    prints = np.array([*dict.fromkeys([*cloud, *chain, *far])], np.uint64)
+    rows = [(i, int(p), 0) for i, p in enumerate(prints.view(np.int64))]
+    nodes = written(spark.createDataFrame(rows, "node bigint, fingerprint bigint, second bigint"), "nodes")
+    found = {r.u: r.v for r in simhash.links(nodes, 4, keys=F.array(F.lit(1).cast("bigint"))).collect()}
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label = np.arange(len(prints))
+    while (nxt := np.where(near, label[None, :], len(prints)).min(axis=1)).tolist() != label.tolist():
+        label = nxt
+    assert [found.get(i, i) for i in range(len(prints))] == label.tolist() and len(set(label.tolist())) > 20
+
+
 def test_one_row_of_a_class_stays_for_null_and_repeated_keys(spark):
     rng = np.random.default_rng(4)
     text = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**6, k))
