@@ -1,21 +1,24 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of documents. A stage's result must be written before the next stage is called.
+columns of documents and any others that docs has, whatever their names. A stage drops its intermediate tables before it
+returns, but for those that its result reads.
+
+Defined results of all stages: an empty table gives an empty one; null and empty texts fail the quality rules, are one
+class of near-duplicates, have no passages, and are packed as their closing id; null keys are kept like others; of repeated rows one
+passes near_duplicates; very long texts are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.llm import curve_pack, host_quality, simhash, suffix_dedup
-from penprint.llm.common import table, written
-from penprint.storage import collected, release
+from penprint.llm.common import boxed, table, written
 
 #: Near-duplicates have sets of five-word shingles of this Jaccard similarity or more. They differ in 19.4 of 128 SimHash bits
 #: on average at 0.8, and in up to TOTAL at the tail; candidates within it are verified by their sets.
@@ -24,45 +27,25 @@ SHINGLE_WORDS, SIMILARITY, TOTAL = 5, 0.8, 40
 PASSAGE_BYTES = 200
 
 
-_scratch: list = []
-
-
-def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Removes the intermediate tables of the stage before, whose result is a table of its own by now."""
-
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(_scratch)
-        with collected() as made:
-            out = f(spark, docs, sf_dir)
-        _scratch.extend(made)
-        return out
-
-    return run_stage
-
-
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return host_quality.judged(docs).filter("kept").select(*docs.columns)
+    return host_quality.judged(boxed(docs), "_box.text", "_box.source").filter("kept").select("_box.*")
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates: that of the least doc_id, nulls last."""
-    return simhash.deduplicated(docs, n=SHINGLE_WORDS, similarity=SIMILARITY, total=TOTAL).select(*docs.columns)
+    """One row of each class of near-duplicates: that of the least doc_id, nulls last, then of the least row hash, then the first."""
+    return simhash.deduplicated(boxed(docs), "_box.doc_id", "_box.text", n=SHINGLE_WORDS, similarity=SIMILARITY, total=TOTAL).select("_box.*")
 
 
-@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their passages of PASSAGE_BYTES or more that occur more than once; a text may become empty."""
-    cut = suffix_dedup.removed(docs, length=PASSAGE_BYTES, decode=True).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = suffix_dedup.removed(boxed(docs, "text"), "_box.doc_id", length=PASSAGE_BYTES, decode=True)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[(changed[c] if c in changed else F.col(f"_box.`{c}`")).alias(c) for c in docs.columns])
 
 
-@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts in sequences of 4096 ids, with the ids."""
+    """Pieces of the texts in sequences of 4096 ids, with the ids. Other columns of docs aren't passed on."""
     pieces = curve_pack.packed(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", curve_pack.ids_crc32(F.col("ids")))
 
