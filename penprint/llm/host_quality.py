@@ -2,17 +2,20 @@
 
 Base rules look at one text: fewer than ten words, or more than a fifth of the words in repeated five-word
 windows. A soft rule (a fifth of the lines are repeats, or symbols are more than a tenth of the words) also counts as a failure of
-the host, without rejecting the document by itself. For each host, ``fails ~ BetaBinomial(n; a, b)``: the prior Beta(a, b) is fitted to all hosts' rates by
-moments, each host's rate is shrunk to ``(fails + a) / (n + a + b)``, and hosts above the threshold are
-rejected: their failing documents go, by either kind of rule, while clean documents of any host stay.
+the host, without rejecting the document by itself. For each host, ``fails ~ BetaBinomial(n; a, b)``: the prior Beta(a, b) is
+fitted to all hosts' rates by moments, each host's rate is shrunk to ``(fails + a) / (n + a + b)``, and hosts whose rate
+lies over LIMIT standard deviations of the prior above its mean are rejected: their failing documents go, by either kind of rule,
+while clean documents of any host stay. Where hosts differ no more than chance makes them, the moments give no weight; the
+prior then counts as many documents as the harmonic mean of the hosts' sizes.
 
 Counts are grouped by host with partial sums before the shuffle, so a host with a third of all rows costs one
 row a task. Host verdicts are joined back by host; that table is as long as there are hosts, so Spark
 chooses the join by its size.
 
-Defined results: a null text has no words and fails; a null host is a host of its own; with one host, or
-hosts of equal rates, the prior has the pooled mean and the weight MOST_PRIOR; empty tables give empty
-results; further columns pass through (names starting with ``_q_`` are reserved).
+Defined results: a null or empty text has no words and fails; a null host is a host of its own; with one host, or
+hosts of equal rates, no host is over the limit; repeated rows count each time; very long texts are measured whole; empty
+tables give empty results; further columns pass through, but those named as RESULTS are replaced (names starting with
+``_q_`` are reserved).
 """
 
 from __future__ import annotations
@@ -24,10 +27,9 @@ from penprint.llm.common import BLANKS, blank_words, let, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW, LEAST_WORDS, REPEAT_SHARE = 5, 10, 20
-#: A host is rejected above this shrunken rate of failures.
-HOST_RATE = 0.5
-#: Documents that the prior counts for at most.
-MOST_PRIOR = 1000.0
+#: A host is rejected above the prior's mean and this many of its standard deviations.
+LIMIT = 1.0
+RESULTS = ["base_failed", "host_rate", "host_rejected", "kept"]
 
 
 def repeat_words(words: Column, n: int = WINDOW) -> Column:
@@ -82,7 +84,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     m = F.col("_q_measures")
     base = (m.n_words < LEAST_WORDS) | (100 * m.n_repeat_words > REPEAT_SHARE * m.n_words)
     soft = (5 * m.n_dup_lines > m.n_lines) | (10 * m.n_symbols > m.n_words)
-    return docs.withColumn("_q_measures", measures(F.col(text))).withColumn("base_failed", base).withColumn("_q_failed", base | soft)
+    return docs.drop(*RESULTS).withColumn("_q_measures", measures(F.col(text))).withColumn("base_failed", base).withColumn("_q_failed", base | soft)
 
 
 def host_rates(rated: DataFrame, host: str) -> DataFrame:
@@ -91,19 +93,27 @@ def host_rates(rated: DataFrame, host: str) -> DataFrame:
     n, rate = F.col("host_docs"), F.col("host_failed") / F.col("host_docs")
     mean, spread, inverse_n = counts.agg(F.sum("host_failed") / F.sum(n), F.var_samp(rate), F.avg(1 / n)).first()
     a, b = prior(mean, spread, inverse_n)
+    limit = (mean or 0.0) + LIMIT * deviation(a, b)
     shrunk = (F.col("host_failed") + F.lit(a)) / (n + F.lit(a + b))
-    return counts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > HOST_RATE)
+    return counts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > limit)
 
 
 def prior(mean: float | None, spread: float | None, inverse_n: float | None) -> tuple[float, float]:
     """Beta(a, b) by moments from the hosts' pooled rate, the variance of their rates and the mean of 1/n."""
     mean = mean or 0.0
-    within, weight = mean * (1 - mean), MOST_PRIOR
+    within, size = mean * (1 - mean), 1 / inverse_n if inverse_n else 0.0
+    weight = size
     if inverse_n is not None and inverse_n < 1 and (between := (spread or 0.0) - within * inverse_n) > 0:
-        weight = max(0.0, min(MOST_PRIOR, within * (1 - inverse_n) / between - 1))
+        weight = max(0.0, min(size, within * (1 - inverse_n) / between - 1))
     return mean * weight, (1 - mean) * weight
 
 
+def deviation(a: float, b: float) -> float:
+    """Standard deviation of Beta(a, b); zero without weight."""
+    n = a + b
+    return (a * b / n / n / (n + 1)) ** 0.5 if n > 0 else 0.0
+
+
 def verdicts(rated: DataFrame, host: str = "source") -> DataFrame:
     """rated with host_rate, host_rejected and kept. rated: a table made from measured(); it is read twice."""
     hosts = written(host_rates(rated, host).select("_q_host", "host_rate", "host_rejected"), "hosts")

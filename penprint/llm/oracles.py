@@ -21,10 +21,10 @@ f AS (SELECT *, n_words < {host_quality.LEAST_WORDS} OR 100 * n_repeat_words > {
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft) AS failed FROM f GROUP BY source),
 p AS (SELECT sum(failed) / sum(n) AS mean, coalesce(var_samp(failed / n), 0) AS spread, avg(1 / n) AS inverse FROM h),
 q AS (SELECT mean, CASE WHEN inverse < 1 AND spread - mean * (1 - mean) * inverse > 0
-    THEN greatest(0, least({host_quality.MOST_PRIOR}, mean * (1 - mean) * (1 - inverse) / (spread - mean * (1 - mean) * inverse) - 1)) ELSE {host_quality.MOST_PRIOR} END AS weight FROM p),
+    THEN greatest(0, least(1 / inverse, mean * (1 - mean) * (1 - inverse) / (spread - mean * (1 - mean) * inverse) - 1)) ELSE 1 / inverse END AS weight FROM p),
 r AS (SELECT source, (failed + mean * weight) / (n + weight) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > {host_quality.HOST_RATE} AND soft) AS kept, round(rate, 6) AS host_rate
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > mean + {host_quality.LIMIT} * CASE WHEN weight > 0 THEN sqrt(mean * (1 - mean) / (weight + 1)) ELSE 0 END AND soft) AS kept, round(rate, 6) AS host_rate
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source, q"""
 
 
 def _licenses() -> str:

@@ -116,13 +116,23 @@ def test_a_bad_host_keeps_its_clean_documents(spark):
 
 
 def test_prior_by_moments():
-    assert host_quality.prior(None, None, None) == (0.0, host_quality.MOST_PRIOR)
-    assert host_quality.prior(0.2, 0.0, 0.01) == pytest.approx((200.0, 800.0))
+    assert host_quality.prior(None, None, None) == (0.0, 0.0) and host_quality.deviation(0.0, 0.0) == 0.0
+    assert host_quality.prior(0.2, 0.0, 0.01) == pytest.approx((20.0, 80.0))
     a, b = host_quality.prior(0.5, 0.2, 0.01)
     assert a == pytest.approx(b) and 0 < a + b < 1
+    assert host_quality.deviation(2.0, 3.0) == pytest.approx((6 / 25 / 6) ** 0.5)
 
 
-LICENSES = [None, "", "under the MIT License, or CC BY; apache  license", "gnu general public license gnu general public license", " ".join(licenses.TEMPLATES["mit"].split()[3:40]), "mit" + " license" * 3, "é mit license"]
+def test_hosts_alike_are_not_rejected_and_names_are_replaced(spark):
+    clean, soft = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i} #" for i in range(40))
+    rows = [(i, soft if i % 4 == 0 else clean, f"h{i // 40}", 7, "x") for i in range(200)] + [(None, None, None, 7, "x"), (3, "w " * 30000, None, 7, "x")]
+    found = host_quality.judged(spark.createDataFrame(rows, "doc_id bigint, text string, source string, kept int, host_rate string"))
+    got = found.collect()
+    assert all(r.kept is True and not r.host_rejected for r in got if r.source) and len(got) == 202 and found.columns.count("kept") == 1
+    assert sorted((r.doc_id is None, r.base_failed, r.kept) for r in got if not r.source) == [(False, True, False), (True, True, False)]
+
+
+LICENSES = [None, "", "under the MIT License, or CC BY; apache  license", "gnu general public license gnu general public license", " ".join(licenses.TEMPLATES[0][1].split()[3:55]), "mit" + " license" * 3, "é mit license"]
 
 
 def test_op3_places_and_labels(spark, tables):
@@ -140,6 +150,11 @@ def test_op3_places_and_labels(spark, tables):
     assert rows[4].labels == "mit" and rows[4].base_labels == ""
 
 
+def spans_of(spark, texts):
+    rows = licenses.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
+    return sorted((s._row % 2**33, s.label, s.first_word, s.last_word) for s in licenses.spans(written(rows, "marked")).collect())
+
+
 def test_spans_survive_inserted_words(spark):
     words = next(t for label, t in licenses.TEMPLATES if label == "bsd").split()
     text = "before that " + " ".join([*words[:12], "oddly", *words[12:]])
@@ -163,11 +178,6 @@ def test_op3_on_long_texts_and_null_keys(spark):
 PAGES = [
     ("http://A.com/en/x?q#f", "a.com", "/en/x", "com/en/", "block"),
     ("https://www.example.com/en/7z", "www.example.com", "/en/7z", "example.com/en/7", "allow"),
-def spans_of(spark, texts):
-    rows = licenses.marked(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1))
-    return sorted((s._row % 2**33, s.label, s.first_word, s.last_word) for s in licenses.spans(written(rows, "marked")).collect())
-
-
     ("https://x.net/de/?p", "x.net", "/de/", "net/de/", "block"),
     ("https://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
     ("ftp://o.org/es/", "o.org", "/es/", "org/es/", "block"),
