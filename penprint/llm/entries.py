@@ -94,7 +94,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What strings of 400 bytes that start more than once leave of every text."""
     cut = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", *suffix_dedup.digests(cut))
+    # What remains may begin or end within a character: text has those that are whole.
+    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return cut.select("doc_id", *suffix_dedup.digests(cut), F.octet_length("kept").cast("bigint").alias("n_kept"), whole.alias("text"))
 
 
 @query

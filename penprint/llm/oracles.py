@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from penprint.llm import host_quality, licenses, url_filter
+from penprint.llm import host_quality, licenses, suffix_dedup, url_filter
 
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -78,4 +78,20 @@ def _warc(least: int = 0) -> str:
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < original THEN original END AS refers_to FROM o"""
 
 
-ORACLES = {"op2_host_quality": QUALITY, "op3_licenses": _licenses(), "op4_url_filter": _urls(), "op10_warc": _warc()}
+def _suffix_dedup(length: int = suffix_dedup.LENGTH) -> str:
+    """Every window of bytes, as hexadecimal, by its MD5."""
+    character = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|(?:E0[AB].|E[1-9A-CEF][89AB].|ED[89].)[89AB].|(?:F0[9AB].|F[1-3][89AB].|F48.)[89AB].[89AB].|.."
+    end = "CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END"
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(length(h) // 2 - {length - 1})) AS i, h FROM d WHERE length(h) >= {2 * length}),
+t AS (SELECT r, i FROM (SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * length})) AS m FROM w) QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {length} THEN 0 ELSE 1 END AS fresh FROM t),
+spans AS (SELECT r, min(i) AS a, max(i) + {length} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM g) GROUP BY r, span),
+per AS (SELECT r, sum(b - a) AS gone, count(*) AS n, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r),
+kept AS (SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS gone, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2),
+    lambda j: substr(h, 2 * ({end}) + 1, 2 * ((CASE WHEN j > n THEN length(h) // 2 ELSE starts[j] END) - ({end})))), '') END AS k FROM d LEFT JOIN per ON d.r = per.r)
+SELECT doc_id, n_bytes::bigint AS n_bytes, gone::bigint AS n_removed, n::bigint AS n_spans, sha256(unhex(k)) AS kept_sha256, (length(k) // 2)::bigint AS n_kept,
+    decode(unhex(array_to_string(list_filter(regexp_extract_all(k, '{character}'), lambda c: c <> 'EFBFBD' AND (length(c) > 2 OR c < '80')), ''))) AS text FROM kept"""
+
+
+ORACLES = {"op2_host_quality": QUALITY, "op3_licenses": _licenses(), "op4_url_filter": _urls(), "op7_suffix_dedup": _suffix_dedup(), "op10_warc": _warc()}

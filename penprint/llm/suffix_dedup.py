@@ -12,8 +12,13 @@ An anchor with more than HOT differing segments (a passage that a large part of
 sent to one shard: its windows are counted by 128-bit hashes, with partial sums before the shuffle, which
 splits them evenly. This changes where the work is done, not what is found.
 
+A passage or a copy may hold a third of all segments under one anchor and content. Joins on these keys end in
+tables of their own, with no aggregate in the same stage, so that Spark splits a skewed key among tasks.
+
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; repeated rows (equal key
-and text) repeat each other; empty tables give empty results; matches never cross documents.
+and text) repeat each other, and so all lose what they share; null keys are keys like others; ties don't occur, as what
+repeats is removed everywhere; very long texts are hashed in pieces; empty tables give empty results; matches never
+cross documents; other columns pass through, but ``spans`` and ``kept`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penprint.llm.common import written
+from penprint.llm.common import collected, release, tidy, written
 from penprint.llm.induced_sort import repeated_starts
 
 LENGTH, GRAM, HOT = 400, 32, 4096
@@ -193,7 +198,7 @@ def row_key(key: Column, text: Column) -> Column:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key, start, end: byte ranges that repeat, possibly overlapping. docs: key (row_key) and body (binary)."""
-    segments = written(docs.mapInArrow(_segment_batches(length, gram), "key bigint, start bigint, size bigint, anchor bigint, content bigint"), "segments")
+    segments = written(docs.mapInArrow(tidy(_segment_batches(length, gram)), "key bigint, start bigint, size bigint, anchor bigint, content bigint"), "segments")
     anchors = written(
         segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("varied")).filter("n > 1").select(F.col("anchor").alias("_anchor"), "varied"),
         "anchors",
@@ -203,7 +208,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     varied = met.filter("varied")
     contents = written(varied.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one")), "contents")
     copied = contents.filter("n > 1").select(F.col("anchor").alias("_anchor"), F.col("content").alias("_content"))
-    copies = varied.join(copied, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")))
+    copies = written(whole(varied.join(copied, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")))), "copies")
     # One copy of each differing segment, cut from its document.
     crowds = contents.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_anchor")
     wanted = contents.groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "one.start", "one.size")).alias("_wanted"))
@@ -213,11 +218,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         "cut",
     )
     spans = "key bigint, start bigint, end bigint"
-    sorted_out = cut.filter("_hot is null").drop("_hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard_batches(length), spans)
-    windows = written(cut.filter("_hot").select("key", "start", "body").mapInArrow(_window_batches(length), "h1 bigint, h2 bigint, key bigint, start bigint"), "windows")
+    sorted_out = cut.filter("_hot is null").drop("_hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_shard_batches(length)), spans)
+    windows = written(cut.filter("_hot").select("key", "start", "body").mapInArrow(tidy(_window_batches(length)), "h1 bigint, h2 bigint, key bigint, start bigint"), "windows")
     often = written(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "often")
-    counted = windows.join(often, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("key", "start", (F.col("start") + length).alias("end"))
-    return whole(met.filter("not varied")).unionByName(whole(copies)).unionByName(sorted_out).unionByName(counted)
+    counted = written(windows.join(often, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("key", "start", (F.col("start") + length).alias("end")), "counted")
+    return whole(met.filter("not varied")).unionByName(copies).unionByName(sorted_out).unionByName(counted)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,14 +259,17 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     docs is read three times: to find segments, to cut out those that differ, and to remove what repeats.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_key", row_key(F.col(key), whole))
-    found = repeats(keyed.select(F.col("_key").alias("key"), whole.cast("binary").alias("body")), length)
-    ranges = written(found.groupBy(F.col("key").alias("_of")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")), "ranges")
-    others = [c for c in docs.columns if c != text]
-    joined = keyed.join(ranges, F.col("_key") == F.col("_of"), "left").select(*others, whole.cast("binary").alias("_body"), "_ranges")
-    schema = docs.select(*others).schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string" if decode else "binary")
-    return joined.mapInArrow(lambda batches: _cut_batches(batches, decode), schema)
+    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    others = [c for c in docs.columns if c not in (text, "spans", "kept")]
+    keyed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("others"), row_key(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("key"), whole.alias("body"))
+    with collected() as made:
+        found = repeats(keyed.select("key", "body"), length)
+        ranges = written(found.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    release([x for x in made if x[1] != ranges.scratch])  # the result reads docs and ranges alone
+    joined = keyed.join(ranges, F.col("key") == F.col("of"), "left").select("others", "body", "ranges")
+    schema = joined.select("others").schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "string" if decode else "binary")
+    cut = joined.mapInArrow(tidy(lambda batches: _cut_batches(batches, decode)), schema)
+    return cut.select(*[F.col(f"others.`{c}`") for c in others], "spans", "kept")
 
 
 def digests(cut: DataFrame) -> list[Column]:
