@@ -7,11 +7,12 @@ payload is shared by a large part of all records. Payloads move once, by id, to
 
 Archives are written by Spark's text writer (a record's bytes are UTF-8, and the blank lines after a record are
 the line separator), so they lie in any store that Spark writes to, in files of about FILE_BYTES, one gzip
-member each. They are read back with Spark's binary reader and parsed by Content-Length; digests are computed anew.
+member each. A task writes TASK_BYTES, and more than that where MOST_TASKS of them wouldn't do. They are read back with Spark's binary reader and parsed by Content-Length; digests are computed anew.
 
 Defined results: a null payload is empty; a null id is always a response; rows of one id and payload have one
-verdict each; a null url has no WARC-Target-URI; control characters in a url are percent-encoded; empty
-tables give no archive and no records.
+verdict each, and rows of one id with two payloads have the verdict of each payload; equal ids of one payload are all responses if
+they are its largest; a null url has no WARC-Target-URI; control characters in a url are percent-encoded; a page larger than
+a file has a file of its own; other columns aren't written, so none can clash; empty tables give no archive and no records.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penprint.llm.common import written
+from penprint.llm.common import tidy, written
 
-FILE_BYTES = 16 << 20
+FILE_BYTES, TASK_BYTES, MOST_TASKS = 16 << 20, 64 << 20, 1 << 15
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
@@ -45,11 +46,11 @@ def base32_sha1(data: Column) -> Column:
 
 
 def resolved(headers: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, refers_to of the revisits. headers: a table of page_id, payload_digest, payload_bytes."""
+    """page_id, payload_digest, refers_to of the revisits. headers: a table of page_id, payload_digest, payload_bytes."""
     same = headers.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
     repeated = written(same.filter("n > 1").select(F.col("payload_digest").alias("_digest"), "original"), "repeated")
     met = headers.filter(F.col("payload_bytes") >= least).join(repeated, F.col("payload_digest") == F.col("_digest"))
-    return met.filter("page_id < original").select("page_id", F.col("original").alias("refers_to")).distinct()
+    return met.filter("page_id < original").select("page_id", "payload_digest", F.col("original").alias("refers_to")).distinct()
 
 
 def record(page_id: Column, url: Column, payload: Column, digest: Column, size: Column, refers_to: Column) -> Column:
@@ -82,12 +83,14 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     whole = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     described = whole.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     headers = written(described.select("page_id", "payload_digest", "payload_bytes"), "headers")
-    total = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
-    revisits = written(resolved(headers, least).withColumnRenamed("page_id", "_page"), "revisits")
-    files = max(1, -(-total // file_bytes))
-    placed = described.repartition(files, "page_id").join(revisits, F.col("page_id") == F.col("_page"), "left")
+    n, total = headers.agg(F.count(F.lit(1)), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    revisits = written(resolved(headers, least).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "refers_to"), "revisits")
+    tasks = min(MOST_TASKS, max(1, -(-total // max(file_bytes, min(TASK_BYTES, 4 * file_bytes)))))
+    # An id may have two payloads, of which one is a revisit.
+    dealt = described.repartition(tasks, "page_id", "payload_digest")
+    placed = dealt.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
     lines = placed.select(record(*(F.col(c) for c in ("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to"))).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, n * file_bytes // max(1, total))).text(path)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
@@ -138,4 +141,4 @@ def _record_batches(payloads: bool):
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of archives under path; without payloads, they are checked but not returned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(_record_batches(payloads), RECORDS)
+    return files.select("content").mapInArrow(tidy(_record_batches(payloads)), RECORDS)

@@ -316,3 +316,14 @@ def test_pipeline_stages(spark, tmp_path):
     found = {r.doc_id: r for r in cut.collect()}
     assert all(passage[10:-10] not in r.text and r.n_chars == len(r.text) for r in found.values()) and found[0].text == base
     assert stages["packing"](spark, cut, "").groupBy("doc_id").agg(F.sum("length")).count() == 3
+def test_op10_ids_of_two_payloads(spark):
+    pages = [(1, "u", "same"), (1, "v", "own"), (9, "u", "same"), (1, "u", "same"), (9, "u", "same")]
+    path = scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, payload_digest string"), path, file_bytes=8)
+    rows = [(r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(spark, path).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "revisit", 9, None), (1, "response", None, b"own"), (1, "revisit", 9, None), (9, "response", None, b"same"), (9, "response", None, b"same")], key=str)
+    empty = scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
