@@ -7,7 +7,8 @@ looked up anew, and rows without a pair that merges leave the matrix. Pieces abo
 breaks) would need a round for every byte, so they are merged one by one with a heap, in the same order.
 
 Defined results: null and empty texts have no ids; decoding gives the text's UTF-8 bytes back; repeated rows are
-encoded each; empty tables give empty results; other columns pass through.
+encoded each; null keys are keys like others; very long texts are encoded by themselves; empty tables give empty results; other
+columns pass through, but ``ids``, ``n_ids`` and ``decoded`` of the input are replaced (``_text`` is reserved).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penprint.llm.tokenize_words import MemoIds, kept_memo
+from penprint.llm.common import tidy
+from penprint.llm.tokenize_words import MemoIds, kept_memo, slices
 
 LONGEST, ROWS = 256, 1 << 15
 NONE = np.int32(2**31 - 1)
@@ -185,6 +188,10 @@ class PieceIds(MemoIds):
         super().__init__()
         self.ranks, self.split = Ranks(path), regex.compile(pattern).findall
 
+    def pieces(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        split = [self.split(t) for t in texts.to_pylist()]
+        return pa.array(chain.from_iterable(split), pa.string()), np.fromiter(map(len, split), np.int64, len(split))
+
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.ranks.encoded([p.encode() for p in pieces])
 
@@ -198,9 +205,8 @@ def _encode_batches(path: str, pattern: str):
         """(.., text) -> (.., ids, n_ids, decoded)."""
         pieces = kept_memo(PieceIds, path, pattern)
         for whole in batches:
-            for i in range(0, len(whole), 500):
-                b = whole.slice(i, 500)
-                ids, at = pieces(b.column(b.num_columns - 1).to_pylist())
+            for b in slices(whole, 2000):
+                ids, at = pieces(b.column(b.num_columns - 1))
                 back, size = pieces.ranks.decoded(ids)
                 ends = np.r_[0, np.cumsum(size)][at]
                 yield pa.RecordBatch.from_arrays(
@@ -212,6 +218,6 @@ def _encode_batches(path: str, pattern: str):
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs without the text, with ids (binary, little-endian 32-bit), n_ids and decoded (binary, from the ids)."""
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "ids", "n_ids", "decoded")]
     schema = docs.select(*others).schema.add("ids", T.BinaryType()).add("n_ids", T.LongType()).add("decoded", T.BinaryType())
-    return docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_encode_batches(path, pattern), schema)
+    return docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(tidy(_encode_batches(path, pattern), keeps=True), schema)

@@ -9,8 +9,9 @@ whose lengths are powers of two, which need no padding.
 Ids are made once and kept in a table in the shared folder, since range-sorting looks at its input twice. A range is packed
 as a stream: a task holds one batch of documents at a time.
 
-Defined results: null and empty texts are their closing id alone; equal texts have equal keys; repeated rows
-are packed each; empty tables give empty results.
+Defined results: null and empty texts are their closing id alone; equal texts have equal keys; repeated rows and null
+keys are packed each; very long texts are cut into as many sequences as they fill; empty tables give empty results; other
+columns pass through, but those named as RESULTS are replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penprint.llm.common import written
-from penprint.llm.tokenize_words import WordIds, kept_memo
+from penprint.llm.common import tidy, written
+from penprint.llm.tokenize_words import WordIds, kept_memo, slices
 
 SIZE, CLOSING, DIMS, BITS = 4096, 2, 4, 15
+RESULTS = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -82,9 +84,8 @@ def _token_batches(path: str, closing: int):
         """(.., text) -> (.., ids, n_ids, curve_key)."""
         encode, table = kept_memo(WordIds, path), np.empty((0, DIMS), np.int8)
         for whole in batches:
-            for i in range(0, len(whole), 1000):
-                b = whole.slice(i, 1000)
-                flat, at = encode(b.column(b.num_columns - 1).to_pylist())
+            for b in slices(whole, 4000):
+                flat, at = encode(b.column(b.num_columns - 1))
                 ids = np.insert(flat, at[1:], closing).astype(np.uint32)
                 at = at + np.arange(len(at))
                 if len(table) <= (top := int(ids.max(initial=0))):
@@ -100,7 +101,7 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", closing: int = CLO
     """docs without the text, with ids (binary, little-endian 32-bit), n_ids and curve_key."""
     others = [c for c in docs.columns if c != text]
     schema = docs.select(*others).schema.add("ids", T.BinaryType()).add("n_ids", T.LongType()).add("curve_key", T.LongType())
-    return docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_token_batches(path, closing), schema)
+    return docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(tidy(_token_batches(path, closing), keeps=True), schema)
 
 
 def tail_sizes(left: int) -> list[int]:
@@ -158,14 +159,15 @@ def _piece_batches(size: int):
 
 def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, closing: int = CLOSING) -> DataFrame:
     """A row a piece: the documents' other columns, start, length, ids (binary), doc_tokens, sequence_id, offset."""
-    others = [c for c in docs.columns if c != text]
-    tokens = written(tokenized(docs, path, text, closing), "tokens")
-    order = [F.col("curve_key"), F.xxhash64(key, "n_ids"), F.col(key)]
-    along = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select(*others, "ids", "n_ids")
-    schema = docs.select(*others).schema
+    others = [c for c in docs.columns if c not in (text, *RESULTS)]
+    boxed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("others"), F.col(key).alias("key"), F.col(text).alias("text"))
+    tokens = written(tokenized(boxed, path, "text", closing), "tokens")
+    order = [F.col("curve_key"), F.xxhash64("key", "n_ids"), F.col("key")]
+    along = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("others", "ids", "n_ids")
+    schema = along.select("others").schema
     for name, kind in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())):
         schema = schema.add(name, kind)
-    return along.mapInArrow(_piece_batches(size), schema)
+    return along.mapInArrow(tidy(_piece_batches(size)), schema).select(*[F.col(f"others.`{c}`") for c in others], *RESULTS)
 
 
 def ids_crc32(ids: Column) -> Column:
