@@ -8,15 +8,18 @@ The score is the log10 probability of the text and its end.
 
 All training text is counted, and every context counts, at any corpus size: the trie is a table of codes (three bytes of
 context and a symbol) partitioned by context. What a code costs follows from the counts of its context and of the shorter
-ones, depth by depth, in joins and windows of at most 256 symbols a context. 2^BLOCK_BITS neighbouring documents are a
-block; a block's distinct codes are joined to their costs and go back to their block. Nothing is gathered, and Spark
+ones, depth by depth, in joins and windows of at most 256 symbols a context. Neighbouring documents of like size are a block: 2^BLOCK_BITS
+of up to SMALL bytes, a sixteenth as many of up to sixteen times the size, so that a block is 2^BLOCK_BITS * SMALL bytes at most,
+or one longer text. A block's distinct codes are joined to their costs and go back to their block. Nothing is gathered, and Spark
 broadcasts only what it finds small.
 
 Words go the same way: a block's distinct words, not its documents' words, are joined to the corpus counts, and go back
-to their block. NODE_BITS, if set, makes a smaller model: nodes below 2^-NODE_BITS of all training symbols are left out.
+to their block. Counts are summed before the join, which ends in a table, so that Spark splits a word of every block among
+tasks. NODE_BITS, if set, makes a smaller model: nodes below 2^-NODE_BITS of all training symbols are left out.
 
-Defined results: null texts are empty and score as their end alone; without training texts, words count zero
-and bytes are uniform; rows with a null key train; repeated rows count each time; empty tables give empty results.
+Defined results: null and empty texts score as their end alone; without training texts, words count zero
+and bytes are uniform; rows with a null key train; repeated rows count each time; a very long text is a block of its own;
+empty tables give empty results; other columns aren't passed on, so none can clash.
 """
 
 from __future__ import annotations
@@ -30,27 +33,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from penprint.llm.common import ascii_lower, blank_words, dropped, written
+from penprint.llm.common import ascii_lower, blank_words, dropped, tidy, written
 
 ORDER = 3
 NODE_BITS: int | None = None
 START, END = 0xFE, 0xFF
-BLOCK_BITS, CHUNK = 12, 1 << 20
+BLOCK_BITS, SMALL, CHUNK = 12, 1 << 15, 1 << 20
 _TOKEN, _GRAM = 0, 1
+_CLASS_MASK = 15
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, codes, starts, ends) of about CHUNK bytes. A code is a symbol under its three bytes of
-    context; codes[starts[i]:ends[i]] are those of a row's symbols, its end included."""
-    lo, n = 0, len(offsets) - 1
+    context; codes[starts[i]:ends[i]] are those of a row's symbols, its end included. Row i is data[at[i]:at[i] + size[i]]."""
+    lo, n, upto = 0, len(at), np.r_[0, np.cumsum(size)]
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
-        sizes = np.diff(offsets[lo : hi + 1])
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CHUNK, side="right")) - 1)
+        sizes = size[lo:hi]
         begins = np.cumsum(sizes + ORDER + 1) - (sizes + ORDER + 1)
         text = np.full(int((sizes + ORDER + 1).sum()), START, np.uint8)
-        for at, a, k in zip((begins + ORDER).tolist(), offsets[lo:hi].tolist(), sizes.tolist(), strict=True):
-            text[at : at + k] = data[a : a + k]
-            text[at + k] = END
+        for to, a, k in zip((begins + ORDER).tolist(), at[lo:hi].tolist(), sizes.tolist(), strict=True):
+            text[to : to + k] = data[a : a + k]
+            text[to + k] = END
         codes = text.astype(np.uint32)
         for back in range(1, ORDER + 1):
             codes[back:] |= text[:-back].astype(np.uint32) << np.uint32(8 * back)
@@ -68,48 +72,50 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first)
 
 
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and where each row begins and how long it is."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, held_out, body, words) -> (kind, block, code, n): training counts of each block's codes and words."""
-    now, grams = None, ([], [])
+    # Blocks of each size class are filled one after the other: the last of each is open.
+    open_: dict[int, tuple[int, list[np.ndarray], list[np.ndarray]]] = {}
 
     def rows(kind: int, block: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(np.full(len(code), block, np.int64)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "block", "code", "n"])
 
     for b in batches:
-        if not len(b):
-            continue
         block, held = np.asarray(b.column(0)), np.asarray(b.column(1).cast(pa.int8())).astype(bool)
-        data, offsets = _binary(b.column(2))
-        cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
-        for first, last in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-            if now is not None and block[first] != now:
-                yield rows(_GRAM, now, *_summed(*grams))
-                grams = [], []
-            now = int(block[first])
-            for lo, hi, codes, starts, ends in chunks(data, offsets[first : last + 1]):
-                for train in (True, False):
-                    mine = held[first + lo : first + hi] != train
+        data, begins, sizes = _binary(b.column(2))
+        for one in np.unique(block).tolist():
+            kind = one & _CLASS_MASK
+            if kind in open_ and open_[kind][0] != one:
+                was, keys, counts = open_.pop(kind)
+                yield rows(_GRAM, was, *_summed(keys, counts))
+            _, keys, counts = open_.setdefault(kind, (one, [], []))
+            for train in (True, False):
+                mine = np.flatnonzero((block == one) & (held != train))
+                for _, _, codes, starts, ends in chunks(data, begins[mine], sizes[mine]):
                     inside = np.zeros(len(codes) + 1, np.int8)
-                    inside[starts[mine]] += 1
-                    inside[ends[mine]] -= 1
-                    keys, n = np.unique(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], return_counts=True)
-                    grams[0].append(keys)
-                    grams[1].append(n if train else np.zeros_like(n))
+                    inside[starts] += 1
+                    inside[ends] -= 1
+                    found, n = np.unique(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], return_counts=True)
+                    keys.append(found)
+                    counts.append(n if train else np.zeros_like(n))
+            if len(keys) > 64:
+                keys[:], counts[:] = ([x] for x in _summed(keys, counts))
         words = b.column(3)
         at = np.asarray(words.offsets, np.int64)
         hashed = np.asarray(words.values, np.int64)[at[0] : at[-1]]
         of, train = np.repeat(block, np.diff(at)), np.repeat(~held, np.diff(at))
         for one in np.unique(block):
-            mine = of == one if block[0] != block[-1] else slice(None)
+            mine = of == one
             code, back = np.unique(hashed[mine], return_inverse=True)
             yield rows(_TOKEN, one, code, np.bincount(back, train[mine], len(code)))
-    if now is not None:
-        yield rows(_GRAM, now, *_summed(*grams))
+    for one, keys, counts in open_.values():
+        yield rows(_GRAM, one, *_summed(keys, counts))
 
 
 def held_out(key: Column) -> Column:
@@ -151,23 +157,23 @@ def code_costs(counts: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     # Neighbouring rows of the input make a block, so blocks form without a shuffle; the table fixes who is in which.
-    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
-    dealt = written(docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"), block.alias("block")), "lm-blocks")
+    numbered = docs.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_id"))
+    size = F.octet_length("_text")
+    large = F.when(size <= SMALL, 0).when(size <= SMALL << 4, 4).otherwise(BLOCK_BITS)
+    block = F.shiftleft(F.call_function("shiftright", F.col("_id"), F.lit(BLOCK_BITS) - large), 4).bitwiseOR(large.cast("bigint"))
+    dealt = written(numbered.select("_key", "held_out", "_text", block.alias("block")), "lm-blocks")
     hashed = F.transform(blank_words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
     body = F.col("_text").cast("binary")
 
-    counted = written(dealt.select("block", "held_out", body.alias("body"), hashed.alias("words")).mapInArrow(_count_batches, "kind int, block bigint, code bigint, n bigint"), "lm-counts")
+    counted = written(dealt.select("block", "held_out", body.alias("body"), hashed.alias("words")).mapInArrow(tidy(_count_batches), "kind int, block bigint, code bigint, n bigint"), "lm-counts")
     grams = counted.filter(F.col("kind") == _GRAM)
     whole = written(grams.groupBy("code").agg(F.sum("n").alias("n")), "lm-codes")
     costs = code_costs(whole).withColumnRenamed("code", "_code")
     priced = written(grams.join(costs, F.col("code") == F.col("_code")).select("block", "code", "cost"), "lm-costs")
     tokens = counted.filter(F.col("kind") == _TOKEN)
-    everywhere = Window.partitionBy("code")
-    glossary = written(
-        tokens.select("block", "code", F.sum("n").over(everywhere).alias("count"), (F.row_number().over(everywhere.orderBy("block")) == 1).alias("first")), "lm-glossary"
-    )
-    word_total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    word_kinds = glossary.agg(F.count_if(F.col("first") & (F.col("count") > 0))).first()[0]
+    totals = written(tokens.groupBy("code").agg(F.sum("n").alias("count")).withColumnRenamed("code", "_code"), "lm-words")
+    glossary = written(tokens.join(totals, F.col("code") == F.col("_code")).select("block", "code", "count"), "lm-glossary")
+    word_total, word_kinds = totals.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
     ends = dealt.filter(~F.col("held_out")).count()
     dropped(counted)
     total, kinds = word_total + ends, word_kinds + (ends > 0)
@@ -181,9 +187,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         floor = np.log10(float(total + kinds + 1))
         out = []
         for b in left.combine_chunks().to_batches():
-            data, offsets = _binary(b.column("body"))
             score = np.empty(len(b))
-            for lo, hi, codes, starts, stops in chunks(data, offsets):
+            for lo, hi, codes, starts, stops in chunks(*_binary(b.column("body"))):
                 # Codes between two rows are in no block's table, and in no row's sum.
                 sums = np.r_[0.0, np.cumsum(cost[np.minimum(np.searchsorted(nodes, codes), len(nodes) - 1)])]
                 score[lo:hi] = sums[stops] - sums[starts]

@@ -237,6 +237,18 @@ def test_op8_pieces(spark):
     assert all(n <= 512 and (n == 512 or n & (n - 1) == 0) for n in lengths.values())
     for i, own in enumerate(ids):
         ends = [0, *np.cumsum([n for _, n in sorted(spans[i])])]
+def test_op6_blocks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SMALL", 64)
+    monkeypatch.setattr(ppm, "NODE_BITS", 40)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) for n in rng.integers(0, 600, 60)] + ["x" * 300000, None]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], SCHEMA + ", score int").coalesce(2)
+    got = {r.doc_id: r for r in ppm.scored(rows).collect()}
+    for i, want in enumerate(ppm_by_hand(texts)):
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:4]
+        assert (got[i].base_score, got[i].score) == pytest.approx(want[4:])
+
+
         assert [s for s, _ in sorted(spans[i])] == ends[:-1] and ends[-1] == len(own)
     assert curve_pack.packed(frame(spark, texts).limit(0), path).count() == 0
 
