@@ -55,7 +55,8 @@ def any_of(items: list[str]) -> str:
 
 WORD = "[A-Za-z']+"
 BLANK = "(?U)\\s+"
-SENTENCE_BREAK = "(?U)" + "".join(f"(?<!\\b{x.replace('.', chr(92) + '.')})" for x in ABBREVIATIONS) + "(?<=[.!?])\\s+(?=[A-Z0-9])"
+# The cheapest condition first: most characters are no sentence end.
+SENTENCE_BREAK = "(?U)(?<=[.!?])" + "".join(f"(?<!\\b{x.replace('.', chr(92) + '.')})" for x in ABBREVIATIONS) + "\\s+(?=[A-Z0-9])"
 PARAGRAPH_BREAK = "(?U)\\n\\s*\\n"
 EXPANDED_FORM = "(?iuU)\\b" + any_of(EXPANDED) + "\\b"
 CONTRACTED_FORM = "(?iuU)\\b\\w+'" + any_of(CONTRACTED_ENDINGS) + "\\b"
