@@ -156,6 +156,12 @@ def english_valid(messages: DataFrame, by: list[str], body: str = "body") -> Dat
     return messages.groupBy(*by).agg((F.coalesce(odd, F.lit(0.0)) < NON_ASCII_SHARE).alias("english_metrics_valid"))
 
 
+def date_range(messages: DataFrame, by: list[str], date: str = "date") -> DataFrame:
+    """by, first, last: the ends of the dates that are there, as text; empty without any."""
+    given = F.when(F.col(date) != "", F.col(date))
+    return messages.groupBy(*by).agg(F.coalesce(F.min(given), F.lit("")).alias("first"), F.coalesce(F.max(given), F.lit("")).alias("last"))
+
+
 def measured(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject") -> DataFrame:
     """A table of one row a message: by, subject and all that its body counts for. Bodies are read once, here."""
     b = F.col(body)

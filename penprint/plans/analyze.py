@@ -68,11 +68,11 @@ def fingerprint(messages: DataFrame, baseline: DataFrame, user: str, joined: boo
     for r in words.orderBy("grp", "rank").collect():
         lists.setdefault(r["grp"], []).append({"phrase": r["phrase"], "count": r["count"], "log_odds": r["log_odds"]})
     block = lambda g: _block(found.get(g, []), lists.get(g, []))
-    dates = main.filter("date <> ''").agg(F.min("date"), F.max("date")).first()
+    dates = metrics.date_range(main, []).first()
     return {
         "user": user,
         "corpus_size": size,
-        "date_range": [d or "" for d in dates],
+        "date_range": list(dates),
         "baseline": block("*"),
         "registers": {g: {"count": n, "metrics": block(g)} for g, n in counts.items() if n >= patterns.REGISTER_MESSAGES},
         "suppressed_registers": {g: n for g, n in counts.items() if n < patterns.REGISTER_MESSAGES},

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from penprint.functions import patterns, text
 from penprint.operators import dedupe, diff, drafts, edits, lexicon, metrics, registers
 from penprint.plans import analyze
-from penprint.sources import mail
+from penprint.sources import files, mail
 from penprint.storage import scratch_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,6 +686,98 @@ def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.drop_counts(judged, mail.normalized(judged))
 
 
+@query(
+    """SELECT '<' || conv_id || '.' || turn || '@own.com>' AS id, CASE WHEN turn % 5 = 4 THEN '' ELSE '2025-04-' || lpad((conv_id % 28 + 1)::varchar, 2, '0') || 'T08:' || lpad((turn % 60)::varchar, 2, '0') || ':00-04:00' END AS date,
+    'x' || conv_id % 3 || '.com,y.com' AS to_domains, turn % 2 = 1 AS is_reply, role AS subject, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^From ', '>From ', 'g'), '^\\s+', ''), '\\s+$', '')) AS body FROM conversations"""
+)
+def mbox_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message of an mbox, written (with lines like its marks quoted) and read back."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    date = F.when(F.col("turn") % 5 == 4, "whenever").otherwise(F.concat(F.lit("Mon, "), two(F.col("conv_id") % 28 + 1), F.lit(" Apr 2025 08:"), two(F.col("turn") % 60), F.lit(":00 -0400")))
+    head = F.concat(
+        F.lit("From x Mon Apr 14 08:00:00 2025\nFrom: Dana <dana@own.com>\nTo: A <a@X"), (F.col("conv_id") % 3).cast("string"), F.lit(".com>\nCc: b@y.com, c@Y.com\nSubject: "), F.when(F.col("turn") % 2 == 1, "RE: ").otherwise(""), F.col("role"),
+        F.lit("\nDate: "), date, F.lit("\nMessage-ID: <"), F.concat_ws(".", "conv_id", "turn"), F.lit("@own.com>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"),
+    )
+    path = scratch_path(spark, "mbox")
+    table(spark, sf_dir, "conversations").select(F.concat(head, F.regexp_replace("text", "(?m)^From ", ">From "), F.lit("\n"))).write.text(path)
+    rows, subject = mail.read_mbox(spark, path), F.lower("subject")
+    return rows.select(
+        "id", "date", F.array_join(text.domains(F.col("recipients")), ",").alias("to_domains"), F.startswith(subject, F.lit("re:")).alias("is_reply"),
+        F.regexp_replace("subject", "^RE: ", "").alias("subject"), F.md5(text.strip(F.col("body")).cast("binary")).alias("body")
+    )
+
+
+@query("SELECT o_orderpriority AS subject, min(strftime(o_orderdate, '%Y-%m-%d')) AS first, max(strftime(o_orderdate, '%Y-%m-%d')) AS last FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY o_orderpriority")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last date of each subject; messages without a date don't count."""
+    rows = _order_messages(spark, sf_dir).filter("subject <> 'Invoices due'")
+    undated = rows.withColumn("date", F.lit(""))
+    return metrics.date_range(rows.unionByName(undated), ["subject"])
+
+
+# ---- Logs.
+
+
+@query("SELECT event_id AS id, event_type AS kind FROM events")
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines, appended to twice, with broken and other lines between."""
+    path, rows = scratch_path(spark, "log"), table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    files.append_jsonl(rows.filter("id % 2 = 0"), path)
+    spark.createDataFrame([("{broken",), ("",), ("42",), ("[1, 2]",)], "value string").write.mode("append").text(path)
+    files.append_jsonl(rows.filter("id % 2 = 1"), path)
+    return files.read_jsonl(spark, path, "id bigint, kind string")
+
+
+@query(
+    """WITH d AS (SELECT 'd-19700101-' || substr(sha1(strftime(to_timestamp(turn * 60), '%Y-%m-%dT%H:%M:%S') || '|' || substr(text, 1, 12)), 1, 8) AS id, substr(text, 1, 12) AS subject, text FROM conversations WHERE role = 'user')
+    SELECT id, subject, CASE WHEN id = (SELECT min(id) FROM d) THEN 'matched' ELSE 'pending' END AS status, md5(text) AS body FROM d"""
+)
+def draft_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts recorded in a log, one of which is then marked as matched; the log is written anew."""
+    path, (turns, _) = scratch_path(spark, "drafts"), _turns(spark, sf_dir)
+    files.append_jsonl(drafts.record(turns.withColumn("register", F.lit("client"))), path)
+    schema = "id string, subject string, status string, body string"
+    first = files.read_jsonl(spark, path, schema).agg(F.min("id")).first()[0]
+    files.rewrite_text(drafts.with_status(spark.read.text(path), first or "", "matched"), path)
+    return files.read_jsonl(spark, path, schema).withColumn("body", F.md5(F.col("body").cast("binary")))
+
+
+# ---- What comparisons see of a text.
+
+_MAILED = ["see https://www.google.com/url?q=https%3A%2F%2Fex.com%2Fa%2Bb%3Fc&sa=D for it", "go to http://plain.com/x\nor https://plain.com/y", "wrapped\nhere\n- one\n- two\n2) three\nfour", "a\n \nb\nc https://google.com/url?q=http://z.io/%C3%A9+1\n* last"]
+_REDIRECT = r"https?://(?:www\.)?google\.com/url\?q=([^&\s]+)\S*"
+
+
+def _sql_comparable(x: str) -> str:
+    links = f"list_distinct(regexp_extract_all({x}, '{_REDIRECT}'))"
+    target = f"url_decode(replace(regexp_extract(l, '{_REDIRECT}', 1), '+', '%2B'))"
+    bare = rf"regexp_replace(list_reduce({links}, lambda t, l: replace(t, l, {target}), {x}), '\bhttps?://', '', 'g')"
+    lines = f"list_filter(list_transform(string_split(p, chr(10)), lambda y: {_sql_strip('y')}), lambda y: y <> '')"
+    joined = rf"coalesce(list_reduce({lines}, lambda t, y: t || CASE WHEN regexp_matches(y, '^([-*•]|\d+[.)])\s') THEN chr(10) ELSE ' ' END || y), '')"
+    return rf"array_to_string(list_transform(string_split_regex({bare}, '\n\s*\n'), lambda p: CASE WHEN len({lines}) = 0 THEN '' ELSE {joined} END), chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, {_sql_comparable('body')} AS body FROM (SELECT doc_id, substr(text, 1, 300) || chr(10) || {_sql_pick(_MAILED, 'doc_id')} AS body FROM documents)")
+def comparable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without what mail programs change: redirects around links, schemes and soft line breaks. Bodies are made of a text's
+    beginning and a few lines."""
+    added = F.element_at(F.array(*[F.lit(x) for x in _MAILED]), (F.col("doc_id") % len(_MAILED) + 1).cast("int"))
+    body = F.concat(F.substring("text", 1, 300), F.lit("\n"), added)
+    return table(spark, sf_dir, "documents").select("doc_id", text.for_comparison(body).alias("body"))
+
+
+@query(
+    f"""WITH {DECORATED}, m AS (SELECT *, {_sql_count("body", r"[^ \t\n\r\x0b\x0c]+")} AS wc FROM decorated), g AS (SELECT lang AS l, median(wc) AS med FROM m GROUP BY lang),
+    s AS (SELECT lang, doc_id, CASE WHEN regexp_matches(body, '{_ASK_SQL}') THEN 1.0 ELSE 0.0 END::double + CASE WHEN len({_sql_paragraphs("body")}) > 1 THEN 0.3 ELSE 0.0 END::double - abs(wc - med) / CASE WHEN med = 0 THEN 1 ELSE med END AS score FROM m JOIN g ON lang = l),
+    k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::int AS rank, doc_id FROM s QUALIFY rank <= 4), {_sql_redacted("body")}
+    SELECT lang, rank, k.doc_id, t AS body FROM k JOIN red ON k.doc_id = red.doc_id"""
+)
+def exemplars_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exemplars of each language, redacted. Their number is the feature."""
+    rows = decorated(spark, sf_dir).withColumn("word_count", text.n_blank_words(F.col("body")))
+    return registers.exemplars(rows, "lang", "doc_id").select("lang", "rank", "doc_id", text.redacted(F.col("body"), ["Dana"]).alias("body"))
+
+
 # ---- Count files and draft ids.
 
 
