@@ -11,7 +11,9 @@ Everything is an array expression of one row: no row is exploded and nothing is
 
 Defined results: a null text counts as empty; a text without words has the empty fingerprint; a text of
 fewer than k words is one k-mer of all its words; two empty fingerprints are alike (1.0), an empty and a
-filled one are not (0.0); equal texts have equal fingerprints; other columns pass through.
+filled one are not (0.0); equal texts have equal fingerprints, repeated rows and null keys too; k-mers of equal hash go by
+place; very long texts are read whole; empty tables give empty results; other columns pass through, but the result's own name
+is replaced (in with_next(), names of the prefix too; ``_place``, ``_range`` and ``_guest`` are reserved).
 """
 
 from __future__ import annotations

@@ -24,8 +24,10 @@ the others, only buckets that hold more than one component are compared. Connect
 a group whose sets have the similarity are linked, and groups go through connected() as buckets do.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are one class; a text of fewer words
-than a shingle is one shingle; repeated rows are in one class; empty tables give empty results; other columns
-pass through (``fingerprint`` and ``component_id`` must be free).
+than a shingle is one shingle; repeated rows are in one class; of a class, ties go by the order that deduplicated() states; null
+keys are larger than others and only name a class of null keys alone; very long texts are read whole; empty tables give empty
+results; other columns pass through, but ``fingerprint``, ``second`` and ``component_id`` of the input are replaced
+(``_hashes`` and ``_node`` are reserved).
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprinted(docs: DataFrame, text: str = "text", n: int = 4) -> DataFrame:
     """docs without the text, with fingerprint and second (bigint)."""
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "fingerprint", "second")]
     hashed = docs.select(*kept, shingle_hashes(F.col(text), n).alias("_hashes"))
     schema = docs.select(*kept).schema.add("fingerprint", "long").add("second", "long")
     return hashed.mapInArrow(tidy(_fingerprint_batches), schema)
@@ -396,7 +398,7 @@ def classes(marked: DataFrame, key: str = "doc_id", radius: int = 4, total: int
     labels = written(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id"), "labels")
     for t in (nodes, stars, rooted, least):
         dropped(t)
-    return marked.join(labels, node == F.col("_node")).drop("_node")
+    return marked.drop("component_id").join(labels, node == F.col("_node")).drop("_node")
 
 
 def alike(hashes: np.ndarray, offsets: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:

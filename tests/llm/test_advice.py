@@ -77,6 +77,17 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert [found.get(i, i) for i in range(len(prints))] == label.tolist() and len(set(label.tolist())) > 20
 
 
+def test_op5_replaces_its_own_names_and_takes_null_keys(spark):
+    rows = [(None, "a b c d e", 1, "x"), (None, "a b c d e", 1, "y"), (3, "a b c d e f g h i j k", 1, "z"), (2, None, 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int, fingerprint string")
+    found = simhash.classes(written(simhash.fingerprinted(docs), "marked"))
+    assert sorted(found.columns) == ["component_id", "doc_id", "fingerprint", "second"]
+    assert sorted((r.doc_id, r.component_id) for r in found.collect() if r.doc_id) == [(2, 2), (3, 3)] and found.count() == 4
+    named = order_minhash.with_next(docs.withColumn("next_text", F.lit(7)), ["text"]).collect()
+    assert {(r.doc_id, r.next_text) for r in named if r.doc_id} == {(3, None), (2, "a b c d e")}
+    assert sorted(r.next_text for r in named if not r.doc_id) == ["a b c d e", "a b c d e f g h i j k"]
+
+
 def test_one_row_of_a_class_stays_for_null_and_repeated_keys(spark):
     rng = np.random.default_rng(4)
     text = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**6, k))
