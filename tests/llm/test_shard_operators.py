@@ -118,6 +118,33 @@ def test_induced_sort_finds_every_repeat(noise, passage, length, memory):
     assert [raw[i:] for i in order] == sorted(raw[i:] for i in range(len(raw)))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.integers(1, 5), st.sampled_from([2, 1 << 20]))
+def test_names_are_sorted_by_induction_in_turn(part, times, memory):
+    names = np.unique(np.array(part * times), return_inverse=True)[1]
+    assert induced_sort.induced_order(names, memory).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_a_shard_larger_than_memory(tmp_path):
+    rng = np.random.default_rng(9)
+    words_ = [rng.integers(97, 123, int(n)) for n in rng.integers(2, 9, 400)]
+    text = np.concatenate([np.r_[words_[i], 32] for i in rng.integers(0, 400, 60000)]).astype(np.uint8)
+    text[200000:230000] = text[1000:31000]
+    text.tofile(tmp_path / "text")
+    mapped = np.memmap(tmp_path / "text", np.uint8, "r")
+    spilled = []
+    real = induced_sort.Queue.append
+    try:
+        induced_sort.Queue.append = lambda self, p, q: (real(self, p, q), spilled.append(bool(self.on_disk)))[0]
+        flags = induced_sort.repeated_starts(mapped, 400, memory=1 << 13)
+    finally:
+        induced_sort.Queue.append = real
+    raw = text.tobytes()
+    counts = Counter(hash(raw[i : i + 400]) for i in range(len(raw) - 399))
+    assert any(spilled) and flags[: len(raw) - 399].tolist() == [counts[hash(raw[i : i + 400])] > 1 for i in range(len(raw) - 399)]
+    assert flags.sum() >= 2 * (30000 - 399)
+
+
 def removed_by_hand(texts, length):
     raw = [(t or "").encode() for t in texts]
     counts = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
@@ -210,6 +237,18 @@ def test_op6_scores(spark):
     assert ppm.scored(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_op6_blocks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "SMALL", 64)
+    monkeypatch.setattr(ppm, "NODE_BITS", 40)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) for n in rng.integers(0, 600, 60)] + ["x" * 300000, None]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], SCHEMA + ", score int").coalesce(2)
+    got = {r.doc_id: r for r in ppm.scored(rows).collect()}
+    for i, want in enumerate(ppm_by_hand(texts)):
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:4]
+        assert (got[i].base_score, got[i].score) == pytest.approx(want[4:])
+
+
 def test_hilbert_neighbours_touch():
     side = np.arange(16)
     points = np.stack(np.meshgrid(side, side, indexing="ij"), axis=-1).reshape(-1, 2)
@@ -237,18 +276,6 @@ def test_op8_pieces(spark):
     assert all(n <= 512 and (n == 512 or n & (n - 1) == 0) for n in lengths.values())
     for i, own in enumerate(ids):
         ends = [0, *np.cumsum([n for _, n in sorted(spans[i])])]
-def test_op6_blocks_of_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "SMALL", 64)
-    monkeypatch.setattr(ppm, "NODE_BITS", 40)
-    rng = np.random.default_rng(1)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) for n in rng.integers(0, 600, 60)] + ["x" * 300000, None]
-    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], SCHEMA + ", score int").coalesce(2)
-    got = {r.doc_id: r for r in ppm.scored(rows).collect()}
-    for i, want in enumerate(ppm_by_hand(texts)):
-        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:4]
-        assert (got[i].base_score, got[i].score) == pytest.approx(want[4:])
-
-
         assert [s for s, _ in sorted(spans[i])] == ends[:-1] and ends[-1] == len(own)
     assert curve_pack.packed(frame(spark, texts).limit(0), path).count() == 0
 
@@ -314,6 +341,17 @@ def test_op10_round_trip(spark, least):
         assert r.payload is None if revisit else bytes(r.payload) == body
 
 
+def test_op10_ids_of_two_payloads(spark):
+    pages = [(1, "u", "same"), (1, "v", "own"), (9, "u", "same"), (1, "u", "same"), (9, "u", "same")]
+    path = scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, payload_digest string"), path, file_bytes=8)
+    rows = [(r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(spark, path).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "revisit", 9, None), (1, "response", None, b"own"), (1, "revisit", 9, None), (9, "response", None, b"same"), (9, "response", None, b"same")], key=str)
+    empty = scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n))
@@ -331,14 +369,3 @@ def test_pipeline_stages(spark, tmp_path):
     found = {r.doc_id: r for r in cut.collect()}
     assert all(passage[10:-10] not in r.text and r.n_chars == len(r.text) for r in found.values()) and found[0].text == base
     assert stages["packing"](spark, cut, "").groupBy("doc_id").agg(F.sum("length")).count() == 3
-def test_op10_ids_of_two_payloads(spark):
-    pages = [(1, "u", "same"), (1, "v", "own"), (9, "u", "same"), (1, "u", "same"), (9, "u", "same")]
-    path = scratch_path(spark, "warc")
-    warc.write_archives(spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, payload_digest string"), path, file_bytes=8)
-    rows = [(r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(spark, path).collect()]
-    assert sorted(rows, key=str) == sorted([(1, "revisit", 9, None), (1, "response", None, b"own"), (1, "revisit", 9, None), (9, "response", None, b"same"), (9, "response", None, b"same")], key=str)
-    empty = scratch_path(spark, "warc")
-    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), empty)
-    assert warc.read_archives(spark, empty).count() == 0
-
-
