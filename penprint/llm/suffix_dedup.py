@@ -5,8 +5,10 @@ w-gram of least hash inside it (the leftmost of equals). Equal windows have equa
 so the windows of one anchor form a segment of text that goes with the anchor's hash. Anchors seen once can't
 repeat anything and drop out with their text unsent. Where all segments of an anchor are equal, or a segment
 has an equal, all its windows repeat: counted by content hash, without sending text. Only anchors with
-differing segments send one copy of each, and the shards they form are suffix-sorted (induced_sort): a window
-repeats if and only if its common prefix with a neighbour in suffix order reaches ``length``.
+differing segments send one copy of each. A window holds all of the (length - gram) / 2 bytes on one side of its anchor, so
+segments that have neither side's bytes in common with another don't repeat either and stay. The shards that the others form are
+suffix-sorted (induced_sort): a window repeats if and only if its common prefix with a neighbour in suffix order
+reaches ``length``.
 
 An anchor with more than HOT differing segments (a passage that a large part of all documents quote) is not
 sent to one shard: its windows are counted by 128-bit hashes, with partial sums before the shuffle, which
@@ -100,6 +102,8 @@ def _pieces(starts: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple
 
 
 def _segment_batches(length: int, gram: int):
+    side = (length - gram) // 2
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling(_BASE, gram)
         places = np.uint64((1 << _PLACE_BITS) - 1)
@@ -125,6 +129,10 @@ def _segment_batches(length: int, gram: int):
                 s, e, a = at[begins], at[last] + length, own[begins]
                 view = memoryview(np.ascontiguousarray(text))
                 contents = [xxhash.xxh3_64_intdigest(view[i:j], seed=k) for i, j, k in zip(s.tolist(), e.tolist(), (a - s).tolist(), strict=True)]
+                sides = []
+                for near, far, ok in ((a - side, a, a - side >= s), (a + gram, a + gram + side, a + gram + side <= e)):
+                    found = [xxhash.xxh3_64_intdigest(view[i:j]) if k else 0 for i, j, k in zip(near.tolist(), far.tolist(), ok.tolist(), strict=True)]
+                    sides.append(pa.array(np.array(found, np.uint64).view(np.int64), mask=~ok))
                 row = rows[of[begins]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -133,8 +141,9 @@ def _segment_batches(length: int, gram: int):
                         pa.array(e - s),
                         pa.array(hashes[a].view(np.int64)),
                         pa.array(np.array(contents, np.uint64).view(np.int64)),
+                        *sides,
                     ],
-                    ["key", "start", "size", "anchor", "content"],
+                    ["key", "start", "size", "anchor", "content", "left", "right"],
                 )
 
     return segments
@@ -198,7 +207,7 @@ def row_key(key: Column, text: Column) -> Column:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key, start, end: byte ranges that repeat, possibly overlapping. docs: key (row_key) and body (binary)."""
-    segments = written(docs.mapInArrow(tidy(_segment_batches(length, gram)), "key bigint, start bigint, size bigint, anchor bigint, content bigint"), "segments")
+    segments = written(docs.mapInArrow(tidy(_segment_batches(length, gram)), "key bigint, start bigint, size bigint, anchor bigint, content bigint, left bigint, right bigint"), "segments")
     anchors = written(
         segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("varied")).filter("n > 1").select(F.col("anchor").alias("_anchor"), "varied"),
         "anchors",
@@ -206,12 +215,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     met = written(segments.join(anchors, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "met")
     whole = lambda df: df.select("key", "start", (F.col("start") + F.col("size")).alias("end"))
     varied = met.filter("varied")
-    contents = written(varied.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one")), "contents")
+    kinds = varied.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one"), *[F.min(c).alias(c) for c in ("left", "right")])
+    contents = written(kinds, "contents")
     copied = contents.filter("n > 1").select(F.col("anchor").alias("_anchor"), F.col("content").alias("_content"))
     copies = written(whole(varied.join(copied, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")))), "copies")
-    # One copy of each differing segment, cut from its document.
-    crowds = contents.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_anchor")
-    wanted = contents.groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "one.start", "one.size")).alias("_wanted"))
+    # One copy of each differing segment, cut from its document, if another has the bytes on one side of the anchor.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("bytes")) for i, c in enumerate(("left", "right"))])).alias("s")
+    sides = contents.select("anchor", "content", each).select("anchor", "content", "s.side", "s.bytes").filter("bytes is not null")
+    shared = sides.groupBy("anchor", "side", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").withColumnsRenamed({c: f"_{c}" for c in ("anchor", "side", "bytes")})
+    alike = written(sides.join(shared, (F.col("anchor") == F.col("_anchor")) & (F.col("side") == F.col("_side")) & (F.col("bytes") == F.col("_bytes"))).select("anchor", "content"), "alike")
+    alive = alike.distinct().withColumnsRenamed({c: f"_{c}" for c in ("anchor", "content")})
+    unlike = written(contents.join(alive, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")), "left_semi"), "unlike")
+    crowds = unlike.groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_anchor")
+    wanted = unlike.groupBy(F.col("one.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "one.start", "one.size")).alias("_wanted"))
     held = docs.dropDuplicates(["key"]).join(wanted, F.col("key") == F.col("_key")).select("key", "body", F.explode("_wanted").alias("w"))
     cut = written(
         held.select("w.anchor", "key", "w.start", F.expr("substring(body, cast(w.start as int) + 1, cast(w.size as int))").alias("body")).join(crowds.withColumn("_hot", F.lit(True)), F.col("anchor") == F.col("_anchor"), "left").drop("_anchor"),
