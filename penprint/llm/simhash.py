@@ -48,6 +48,8 @@ from penprint.llm.components import roots
 
 CHUNK, VERIFIED, ROUNDS = 4096, 1024, 2
 BANDS, BAND_ROWS, FIRST_BANDS = 12, 4, 4
+#: Shingles that count as one set, of which a task gets VERIFIED twice.
+WEIGHT = 1024
 _CLASSES, _ROWS = [(1, 8), (8, 32), (32, 128)], 1 << 15
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -326,14 +328,15 @@ def block_masks(radius: int) -> list[int]:
 
 
 def connected(members: Callable[[DataFrame | None], DataFrame], most: int, meet: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
-    """Components, as of components.roots, of the links between nodes of one place. A task sees some ``most`` nodes of a place at once.
+    """Components, as of components.roots, of the links between nodes of one place. A task sees nodes of a weight of some twice ``most`` at once.
 
-    members(stars): place, node, root (the node's root in stars, else the node) and what meet needs. meet: rows with
+    members(stars): place, node, weight, root (the node's root in stars, else the node) and what meet needs. meet: rows with
     ``group`` to edges u, v, where the nodes of each group are compared. known: components found before; places within one are left out.
     """
+    weight = F.ceil(F.sum("weight"))
     if known is None:
         rows = members(None)
-        crowds = written(rows.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(F.col("place").alias("_crowd"), "_n"), "crowds")
+        crowds = written(rows.groupBy("place").agg(weight.alias("_n")).filter(F.col("_n") > most).select(F.col("place").alias("_crowd"), "_n"), "crowds")
         salts = F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(ROUNDS - 1)))
         salted = rows.join(crowds, F.col("place") == F.col("_crowd"), "left").withColumn("_salt", F.explode(salts))
         chunk = F.pmod(F.xxhash64("node", "_salt"), F.coalesce(F.ceil(F.col("_n") / most), F.lit(1)))
@@ -343,11 +346,11 @@ def connected(members: Callable[[DataFrame | None], DataFrame], most: int, meet:
         rows = members(stars).join(crowds.select("_crowd"), F.col("place") == F.col("_crowd"), "left_semi")
     else:
         stars, rows = known, members(known)
-    spread = rows.groupBy("place").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    spread = rows.groupBy("place").agg(weight.alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
     mixed = written(spread.select(F.col("place").alias("_place"), "_n"), "mixed")
     if mixed.isEmpty():
         return stars
-    sizes = rows.join(mixed.filter(F.col("_n") > most).select("_place"), F.col("place") == F.col("_place"), "left_semi").groupBy("place", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.join(mixed.filter(F.col("_n") > most).select("_place"), F.col("place") == F.col("_place"), "left_semi").groupBy("place", "root").agg(weight.alias("n"))
     largest = sizes.groupBy("place").agg(F.max(F.struct("n", "root")).alias("_most")).select(F.col("place").alias("_large"), "_most.n", F.col("_most.root").alias("_root"))
     parted = written(mixed.join(largest, F.col("_place") == F.col("_large"), "left").select("_place", F.col("_n"), F.col("n").alias("_big"), "_root"), "parted")
     # Chunks of the largest component, and of the rest: each of the rest meets all chunks of both.
@@ -378,7 +381,7 @@ def links(nodes: DataFrame, radius: int = 4, total: int | None = None, keys: Col
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     if keys is None:
         keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(radius))])
-    members = lambda stars: _rooted(nodes, stars).select("node", "root", "fingerprint", "second", F.explode(keys).alias("place"))
+    members = lambda stars: _rooted(nodes, stars).select("node", "root", "fingerprint", "second", F.lit(1).alias("weight"), F.explode(keys).alias("place"))
 
     def meet(dealt: DataFrame) -> DataFrame:
         rows = dealt.select("group", "node", "fingerprint", "second").repartition("group").sortWithinPartitions("group")
@@ -475,7 +478,9 @@ def verified_links(groups: DataFrame, rows: DataFrame, texts: DataFrame, n: int,
     components.roots; rows: node, row; texts: _row, _text. Sets are made once, for the rows of groups only."""
     placed = groups.select(F.col("u").alias("node"), F.col("v").alias("place")).unionByName(groups.select(F.col("v").alias("node"), F.col("v").alias("place")).distinct())
     wanted = rows.join(placed.select(F.col("node").alias("_node"), "place"), F.col("node") == F.col("_node")).drop("_node")
-    sets = written(texts.join(wanted, F.col("_row") == F.col("row")).select("place", "node", shingle_set(F.col("_text"), n).alias("shingles")), "sets")
+    made = texts.join(wanted, F.col("_row") == F.col("row")).select("place", "node", shingle_set(F.col("_text"), n).alias("shingles"))
+    # A long set weighs as much as several, so that a task holds no more of long texts than of others.
+    sets = written(made.withColumn("weight", F.greatest(F.lit(1), F.ceil(F.size("shingles") / WEIGHT))), "sets")
 
     def meet(dealt: DataFrame) -> DataFrame:
         grouped = dealt.select("group", "node", "shingles").repartition("group").sortWithinPartitions("group")
