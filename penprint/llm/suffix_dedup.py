@@ -38,7 +38,7 @@ from penprint.llm.common import collected, release, tidy, written
 from penprint.llm.induced_sort import repeated_starts
 
 LENGTH, GRAM, HOT = 400, 32, 4096
-PIECE, SHARD = 1 << 20, 4 << 20
+PIECE, SHARD, MOST_TASKS = 1 << 20, 4 << 20, 1 << 15
 _PLACE_BITS = 22
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Parts segments in a shard; no UTF-8 text holds it.
@@ -234,7 +234,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         "cut",
     )
     spans = "key bigint, start bigint, end bigint"
-    sorted_out = cut.filter("_hot is null").drop("_hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_shard_batches(length)), spans)
+    # A shard a task, as sorting takes far longer than reading what Spark would put together.
+    total = unlike.agg(F.coalesce(F.sum("one.size"), F.lit(0))).first()[0]
+    tasks = max(1, min(MOST_TASKS, -(-total // SHARD)))
+    sorted_out = cut.filter("_hot is null").drop("_hot").repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_shard_batches(length)), spans)
     windows = written(cut.filter("_hot").select("key", "start", "body").mapInArrow(tidy(_window_batches(length)), "h1 bigint, h2 bigint, key bigint, start bigint"), "windows")
     often = written(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "often")
     counted = written(windows.join(often, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("key", "start", (F.col("start") + length).alias("end")), "counted")
