@@ -122,3 +122,7 @@ def test_edit_stream(spark, tmp_path):
     query.stop()
     assert found() == [("hedging", 3, ["x", "x", "x"])]
     assert logs.daily_observations(stream).isStreaming
+
+
+def test_html_references_without_semicolon():
+    assert mail.own_html_text("<h1>a &amp;&amp</h1>b &lt;c&gt").split() == ["a", "&&", "b", "<c>"]
