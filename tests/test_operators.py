@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from penprint.operators import dedupe, diff, drafts, edits, lexicon, metrics, registers
+from penprint.storage import written
 
 
 def kept_by_hand(bodies, threshold):
@@ -195,3 +196,26 @@ def test_sentence_diff_pairs_what_moved_and_changed(spark):
 def test_rewrapping_is_no_edit(spark):
     row = spark.createDataFrame([("One line\nwrapped here. Two.", "One line wrapped\nhere. Two.")], "a string, b string").select(diff.sentence_diff(F.col("a"), F.col("b")).alias("d")).first().d
     assert (row.removed, row.added, row.changed) == ([], [], [])
+
+
+def test_similar_pairs_move_only_sets_that_met_and_lose_none(spark):
+    import random
+
+    dice = random.Random(3)
+    line = " ".join(f"b{'x' * k}" for k in range(1, 30))
+    rows = []
+    for i in range(60):
+        words = [dice.choice("abcdefghijklmnop") * dice.randint(1, 5) for _ in range(dice.randint(3, 40))]
+        rows.append(f"{line} {' '.join(words)}")
+        rows += [f"{line} {' '.join(words[:-1])} z", rows[-1]] if i % 5 == 0 else []
+    df = spark.createDataFrame([*enumerate(rows), (0, rows[0])], "doc_id bigint, text string")
+    sets = written(dedupe.shingle_sets(df, "doc_id", "text"), "sets")
+    firsts, copies = dedupe.first_sets(sets)
+    assert firsts.columns == ["key", "set_hash"] and copies.columns == ["key", "set_hash"]
+    got = {(r.left, r.right): r.similarity for r in dedupe.similar_pairs(sets, copies).collect()}
+    by_set = {}
+    for r in sets.collect():
+        by_set.setdefault(frozenset(r.shingles), r.key)
+        by_set[frozenset(r.shingles)] = min(by_set[frozenset(r.shingles)], r.key)
+    want = {tuple(sorted((p, q))): len(a & b) / len(a | b) for a, p in by_set.items() for b, q in by_set.items() if p < q and len(a & b) / len(a | b) >= 0.7}
+    assert got == pytest.approx(want) and len(got) > 12
