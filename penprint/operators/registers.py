@@ -56,9 +56,10 @@ def exemplars(messages: DataFrame, register: str = "register", key: str = "ord",
     """The count messages of each register that show it best: near the median length, asking, of several paragraphs."""
     from penprint.functions import text
 
+    # The medians, a row a register, are broadcast: a join by register would put all bodies of one into a task.
     middle = messages.groupBy(F.col(register).alias("_register")).agg(F.median("word_count").alias("_median"))
     spread = F.abs(F.col("word_count") - F.col("_median")) / F.when(F.col("_median") == 0, 1.0).otherwise(F.col("_median"))
-    score = F.when(text.asks(F.col("body")), 1.0).otherwise(0.0) + F.when(F.size(text.paragraphs(F.col("body"))) > 1, 0.3).otherwise(0.0) - spread
-    ranked = messages.join(middle, F.col(register).eqNullSafe(F.col("_register"))).withColumn("score", score)
+    shown = F.when(text.asks(F.col("body")), 1.0).otherwise(0.0) + F.when(F.size(text.paragraphs(F.col("body"))) > 1, 0.3).otherwise(0.0)
+    ranked = messages.withColumn("_shown", shown).join(F.broadcast(middle), F.col(register).eqNullSafe(F.col("_register"))).withColumn("score", F.col("_shown") - spread)
     order = Window.partitionBy(register).orderBy(F.col("score").desc(), key)
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).select(register, "rank", key, "subject", "body", "word_count", "score")

@@ -219,3 +219,19 @@ def test_similar_pairs_move_only_sets_that_met_and_lose_none(spark):
         by_set[frozenset(r.shingles)] = min(by_set[frozenset(r.shingles)], r.key)
     want = {tuple(sorted((p, q))): len(a & b) / len(a | b) for a, p in by_set.items() for b, q in by_set.items() if p < q and len(a & b) / len(a | b) >= 0.7}
     assert got == pytest.approx(want) and len(got) > 12
+
+
+def test_exemplars_leave_bodies_where_they_are(spark):
+    rows = [(i, "ab"[i % 2], "s", "Please. " * (i + 1), i + 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "ord bigint, register string, subject string, body string, word_count int").filter("ord >= 0")
+    found = registers.exemplars(df)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.register, r["rank"], r.ord) for r in found.collect())[:2] == [("a", 1, 8), ("a", 2, 10)]
+
+
+def test_groups_are_measured_once(spark):
+    rows = [("x", "Hi", "Can you look? It's fine."), ("y", "", "Send it.\n\nThanks\nSam"), ("x", None, "")]
+    df = spark.createDataFrame(rows, "lang string, subject string, body string")
+    groups = F.array("lang", F.lit("*"))
+    as_rows = lambda found: {(r.grp, r.metric): r.value for r in found.collect()}
+    assert as_rows(metrics.flat(df, ["grp"], groups=groups)) == as_rows(metrics.flat(df.withColumn("grp", F.explode(groups)), ["grp"]))
