@@ -35,6 +35,11 @@ def paragraphs(text: Column) -> Column:
     return filled(F.split(strip(text), P.PARAGRAPH_BREAK))
 
 
+def split_sentences(text: Column) -> Column:
+    """The sentences of each paragraph."""
+    return F.transform(paragraphs(text), sentences)
+
+
 def words(text: Column) -> Column:
     """Runs of ASCII letters and apostrophes."""
     return F.regexp_extract_all(text, F.lit(P.WORD), F.lit(0))
@@ -81,33 +86,41 @@ def opener(body: Column) -> Column:
         "name_dash": f"(?U)^{name}{dash}(?:\\s*$|\\s+\\S)",
         "bare_name": f"(?U)^{name},\\s*$",
     }
-    first = strip(F.split_part(strip(body), F.lit("\n"), F.lit(1)))
-    out = F.lit("none")
-    for kind in reversed(kinds):
-        out = F.when(F.rlike(first, F.lit(kinds[kind])), kind).otherwise(out)
-    return out
 
+    def of(first: Column) -> Column:
+        out = F.lit("none")
+        for kind in reversed(kinds):
+            out = F.when(F.rlike(first, F.lit(kinds[kind])), kind).otherwise(out)
+        return out
+
+    # What is white space at the end of the first line goes with it, so the rest of the text needs no look.
+    return let(strip(F.split_part(F.regexp_replace(body, "\\A(?U)\\s+", ""), F.lit("\n"), F.lit(1))), of)
 
-def _tail(body: Column) -> Column:
+
+def last_lines(body: Column) -> Column:
+    """The last two filled lines, stripped; empty ones where there are fewer."""
     return F.slice(F.concat(F.array(F.lit(""), F.lit("")), filled(F.split(body, "\n"))), -2, 2)
 
 
-def signoff(body: Column) -> Column:
+def signoff(body: Column, tail: Column | None = None) -> Column:
     """The later of the last two filled lines that is a sign-off phrase, else none."""
-    cleaned = F.transform(_tail(body), lambda x: F.lower(strip(F.regexp_replace(x, ",+$", ""))))
+    cleaned = F.transform(last_lines(body) if tail is None else tail, lambda x: F.lower(strip(F.regexp_replace(x, ",+$", ""))))
     hits = F.filter(cleaned, lambda x: x.isin(P.SIGNOFFS))
     return F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit("none"))
 
 
-def name_form(body: Column) -> Column:
+def name_form(body: Column, tail: Column | None = None) -> Column:
     """Form of the name that the last line is: initial, first_name, full_name or none."""
-    bare = F.regexp_replace(strip(F.regexp_replace(F.element_at(_tail(body), -1), "^[\u2014\u2013-]+", "")), ",+$", "")
-    names = blank_words(bare)
+    bare = F.regexp_replace(strip(F.regexp_replace(F.element_at(last_lines(body) if tail is None else tail, -1), "^[\u2014\u2013-]+", "")), ",+$", "")
     # An upper-case first character, as one that lower-casing changes and upper-casing doesn't.
     capital = lambda x: let(F.substring(x, 1, 1), lambda c: (F.upper(c) == c) & (F.lower(c) != c))
-    named = F.size(names).between(1, 3) & F.forall(names, capital)
-    one = F.when(F.length(F.get(names, F.lit(0))) <= 2, "initial").otherwise("first_name")
-    return F.when(~named, "none").when(F.size(names) == 1, one).otherwise("full_name")
+
+    def of(names: Column) -> Column:
+        named = F.size(names).between(1, 3) & F.forall(names, capital)
+        one = F.when(F.length(F.get(names, F.lit(0))) <= 2, "initial").otherwise("first_name")
+        return F.when(~named, "none").when(F.size(names) == 1, one).otherwise("full_name")
+
+    return let(blank_words(bare), of)
 
 
 def n_contracted(text: Column) -> Column:
@@ -146,9 +159,9 @@ def asks(text: Column) -> Column:
     return F.rlike(text, F.lit(P.ASK))
 
 
-def ask_placement(text: Column) -> Column:
+def ask_placement(text: Column, parts: Column | None = None) -> Column:
     """Index of the first asking sentence over their number, rounded to three places; null without one."""
-    every = F.flatten(F.transform(paragraphs(text), sentences))
+    every = F.flatten(split_sentences(text) if parts is None else parts)
     asking = lambda s: F.transform(s, lambda x: asks(x) | F.rlike(x, F.lit(P.IMPERATIVE)))
     return let(every, lambda s: F.round((F.nullif(F.array_position(asking(s), True), F.lit(0)) - 1) / F.size(s), 3))
 

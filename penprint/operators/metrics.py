@@ -45,18 +45,21 @@ def quartiles(values: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def shape_values(body: Column) -> Column:
-    """array of (metric, v): words and paragraphs a message, sentences a paragraph, words a sentence. Texts are split once."""
+def shape_values(body: Column, words: Column | None = None, parts: Column | None = None) -> Column:
+    """array of (metric, v): words and paragraphs a message, sentences a paragraph, words a sentence. Texts are split once.
+
+    words, parts: the body's n_words and split_sentences, if they are columns already.
+    """
     pair = lambda name, v: F.struct(F.lit(name).alias("metric"), v.cast("int").alias("v"))
 
     def of(p: Column) -> Column:
         return F.concat(
-            F.array(pair("words_per_email", text.n_words(body)), pair("paragraphs_per_email", F.size(p))),
+            F.array(pair("words_per_email", text.n_words(body) if words is None else words), pair("paragraphs_per_email", F.size(p))),
             F.transform(p, lambda s: pair("sentences_per_paragraph", F.size(s))),
             F.transform(F.flatten(p), lambda x: pair("words_per_sentence", text.n_words(x))),
         )
 
-    return text.let(F.transform(text.paragraphs(body), text.sentences), of)
+    return text.let(text.split_sentences(body) if parts is None else parts, of)
 
 
 def shape_of(values: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -74,9 +77,9 @@ def shares(messages: DataFrame, by: list[str], what: Column, name: str = "value"
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
-def pooled_counts(body: Column) -> Column:
+def pooled_counts(body: Column, words: Column | None = None) -> Column:
     kinds = [text.n_punctuation(body, k).alias(k) for k in text.PUNCTUATION]
-    return F.struct(text.n_words(body).alias("words"), text.n_contracted(body).alias("contracted"), text.n_expanded(body).alias("expanded"), *kinds)
+    return F.struct((text.n_words(body) if words is None else words).alias("words"), text.n_contracted(body).alias("contracted"), text.n_expanded(body).alias("expanded"), *kinds)
 
 
 def pooled_of(counted: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -91,14 +94,14 @@ def pooled(messages: DataFrame, by: list[str], body: str = "body") -> DataFrame:
     return pooled_of(messages.select(*by, pooled_counts(F.col(body)).alias("_pooled")), by, "_pooled")
 
 
-def stance_counts(body: Column) -> Column:
+def stance_counts(body: Column, words: Column | None = None) -> Column:
     counts = {
         "sentences": lambda s: F.size(s),
         "imperatives": text.n_imperatives,
         "questions": text.n_questions,
         "bullets": lambda s: text.n_bullets(body),
         "hedges": lambda s: text.n_hedges(body),
-        "words": lambda s: text.n_words(body),
+        "words": lambda s: text.n_words(body) if words is None else words,
     }
     return text.let(text.sentences(body), lambda s: F.struct(*[f(s).alias(k) for k, f in counts.items()]))
 
@@ -163,19 +166,26 @@ def date_range(messages: DataFrame, by: list[str], date: str = "date") -> DataFr
 
 
 def measured(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject") -> DataFrame:
-    """A table of one row a message: by, subject and all that its body counts for. Bodies are read once, here."""
+    """A table of one row a message: by, subject and all that its body counts for. Bodies are read and split once, here."""
     b = F.col(body)
-    kinds = {"openers": text.opener(b), "closers": text.signoff(b), "name_forms": text.name_form(b)}
-    counts = {"pooled": pooled_counts(b), "stance": stance_counts(b), "ask": text.ask_placement(b), "shape": shape_values(b), **kinds}
-    return written(messages.select(*by, F.col(subject).alias("subject"), *[v.alias(f"_{k}") for k, v in counts.items()]), "measured")
+    split = messages.select(*by, F.col(subject).alias("subject"), b.alias("_body"), text.n_words(b).alias("_words"), text.split_sentences(b).alias("_parts"), text.last_lines(b).alias("_tail"))
+    b, words, parts, tail = (F.col(c) for c in ("_body", "_words", "_parts", "_tail"))
+    kinds = {"openers": text.opener(b), "closers": text.signoff(b, tail), "name_forms": text.name_form(b, tail)}
+    counts = {"pooled": pooled_counts(b, words), "stance": stance_counts(b, words), "ask": text.ask_placement(b, parts), "shape": shape_values(b, words, parts), **kinds}
+    return written(split.select(*by, "subject", *[v.alias(f"_{k}") for k, v in counts.items()]), "measured")
 
 
-def flat(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject", joined_by: str | None = None) -> DataFrame:
+def flat(messages: DataFrame, by: list[str], body: str = "body", subject: str = "subject", joined_by: str | None = None, groups: Column | None = None) -> DataFrame:
     """by, metric, value: all scalar metrics in one long table, named by dotted paths; nulls are left out.
 
     A distribution has its median and both ends of its interquartile range (``.median``, ``.low``, ``.high``).
+    groups: an array, of all groups a message counts for, which by then names; its body is measured once for all of them.
     """
-    rows, counts = [], measured(messages, by, body, subject)
+    if groups is None:
+        counts = measured(messages, by, body, subject)
+    else:
+        counts = measured(messages.select(groups.alias("_groups"), body, subject), ["_groups"], body, subject).withColumn(by[0], F.explode("_groups"))
+    rows = []
     stances = stance(messages, by, body, joined_by) if joined_by else stance_of(counts, by, "_stance")
     for block, name in ((pooled_of(counts, by, "_pooled"), None), (stances, "stance"), (ask_median_of(counts, by, "_ask"), None), (subjects(counts, by), "subject")):
         cols = [c for c in block.columns if c not in by]

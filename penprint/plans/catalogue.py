@@ -595,8 +595,8 @@ def metric_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def register_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scalar metric of each language less that of the corpus."""
-    docs = decorated(spark, sf_dir).withColumn("grp", F.explode(F.array(F.col("lang"), F.lit("*"))))
-    found = analyze.register_deltas(written(metrics.flat(docs, ["grp"]), "flat"))
+    groups = F.array(F.col("lang"), F.lit("*"))
+    found = analyze.register_deltas(written(metrics.flat(decorated(spark, sf_dir), ["grp"], groups=groups), "flat"))
     return found.select("grp", "metric", *[F.round(c, 9).alias(c) for c in ("value", "corpus_value", "delta")])
 
 
